@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .langid import identify
+from .line_dedup import line_dedup
 from .media import media_digest
+from .packing import pack
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +35,42 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String-kernel classification of every document; fitted on the labelled ones outside the held-out fold."""
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-line windows repeated anywhere in documents, later occurrences removed."""
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
+t AS (SELECT doc_id, n, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS l FROM p),
+w AS (SELECT doc_id, pos, l AS l0, lead(l, 1) OVER o AS l1, lead(l, 2) OVER o AS l2, n FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+v AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY l0, l1, l2 ORDER BY doc_id, pos) AS r FROM w WHERE pos <= n - 3 AND l0 || l1 || l2 <> ''),
+marked AS (SELECT DISTINCT doc_id, pos + k AS pos FROM v, (SELECT unnest([0, 1, 2]) AS k) WHERE r > 1)
+SELECT t.doc_id, any_value(n)::BIGINT AS n_lines, count(m.pos) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY t.pos) FILTER (WHERE m.pos IS NULL), '') AS text
+FROM t LEFT JOIN marked m ON t.doc_id = m.doc_id AND t.pos = m.pos GROUP BY t.doc_id"""
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into bins of CAPACITY words without two of a source or of a text in a bin."""
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_media": op6_media,
+        "op8_language_id": op8_language_id,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
