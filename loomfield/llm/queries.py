@@ -12,6 +12,8 @@ from .langid import identify
 from .line_dedup import line_dedup
 from .media import media_digest
 from .packing import pack
+from .pieces import DEFAULT_MODEL, encode_digest, load_model
+from .preferences import format_preferences, id_pairs
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,15 +64,42 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = DEFAULT_MODEL) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return encode_digest(read(spark, sf_dir, "documents"), load_model(model))
+
+
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in pairs of neighbouring ids, formatted as preferences."""
+    return format_preferences(id_pairs(read(spark, sf_dir, "conversations")))
+
+
+OP9_SQL = r"""
+WITH s AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM conversations),
+d AS (SELECT pair_id, chosen, turn, role, text FROM s WHERE pair_id IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role NULLS LAST, text NULLS LAST) = 1),
+t AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.pair_id IS NOT NULL AS ina, b.pair_id IS NOT NULL AS inb,
+  a.role AS arole, a.text AS atext, b.role AS brole, b.text AS btext,
+  a.pair_id IS NOT NULL AND b.pair_id IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+  FROM (SELECT * FROM d WHERE chosen) a FULL JOIN (SELECT * FROM d WHERE NOT chosen) b ON a.pair_id = b.pair_id AND a.turn = b.turn),
+p AS (SELECT *, coalesce(turn < min(turn) FILTER (WHERE NOT same) OVER (PARTITION BY pair_id), true) AS prompt FROM t),
+u AS (SELECT pair_id, CASE WHEN prompt THEN 'prompt' ELSE 'chosen' END AS section, turn, arole AS role, atext AS text FROM p WHERE ina
+  UNION ALL SELECT pair_id, 'rejected', turn, brole, btext FROM p WHERE NOT prompt AND inb),
+r AS (SELECT pair_id, section, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|', '< ') || '<|im_end|>' || chr(10) AS rendered FROM u)
+SELECT pair_id, section, turn::BIGINT AS turn, role, rendered, CASE WHEN section <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END::INT AS mask, length(rendered)::BIGINT AS n_chars FROM r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_media": op6_media,
         "op8_language_id": op8_language_id,
+        "op9_preferences": op9_preferences,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_preferences": OP9_SQL}
