@@ -12,6 +12,7 @@ from .langid import identify
 from .line_dedup import line_dedup
 from .media import media_digest
 from .packing import pack
+from .pii import replace_pii
 from .pieces import DEFAULT_MODEL, encode_digest, load_model
 from .preferences import format_preferences, id_pairs
 
@@ -89,9 +90,19 @@ r AS (SELECT pair_id, section, turn, role, '<|im_start|>' || coalesce(role, '')
 SELECT pair_id, section, turn::BIGINT AS turn, role, rendered, CASE WHEN section <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END::INT AS mask, length(rendered)::BIGINT AS n_chars FROM r"""
 
 
+#: Production keys come from a secret store; this one makes results repeatable.
+PII_KEY = "loomfield-documents"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = PII_KEY) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"), key, count_col="n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_pii_surrogates": op3_pii_surrogates,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_media": op6_media,
