@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_text import extract_pages
 from .langid import identify
 from .line_dedup import line_dedup
 from .media import media_digest
@@ -17,6 +18,11 @@ from .pieces import DEFAULT_MODEL, encode_digest, load_model
 from .preferences import format_preferences, id_pairs
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-pass Bloom filtering over all documents."""
     return exact_dedup(read(spark, sf_dir, "documents"))
@@ -101,6 +107,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = PII_KEY) ->
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_line_dedup": op2_line_dedup,
         "op3_pii_surrogates": op3_pii_surrogates,
         "op4_sentencepiece": op4_sentencepiece,
