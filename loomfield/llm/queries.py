@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chosen_path import near_dup
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
@@ -105,6 +106,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = PII_KEY) ->
     return replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"), key, count_col="n_entities")
 
 
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on two-word shingles, similarity 0.8 or more."""
+    return near_dup(read(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_media": op6_media,
+        "op7_minhash_near_dup": op7_minhash_near_dup,
         "op8_language_id": op8_language_id,
         "op9_preferences": op9_preferences,
         "op10_best_fit_packing": op10_best_fit_packing,
