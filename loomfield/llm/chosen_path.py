@@ -12,8 +12,11 @@ candidates. After the links of all forests are confirmed and joined to component
 between members of different components, whatever failed before: so a pair of a node is either confirmed, or
 refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost.
 
+In a large node most members may be of one component by then. If at most NODE members are not (`outsiders`), these
+are compared with all members, in blocks: a cost in proportion to the node.
+
 Recall: a pair at the threshold misses all trees' first tokens with probability 0.2**8 (3e-6); the sketch screen
-loses about 3e-5. Only inside nodes of over NODE members can recall be lower; there, links are many. Members that
+loses about 3e-5. Only inside nodes of over NODE members with many outsiders can recall be lower. Members that
 no level separates (nearly equal texts by the thousand) are cut into nodes of NODE and each tied to a pivot.
 
 Scale: nothing is collected; nodes' sizes come from map-side partial counts; a node of a third of all rows is
@@ -24,6 +27,8 @@ alternating large and small stars, which are aggregations and joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-COORDINATES, TREES, NODE, LEVELS, BRANCHES = 64, 8, 256, 6, 2
+COORDINATES, TREES, NODE, LEVELS, BRANCHES, BLOCK = 64, 8, 256, 6, 2, 1024
 SCREEN = 0.6
 #: Up to so many ids (of 8 bytes) may be broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 200_000
@@ -97,6 +102,7 @@ def _sketches(words: int):
 def _branched(level: int):
     """Children of members of large nodes: BRANCHES choices of 2**level coordinates each, drawn from the node's path."""
     width = min(1 << level, COORDINATES)
+    salt = np.uint64((2 * level + 1) * 0x9E3779B97F4A7C15 % 2**64)
 
     def run(batches):
         for batch in batches:
@@ -106,7 +112,7 @@ def _branched(level: int):
             sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
             rows = np.arange(len(path))
             for branch in range(BRANCHES):
-                child = _mix(path + np.uint64(2 * level + 1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(branch))
+                child = _mix(path + salt + np.uint64(branch))
                 step = (_mix(child) % np.uint64(COORDINATES // 2)) * np.uint64(2) + np.uint64(1)
                 out = child
                 for k in range(width):  # an odd step visits distinct coordinates
@@ -160,38 +166,57 @@ def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, perc
     return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
-def _candidates(percent: int, grouped: bool):
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+def _candidates(percent: int, kind: str):
+    """Candidates of whole nodes: kind is `forest`, `across` (components) or `outside`."""
 
-        def pairs(rows: pa.RecordBatch):
+    def run(batches):
+        for rows in _whole_nodes(batches):
             path = rows.column(0).to_numpy(zero_copy_only=False)
             ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            group = rows.column(4).to_numpy(zero_copy_only=False) if grouped else None
+            group = rows.column(4).to_numpy(zero_copy_only=False) if kind != "forest" else None
+            outside = rows.column(5).to_numpy(zero_copy_only=False) if kind == "outside" else None
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-            found = [node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1]
-            a, b = (np.concatenate([ids[:0], *(f[k] for f in found)]) for k in (0, 1))
-            both = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
-
-        for batch in batches:  # rows stand in the order of their nodes; the last node may go on in the next batch
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            path = batch.column(0).to_numpy(zero_copy_only=False)
-            last = int(np.searchsorted(path, path[-1], side="left"))
-            if last == 0:
-                continue
-            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks().to_batches()[0]
-            held = [batch.slice(last)]
-            yield pairs(whole)
-        if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            found = [(ids[:0], ids[:0])]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                if y - x > 1 and kind == "outside":
+                    found.append(outsider_candidates(ids[x:y], sizes[x:y], sketch[x:y], group[x:y], outside[x:y], percent))
+                elif y - x > 1:
+                    found.append(node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y]))
+            both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
 
     return run
 
 
+def outsider_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, group: np.ndarray, outside: np.ndarray, percent: int):
+    """Pairs of one block between its outsiders and all members of other components."""
+    found = []
+    for k in np.flatnonzero(outside):
+        fits = (group != group[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
+        at = np.flatnonzero(fits)
+        at = at[(sketch[at] == sketch[k]).sum(axis=1) >= SCREEN * COORDINATES]
+        found.append(np.stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])]))
+    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _whole_nodes(batches):
+    """Batches cut where a node ends; rows stand in the order of their nodes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        path = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(path, path[-1], side="left"))
+        if last:
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks().to_batches()[0]
+            held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
@@ -242,14 +267,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def light_nodes(members: DataFrame) -> DataFrame:
-    """(path, id, n, sketch) of the trees' first level to the nodes of 2 to NODE members of all levels."""
-    light = []
+def nodes_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, id, n, sketch) of the trees' first level to two tables: nodes of 2 to NODE members, and (with c) larger ones."""
+    light, large = [], []
     for level in range(1, LEVELS + 1):
         counts = checkpointed(members.groupBy("path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
         shared = checkpointed(members.join(counts, "path").select("path", "id", "n", "sketch", "c"))
         light.append(shared.filter(F.col("c") <= NODE).drop("c"))
         heavy = shared.filter(F.col("c") > NODE)
+        large.append(heavy)
         if heavy.isEmpty():
             break
         if level < LEVELS:
@@ -261,10 +287,22 @@ def light_nodes(members: DataFrame) -> DataFrame:
         pivot = heavy.groupBy("path").agg(F.min(F.struct("id", "n", "sketch")).alias("p"))
         tied = cut.select("path", "node").distinct().join(pivot, "path").select(F.col("node").alias("path"), "p.id", "p.n", "p.sketch")
         light.append(cut.select(F.col("node").alias("path"), "id", "n", "sketch").unionByName(tied).distinct())
-    out = light[0]
-    for more in light[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, light), reduce(DataFrame.unionByName, large)
+
+
+def outsider_blocks(large: DataFrame, known: DataFrame) -> DataFrame:
+    """Blocks of about BLOCK members of each large node that is of one component but for 1 to NODE outsiders, who join
+    every block: (path, id, n, sketch, component, outside)."""
+    placed = checkpointed(large.join(known, "id", "left").select("path", "id", "n", "sketch", "c", F.coalesce("component", "id").alias("component")))
+    sizes = placed.groupBy("path", "component", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("path", "c").agg(F.max(F.struct("m", "component")).alias("top")).filter((F.col("c") > F.col("top.m")) & (F.col("c") - F.col("top.m") <= NODE))
+    main = checkpointed(main.select("path", F.col("top.component").alias("main"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    rows = placed.join(main, "path").withColumn("outside", F.col("component") != F.col("main"))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return rows.select("path", "id", "n", "sketch", "component", "outside", F.explode(F.when(F.col("outside"), every).otherwise(own)).alias("block")).select(
+        F.xxhash64("path", "block").alias("path"), "id", "n", "sketch", "component", "outside"
+    )
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -280,15 +318,16 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     classes = checkpointed(
         prepared.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     )
-    nodes = light_nodes(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"))
+    nodes, large = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"))
     texts = rows.select(F.col("doc_id").alias("id"), "text")
     sorted_nodes = nodes.repartition("path").sortWithinPartitions("path")
-    links = confirm(sorted_nodes.mapInArrow(_candidates(percent, False), "a long, b long"), texts, words, percent)
+    links = confirm(sorted_nodes.mapInArrow(_candidates(percent, "forest"), "a long, b long"), texts, words, percent)
     joined = components(links)
     known = checkpointed(joined.select(F.col("node").alias("id"), "component"))
     grouped = nodes.join(known, "id", "left").select("path", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    grouped = grouped.repartition("path").sortWithinPartitions("path")
-    rest = confirm(grouped.mapInArrow(_candidates(percent, True), "a long, b long"), texts, words, percent)
+    across = grouped.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, "across"), "a long, b long")
+    outside = outsider_blocks(large, known).repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, "outside"), "a long, b long")
+    rest = confirm(across.unionByName(outside), texts, words, percent)
     final = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labelled = checkpointed(classes.select("key", "id").join(final, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component")))
     return prepared.select("doc_id", "n", "key").join(labelled, "key", "left").select(
