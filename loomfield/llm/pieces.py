@@ -17,6 +17,7 @@ import hashlib
 import re
 import struct
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -105,13 +106,12 @@ class _Pairs:
     """Whether merging by rank leaves the joint between two pieces alone."""
 
     def __init__(self, rank: dict[str, float]) -> None:
-        self.rank, self.known, self.whole = rank, {}, {}
+        self.rank = rank
 
     def merged(self, text: str) -> list[str]:
         parts = list(text)
         while len(parts) > 1:
-            ranked = [(self.rank.get(a + b, -np.inf), -k) for k, (a, b) in enumerate(zip(parts, parts[1:]))]
-            score, k = max(ranked)
+            score, k = max((self.rank.get(a + b, -np.inf), -k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
             if score == -np.inf:
                 break
             parts[-k : -k + 2] = [parts[-k] + parts[-k + 1]]
@@ -119,17 +119,10 @@ class _Pairs:
 
     def alone(self, piece: str) -> bool:
         """Whether the piece is its own encoding."""
-        if piece not in self.whole:
-            self.whole[piece] = self.merged(piece) == [piece]
-        return self.whole[piece]
+        return self.merged(piece) == [piece]
 
     def __call__(self, a: str, b: str) -> bool:
-        found = self.known.get((a, b))
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[a, b] = self.merged(a + b) == [a, b]
-        return found
+        return self.merged(a + b) == [a, b]
 
 
 class Encoder:
@@ -138,62 +131,102 @@ class Encoder:
     def __init__(self, model: PieceModel) -> None:
         import ahocorasick
 
-        self.model, self.memory = model, {}
+        self.model, self.young, self.old, self.joints = model, {}, {}, {}
         usable = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k in (NORMAL, USER_DEFINED) and p}
+        self.usable, self.bpe = usable, model.model_type == BPE
+        self.pairs = _Pairs({p: model.scores[i] for p, i in usable.items()})
         self.automaton = ahocorasick.Automaton()
         for piece, i in usable.items():
-            self.automaton.add_word(piece, (i, len(piece), model.scores[i], piece))
+            if not self.bpe or self.pairs.alone(piece):
+                self.automaton.add_word(piece, (i, len(piece), model.scores[i]))
         if usable:
             self.automaton.make_automaton()
-        self.usable = usable
         self.fallback_score = min((model.scores[i] for i in usable.values()), default=0.0) - UNKNOWN_PENALTY
-        self.pairs = _Pairs({p: model.scores[i] for p, i in usable.items()})
-        # words may be encoded apart if no piece has a mark after another character
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in usable)
-        self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.unit = self._units()
+        self.texts = {i: x for i in range(len(model.pieces)) if (x := self._text(i)) is not None}
+
+    def _text(self, i: int) -> str | None:
+        """The text of a piece by itself; null for bytes that only count with others."""
+        kind, piece = self.model.kinds[i], self.model.pieces[i]
+        if kind == BYTE:
+            return chr(int(piece[3:5], 16)) if int(piece[3:5], 16) < 128 else None
+        return " ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else piece.replace(MARK, " ")
+
+    def _units(self) -> re.Pattern | None:
+        """Stretches that may be encoded apart, as no piece spans two: before a mark, around a line feed, and between a
+        word character and a following other character where no piece has these two side by side."""
+        joint = {(a, b) for p in self.usable for a, b in zip(p, p[1:])}
+        if any(b == MARK and a != MARK for a, b in joint) or any("\n" in x for x in joint):
+            return None
+        before: dict[str, set[str]] = {}
+        for a, b in joint:
+            if re.match(r"\w", a) and not re.match(r"\w", b) and b != MARK:
+                before.setdefault(b, set()).add(a)
+        glued = "|".join(f"(?<=[{re.escape(''.join(sorted(a)))}]){re.escape(b)}" for b, a in sorted(before.items()))
+        more = f"(?:(?:{glued})[^\\w{MARK}\n]*\\w*)*" if glued else ""
+        return re.compile(f"{MARK}*\\w+{more}|{MARK}*[^\\w{MARK}\n]+\\w*{more}|{MARK}+|\n")
 
     def _fallback(self, char: str) -> list[int]:
         at = self.model.bytes_at
         raw = char.encode("utf-8", "surrogatepass")
         return [at[b] for b in raw] if all(b in at for b in raw) else [self.model.unknown]
 
-    def _relax(self, text: str) -> list[int]:
-        """Ids of one stretch of text."""
-        n, bpe = len(text), self.model.model_type == BPE
-        best: list = [None] * (n + 1)  # (score, start, id, piece)
-        best[0] = (0.0, 0, -1, None)
-        at = 0
+    def _by_rank(self, text: str) -> list[int]:
+        """Ids of a stretch by a BPE model: the state of a position is the last piece of its prefix's encoding."""
+        out: list[int] = []
+        if not all(c in self.usable for c in text):  # no merge crosses an unknown character
+            for known, part in groupby(text, key=self.usable.__contains__):
+                out += self._by_rank("".join(part)) if known else [i for c in part for i in self._fallback(c)]
+            return out
+        n, joints, pieces, size = len(text), self.joints, self.model.pieces, len(self.model.pieces)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        for at, (i, length, _) in self.automaton.iter(text):
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = joints.get(before * size + i)
+                if fits is None:
+                    if len(joints) > 1_000_000:
+                        joints.clear()
+                    fits = joints[before * size + i] = self.pairs(pieces[before], pieces[i])
+                if not fits:
+                    continue
+            last[end], begin[end] = i, start
+        while n:
+            out.append(last[n])
+            n = begin[n]
+        return out[::-1]
+
+    def _by_score(self, text: str) -> list[int]:
+        """Ids of a stretch by a unigram model: Viterbi over the pieces that end at each position."""
+        n, usable = len(text), self.usable
+        best = [-np.inf] * (n + 1)
+        begin, piece = [0] * (n + 1), [-1] * (n + 1)
+        best[0], at = 0.0, 0
 
         def close(end: int) -> None:
-            """Positions up to end that no piece reached are reached by one unknown character."""
+            """Characters without a piece of their own may also be unknown."""
             nonlocal at
             while at < end:
                 at += 1
-                if best[at] is None or (not bpe and text[at - 1] not in self.usable):
-                    if best[at - 1] is None or (bpe and text[at - 1] in self.usable):
-                        continue
-                    score = best[at - 1][0] + self.fallback_score
-                    if best[at] is None or score > best[at][0]:
-                        best[at] = (score, at - 1, -1, None)
-
-        for last, (i, length, score, piece) in self.automaton.iter(text) if self.usable else ():
+                if text[at - 1] not in usable and best[at - 1] + self.fallback_score > best[at]:
+                    best[at], begin[at], piece[at] = best[at - 1] + self.fallback_score, at - 1, -1
+
+        for last, (i, length, score) in self.automaton.iter(text) if usable else ():
             end, start = last + 1, last + 1 - length
             close(end - 1)
-            before = best[start]
-            if before is None:
-                continue
-            if bpe:
-                if best[end] is None and self.pairs.alone(piece) and (before[3] is None or self.pairs(before[3], piece)):
-                    best[end] = (0.0, start, i, piece)
-            elif best[end] is None or before[0] + score > best[end][0]:
-                best[end] = (before[0] + score, start, i, piece)
+            if best[start] + score > best[end]:
+                best[end], begin[end], piece[end] = best[start] + score, start, i
         close(n)
         out: list[int] = []
-        end = n
-        while end > 0:
-            _, start, i, _ = best[end]
-            out += [i] if i >= 0 else self._fallback(text[start:end])[::-1]
-            end = start
+        while n:
+            out += [piece[n]] if piece[n] >= 0 else self._fallback(text[begin[n] : n])[::-1]
+            n = begin[n]
         return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
@@ -205,25 +238,36 @@ class Encoder:
             if not text:
                 return []
         text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        if not self.by_word:
-            return self._relax(text)
-        out, memory = [], self.memory
-        for word in self.word.findall(text):
-            found = memory.get(word)
+        one = self._by_rank if self.bpe else self._by_score
+        if self.unit is None:
+            return one(text)
+        out: list[int] = []
+        young, old = self.young, self.old
+        for unit in self.unit.findall(text):
+            found = young.get(unit)
             if found is None:
-                found = self._relax(word)
-                if len(word) <= 64:
-                    if len(memory) > WORD_MEMORY:
-                        memory.clear()
-                    memory[word] = found
+                found = old.get(unit)
+                if found is None:
+                    found = one(unit)
+                if len(unit) <= 64:
+                    if len(young) >= WORD_MEMORY:
+                        self.old = old = young
+                        self.young = young = {}
+                    young[unit] = found
             out += found
         return out
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of ids: bytes are joined as UTF-8 (broken ones replaced), control ids have no text."""
+        ids = ids if ids is not None else []
+        try:  # bytes below 128 are characters of their own
+            text = "".join(map(self.texts.__getitem__, ids))
+            return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+        except KeyError:
+            pass
         parts, raw = [], bytearray()
         kinds, pieces = self.model.kinds, self.model.pieces
-        for i in ids if ids is not None else ():
+        for i in ids:
             if kinds[i] == BYTE:
                 raw.append(int(pieces[i][3:5], 16))
                 continue
