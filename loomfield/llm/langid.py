@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BUCKETS, ORDERS = 1 << 17, 4
-QUOTA, LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 80, 256, 1e-2
+#: The sample: at most QUOTA texts a language and SAMPLE in all; landmarks: at most LANDMARKS a language and 320 in all.
+QUOTA, SAMPLE, LANDMARKS, ALL_LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 4096, 80, 320, 256, 1e-2
 UNKNOWN = "und"
 _HASH_RANGE = 1 << 30
 _LETTER: np.ndarray | None = None
@@ -89,20 +91,21 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     label = np.array([languages.index(x) for x in labels])
-    mark = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
-    dense = np.zeros((len(mark), BUCKETS), np.float32)
-    for row, i in enumerate(mark):
-        dense[row, grams[i]] = 1 / np.sqrt(len(grams[i]))
-    near = dense @ dense.T
+    most = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
+    mark = np.concatenate([np.flatnonzero(label == k)[:most] for k in range(len(languages))])
+    dense = np.zeros((BUCKETS, len(mark)), np.float32)  # the landmarks' presence vectors, normalised, as columns
+    for column, i in enumerate(mark):
+        dense[grams[i], column] = 1 / np.sqrt(len(grams[i]))
+    cross = np.stack([dense[g].sum(axis=0) / np.sqrt(len(g)) for g in grams])
+    near = cross[mark]
     values, vectors = np.linalg.eigh(near.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    cross = np.stack([dense[:, g].sum(axis=1) / np.sqrt(len(g)) for g in grams])
     phi = cross @ root
     target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = 1 / np.maximum(np.bincount(label, minlength=len(languages)), 1)
     weight = np.sqrt(share[label] * len(labels) / len(languages))[:, None]
     w = np.linalg.solve((phi * weight).T @ (phi * weight) + ridge * np.eye(phi.shape[1]), (phi * weight).T @ (target * weight))
-    return Model(languages, (dense.T @ (root @ w)).astype(np.float32))
+    return Model(languages, (dense @ (root @ w)).astype(np.float32))
 
 
 def fold(id_col: str) -> Column:
@@ -125,6 +128,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return fit([], [])
+    quota = max(1, min(quota, SAMPLE // len(counts)))
     chosen = F.lit(False)
     for row in counts:  # a hash below this holds the quota with room to spare
         most = int(_HASH_RANGE * min(1.0, (quota + 4 * quota**0.5 + 10) / row["n"]))
@@ -139,14 +143,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(grams, labels)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (softmax of doubled regression scores) for every row."""
+def annotated(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with two more columns: the predicted language and its score (softmax of doubled regression scores)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
     def run(batches):
         grams, known = Grams(), shared.value
         for batch in batches:
-            text, named, sure = batch.column(1), [], []
+            text, named, sure = batch.column(place), [], []
             for at in range(0, len(text), 256):
                 found = [grams(x) for x in text.slice(at, 256).to_pylist()]
                 s = known.scores(found)
@@ -154,15 +159,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     named += [UNKNOWN] * len(found)
                     sure += [0.0] * len(found)
                     continue
-                e = np.exp(2 * (s - s.max(axis=1, keepdims=True)))
-                best = s.argmax(axis=1)
-                p = 1 / e.sum(axis=1)
-                named += [known.languages[b] if len(g) else UNKNOWN for b, g in zip(best, found, strict=True)]
+                p = 1 / np.exp(2 * (s - s.max(axis=1, keepdims=True))).sum(axis=1)
+                named += [known.languages[b] if len(g) else UNKNOWN for b, g in zip(s.argmax(axis=1), found, strict=True)]
                 sure += [round(float(x), 6) if len(g) else 0.0 for x, g in zip(p, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, lang_name, score_name])
 
-    ids = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {ids}, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with at least that score; `und` goes."""
+    lang, score = "__lang_pred", "__lang_score"
+    rows = annotated(docs, train(docs, id_col, text_col, lang_col), text_col, lang, score)
+    return rows.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -171,5 +181,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     A null text, or one without a letter, is `und` with score 0. With no labelled text to learn from all are.
     A null id is not held out and not learned from. An empty table gives an empty result.
     """
-    found = predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = annotated(rows, train(docs, id_col, text_col, lang_col))
     return found.select("doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
