@@ -30,3 +30,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomfield-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Up to so many ids (of 8 bytes each) may be broadcast.
+BROADCAST_IDS = 200_000
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in dropped (one column); the ids are broadcast only if counted to be few."""
+    ids = checkpointed(dropped.toDF("__dropped_id").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["__dropped_id"]), "left_anti")

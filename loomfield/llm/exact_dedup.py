@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed
+from .common import SPACE, checkpointed, without_ids
 
 SEGMENT_BITS = 1 << 17
 MIN_BITS, MAX_BITS, BITS_PER_ROW = 1 << 17, 1 << 29, 16
@@ -173,7 +173,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    together = maybe.join(groups.select("sha", F.col("best.id").alias("keep_id"), "group_size"), "sha").select(
+    groups = checkpointed(groups.select("sha", F.col("best.id").alias("keep_id"), "group_size"))  # both sides of the join get an exchange, so a hot text can be split
+    together = maybe.join(groups, "sha").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha"
     )
     return alone.unionByName(together).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -181,5 +182,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")), "left_anti")
+    decided = exact_dedup(docs, id_col, text_col)
+    return without_ids(docs, decided.filter(~F.col("kept")).select("doc_id"), id_col)
