@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def yearly_growth(items: DataFrame, year: str = "year") -> DataFrame:
     """Rows per year with zero-filled gaps, growth in percent on the year before (0 after a year of 0), running total.
 
@@ -26,3 +31,123 @@ def yearly_growth(items: DataFrame, year: str = "year") -> DataFrame:
             F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"),
         )
     )
+
+
+def growth_direction(growth: DataFrame, rate: str = "growth_rate", order: str = "year", last: int = 3) -> DataFrame:
+    """Mean growth of the last rows and its label."""
+    recent = growth.orderBy(F.desc(order)).limit(last).agg(F.avg(rate).alias("m"))
+    label = F.when(F.col("m") > 10, "strong_growth").when(F.col("m") > 2, "growth").when(F.col("m") > -2, "stable").when(F.col("m") > -10, "decline").otherwise("strong_decline")
+    return recent.select(F.round("m", 4).alias("mean_growth"), label.alias("direction"))
+
+
+def rolling_zscore(points: DataFrame, keys: list[str], order: list[str], value: str, size: int = 100, least: int = 10, limit: float = 2.5) -> DataFrame:
+    """z-score of each value against the last `size` values, itself included (population deviation), from `least` on."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(size - 1), 0)
+    n, mean, dev = F.count(value).over(w), F.avg(value).over(w), F.stddev_pop(value).over(w)
+    z = F.when((n >= least) & (dev > 0), (F.col(value) - mean) / dev).otherwise(F.lit(0.0))
+    out = points.withColumn("z", F.round(z, 4))
+    size_z = F.abs(F.col("z"))
+    severity = F.when(size_z >= 4, "critical").when(size_z >= 3, "high").when(size_z >= 2.5, "medium").when(size_z >= 2, "low").otherwise("none")
+    return out.withColumn("anomaly", size_z >= limit).withColumn("severity", severity).withColumn("kind", F.when(F.col("z") > 0, "spike").when(F.col("z") < 0, "drop").otherwise("flat"))
+
+
+def time_window_stats(points: DataFrame, keys: list[str], ts: str, value: str, seconds: int = 300) -> DataFrame:
+    """Count, mean, extremes and rate a minute over the last `seconds` up to each row's time (ties included)."""
+    w = Window.partitionBy(*keys).orderBy("__s").rangeBetween(-seconds * 1_000_000, 0)
+    t = points.withColumn("__s", micros(ts))
+    n, first = F.count(value).over(w), F.min("__s").over(w)
+    span = (F.col("__s") - first) / 1e6
+    rate = F.when((n <= 1) | (span <= 0), n * 60.0 / seconds).otherwise(n / span * 60)
+    return (
+        t.withColumn("n", n).withColumn("mean", F.round(F.avg(value).over(w), 4)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
+        .withColumn("rate_per_minute", F.round(rate, 4)).drop("__s")
+    )
+
+
+def price_changes(prices: DataFrame, item: str = "item_id", order: tuple[str, ...] = ("ts", "event_id"), price: str = "price", significant: float = 20.0) -> DataFrame:
+    """Snapshots whose price differs from the one before, against it and against the first."""
+    w = Window.partitionBy(item).orderBy(*order)
+    rows = prices.withColumn("price_before", F.lag(price).over(w)).withColumn("initial", F.first(price).over(w))
+    rows = rows.filter(F.col("price_before").isNotNull() & (F.col(price) != F.col("price_before")))
+    delta, from_first = F.col(price) - F.col("price_before"), F.col(price) - F.col("initial")
+    percent = F.when(F.col("price_before") > 0, delta * 100 / F.col("price_before")).otherwise(F.lit(0.0))
+    return rows.select(
+        item, *order, "price_before", F.col(price).alias("price_after"), F.round(delta, 4).alias("delta"), F.round(percent, 4).alias("delta_percent"),
+        F.round(from_first, 4).alias("delta_from_initial"), F.round(F.when(F.col("initial") > 0, from_first * 100 / F.col("initial")).otherwise(F.lit(0.0)), 4).alias("delta_from_initial_percent"),
+        F.when(delta > 0, "up").otherwise("down").alias("direction"), (F.abs(percent) >= significant).alias("is_significant"),
+    )
+
+
+def price_report(prices: DataFrame, item: str = "item_id", price: str = "price") -> DataFrame:
+    """First, last, lowest and highest price per item, with the change from first to last."""
+    first, last = F.min_by(price, F.struct("ts", "event_id")), F.max_by(price, F.struct("ts", "event_id"))
+    rows = prices.groupBy(item).agg(F.count(F.lit(1)).alias("n"), first.alias("first_price"), last.alias("last_price"), F.min(price).alias("lowest"), F.max(price).alias("highest"))
+    delta = F.col("last_price") - F.col("first_price")
+    return rows.withColumn("delta", F.round(delta, 4)).withColumn("delta_percent", F.round(F.when(F.col("first_price") > 0, delta * 100 / F.col("first_price")).otherwise(F.lit(0.0)), 4)).withColumn(
+        "trend", F.when(delta > 0, "rise").when(delta < 0, "fall").otherwise("stable"))
+
+
+def last_three_trend(prices: DataFrame, item: str = "item_id", price: str = "price") -> DataFrame:
+    """rising, falling or fluctuating over an item's last three snapshots (non-strict; one snapshot: insufficient)."""
+    ranked = prices.withColumn("r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("ts"), F.desc("event_id")))).filter("r <= 3")
+    p = [F.max(F.when(F.col("r") == k, F.col(price))) for k in (1, 2, 3)]
+    rows = ranked.groupBy(item).agg(F.count(F.lit(1)).alias("n"), *(x.alias(f"p{k}") for k, x in enumerate(p, 1)))
+    up = (F.col("p1") >= F.col("p2")) & F.coalesce(F.col("p2") >= F.col("p3"), F.lit(True))
+    down = (F.col("p1") <= F.col("p2")) & F.coalesce(F.col("p2") <= F.col("p3"), F.lit(True))
+    return rows.select(item, F.when(F.col("n") < 2, "insufficient").when(up, "rising").when(down, "falling").otherwise("fluctuating").alias("trend"))
+
+
+def ema(points: DataFrame, keys: list[str], order: list[str], value: str, span: int = 10) -> DataFrame:
+    """Final exponential moving average per key, alpha = 2 / (span + 1), seeded with the first value.
+
+    The weights alpha (1 - alpha)**age are negligible (below 1e-16) beyond a fixed age, so only that many last rows
+    of a key are folded and a key's history is never gathered whole; the seed's weight is exact while it is among them.
+    """
+    import math
+
+    alpha = 2 / (span + 1)
+    horizon = math.ceil(math.log(1e-16) / math.log(1 - alpha)) if alpha < 1 else 1
+    w = Window.partitionBy(*keys)
+    age = F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))
+    rows = points.select(*keys, *order, value, age.alias("__age")).filter(F.col("__age") <= horizon)
+    folded = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("__age")).alias("a"), F.col(value).cast("double").alias("v")))).alias("x"))
+    out = F.aggregate(F.slice("x", 2, horizon), F.element_at("x", 1)["v"], lambda acc, p: acc * (1 - alpha) + p["v"] * alpha)
+    return folded.select(*keys, F.round(out, 6).alias("ema"))
+
+
+def intervals(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """(key, hours) between consecutive events of a key."""
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    return events.select(key, ((micros(ts) - micros(F.lag(ts).over(w))) / 3.6e9).alias("hours")).filter("hours IS NOT NULL")
+
+
+def interval_stats(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """Interval mean, median and deviation per key (positive intervals), posting regularity and burstiness."""
+    rows = intervals(events, key, ts, tie).filter("hours > 0").groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_intervals"), F.avg("hours").alias("m"), F.percentile("hours", 0.5).alias("md"), F.coalesce(F.stddev_samp("hours"), F.lit(0.0)).alias("sd"), F.stddev_pop("hours").alias("sp"))
+    return rows.select(
+        key, "n_intervals", F.round("m", 4).alias("mean_hours"), F.round("md", 4).alias("median_hours"), F.round("sd", 4).alias("deviation_hours"),
+        F.round(F.greatest(F.lit(0.0), 1 - F.col("sp") / F.col("m")), 4).alias("regularity"), F.round((F.col("sp") - F.col("m")) / (F.col("sp") + F.col("m")), 4).alias("burstiness"))
+
+
+def half_trend(points: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Mean of the second half of a series against the first: up or down beyond 10 %, else stable."""
+    w = Window.partitionBy(*keys)
+    rows = points.select(*keys, value, F.row_number().over(w.orderBy(*order)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    half = F.floor(F.col("n") / 2)
+    first, second = F.avg(F.when(F.col("i") <= half, F.col(value))), F.avg(F.when(F.col("i") > half, F.col(value)))
+    return rows.groupBy(*keys).agg(first.alias("a"), second.alias("b")).select(
+        *keys, F.round("a", 9).alias("first_half"), F.round("b", 9).alias("second_half"),
+        F.when(F.col("b") > F.col("a") * 1.1, "increasing").when(F.col("b") < F.col("a") * 0.9, "decreasing").otherwise("stable").alias("trend"))
+
+
+def gaps(values: DataFrame, keys: list[str], value: str, beyond: int = 1) -> DataFrame:
+    """Places where consecutive distinct values are more than `beyond` apart."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    rows = values.select(*keys, value).distinct().withColumn("next_value", F.lead(value).over(w))
+    return rows.filter(F.col("next_value") - F.col(value) > beyond).withColumn("gap", (F.col("next_value") - F.col(value)).cast("long"))
+
+
+def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes") -> DataFrame:
+    """Session windows: start, end (of the last event) and number of events."""
+    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("session_start"), F.max(ts).alias("session_end")).drop("w")
