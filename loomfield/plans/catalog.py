@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def _load() -> None:
-    from . import networks, rollups, series, trends  # noqa: F401
+    from . import networks, relations, rollups, series, trends  # noqa: F401
 
 
 def queries() -> dict[str, Plan]:
