@@ -141,8 +141,8 @@ def scaling_breaks(items: DataFrame, keys: list[str], value: str, least: int = 2
 
 def entropy(items: DataFrame, keys: list[str], category: str) -> DataFrame:
     """Shannon entropy in bits of a category per group."""
-    c = items.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("c"))
-    total = c.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    c = items.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("__c"))
+    total = c.groupBy(*keys).agg(F.sum("__c").alias("n"), F.sum(F.col("__c") * F.log2("__c")).alias("s"))
     return total.select(*keys, F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("entropy"))
 
 
