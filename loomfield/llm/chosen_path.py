@@ -12,12 +12,14 @@ candidates. After the links of all forests are confirmed and joined to component
 between members of different components, whatever failed before: so a pair of a node is either confirmed, or
 refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost.
 
-In a large node most members may be of one component by then. If at most NODE members are not (`outsiders`), these
-are compared with all members, in blocks: a cost in proportion to the node.
+In a large node many members may be of one component by then. The others are outsiders of it if they share at least
+half of TOKENS sketch tokens with its members' (a join in proportion to the rows). Outsiders are compared with the
+whole component, block by block and on full sets at once; one link to a block is enough.
 
 Recall: a pair at the threshold misses all trees' first tokens with probability 0.2**8 (3e-6); the sketch screen
-loses about 3e-5. Only inside nodes of over NODE members with many outsiders can recall be lower. Members that
-no level separates (nearly equal texts by the thousand) are cut into nodes of NODE and each tied to a pivot.
+loses about 3e-5. Only inside nodes of over NODE members can recall be lower, and there outsiders are searched
+exactly. Members that no level separates (nearly equal texts by the thousand) are cut into nodes of NODE and each
+tied to a pivot.
 
 Scale: nothing is collected; nodes' sizes come from map-side partial counts; a node of a third of all rows is
 never gathered, its rows meet the node's count in a join that adaptive execution can split and go on to the next
@@ -35,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import BROADCAST_IDS, checkpointed, without_ids
 
-COORDINATES, TREES, NODE, LEVELS, BRANCHES, BLOCK = 64, 8, 256, 6, 2, 1024
+COORDINATES, TREES, NODE, LEVELS, BRANCHES, BLOCK = 64, 8, 256, 6, 1, 512
 SCREEN = 0.6
-#: Up to so many ids (of 8 bytes) may be broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 200_000
+#: Rows in one partition of intermediate tables of known size: small tables don't need many tasks and files.
+PARTITION_ROWS = 50_000
+#: Sketch tokens that tell outsiders near to a component; of a pair at 0.8, fewer than half agree with probability 3e-4.
+TOKENS = 24
 
 _RANDOM = np.random.RandomState(20)
 _MULTIPLY = _RANDOM.randint(0, 2**62, COORDINATES).astype(np.uint64) * np.uint64(4) + np.uint64(5)
@@ -166,39 +170,60 @@ def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, perc
     return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
-def _candidates(percent: int, kind: str):
-    """Candidates of whole nodes: kind is `forest`, `across` (components) or `outside`."""
+def _candidates(percent: int, grouped: bool):
+    """Candidates of whole nodes: a forest, or with components all pairs across them."""
 
     def run(batches):
         for rows in _whole_nodes(batches):
             path = rows.column(0).to_numpy(zero_copy_only=False)
             ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            group = rows.column(4).to_numpy(zero_copy_only=False) if kind != "forest" else None
-            outside = rows.column(5).to_numpy(zero_copy_only=False) if kind == "outside" else None
+            group = rows.column(4).to_numpy(zero_copy_only=False) if grouped else None
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-            found = [(ids[:0], ids[:0])]
+            found = [(ids[:0], ids[:0], path[:0])]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
-                if y - x > 1 and kind == "outside":
-                    found.append(outsider_candidates(ids[x:y], sizes[x:y], sketch[x:y], group[x:y], outside[x:y], percent))
-                elif y - x > 1:
-                    found.append(node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y]))
-            both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
+                if y - x > 1:
+                    a, b = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y])
+                    found.append((a, b, np.full(len(a), path[x])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["a", "b", "path"])
 
     return run
 
 
-def outsider_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, group: np.ndarray, outside: np.ndarray, percent: int):
-    """Pairs of one block between its outsiders and all members of other components."""
-    found = []
-    for k in np.flatnonzero(outside):
-        fits = (group != group[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
-        at = np.flatnonzero(fits)
-        at = at[(sketch[at] == sketch[k]).sum(axis=1) >= SCREEN * COORDINATES]
-        found.append(np.stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])]))
-    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return both[0], both[1]
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least percent of their union."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _outsider_links(percent: int):
+    """One link from each outsider of a block to a member, if there is any."""
+
+    def run(batches):
+        for rows in _whole_nodes(batches):
+            path, ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            outside = rows.column(4).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
+            a, b = [], []
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                members = x + np.flatnonzero(~outside[x:y])
+                for v in x + np.flatnonzero(outside[x:y]):
+                    fits = members[100 * np.minimum(sizes[members], sizes[v]) >= percent * np.maximum(sizes[members], sizes[v])]
+                    same = (sketch[fits] == sketch[v]).sum(axis=1)
+                    own = np.frombuffer(rows.column(5)[int(v)].as_py(), np.uint64)
+                    for k in np.argsort(-same, kind="stable"):
+                        if same[k] < SCREEN * COORDINATES:
+                            break
+                        if _similar(own, np.frombuffer(rows.column(5)[int(fits[k])].as_py(), np.uint64), percent):
+                            a.append(min(ids[v], ids[fits[k]]))
+                            b.append(max(ids[v], ids[fits[k]]))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _whole_nodes(batches):
@@ -218,16 +243,22 @@ def _whole_nodes(batches):
 
 
 def _confirmed(percent: int):
+    """The similar pairs of whole nodes; a node's rows are its members' sets (b null), then its pairs."""
+
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for rows in _whole_nodes(batches):
+            path, a = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            member = rows.column(2).is_null().to_numpy(zero_copy_only=False)
+            b = rows.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
+            left, right = [], []
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                sets = {int(a[k]): np.frombuffer(rows.column(3)[int(k)].as_py(), np.uint64) for k in x + np.flatnonzero(member[x:y])}
+                for k in x + np.flatnonzero(~member[x:y]):
+                    if _similar(sets[int(a[k])], sets[int(b[k])], percent):
+                        left.append(a[k])
+                        right.append(b[k])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -240,46 +271,97 @@ def _sets(words: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids in docs (id, text) whose full sets have the wanted similarity."""
-    pairs = checkpointed(pairs.distinct())
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the ids (one column `id`, distinct), made from the texts of docs (id, text)."""
+    ids = checkpointed(ids)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = checkpointed(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, set binary"))
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+    return checkpointed(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, set binary"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b, path) of ids in docs (id, text) whose full sets have the wanted similarity.
+
+    A pair is confirmed in one of its nodes (path), to which each member's set goes once, however many pairs it has there.
+    """
+    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.min("path").alias("path")))
+    members = pairs.select("path", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets_of(members.select("id").distinct(), docs, words)
+    rows = members.join(sets, "id").select("path", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = rows.unionByName(pairs.select("path", "a", "b", F.lit(None).cast("binary").alias("set")))
+    return rows.repartition("path").sortWithinPartitions("path", F.asc_nulls_first("b")).mapInArrow(_confirmed(percent), "a long, b long")
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, checkpointed in as many partitions as at most so many rows need."""
+    return checkpointed(df.coalesce(1 + rows // PARTITION_ROWS))
+
+
+def _contracted(batches):
+    """A partition's edges (u, v) as stars: every node but the smallest of its component there, with the smallest."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    stars = [(x, find(x)) for x in list(root)]
+    stars = [s for s in stars if s[0] != s[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(a, b) to (node, component), the smallest node reachable; and a bound of its rows.
+
+    Partitions of about PARTITION_ROWS edges are contracted to stars by themselves. Where there are several, large and
+    small stars (aggregations and joins) and contractions go on by turns until nothing changes.
+    """
+    edges = checkpointed(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    n = edges.count()
+    parts = 1 + n // PARTITION_ROWS
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) to (node, component), the smallest node reachable; by alternating large and small stars."""
-    edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
+    def contracted(df: DataFrame) -> DataFrame:
+        return checkpointed(df.coalesce(parts).mapInArrow(_contracted, "u long, v long"))
+
+    state, edges = None, contracted(edges)
+    while parts > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpointed(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = packed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * n)
+        large = packed(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct(), 2 * n)
+        least = packed(large.groupBy("u").agg(F.min("v").alias("m")), 2 * n)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
+        edges = contracted(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         state = now
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), 2 * n
 
 
-def nodes_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, id, n, sketch) of the trees' first level to two tables: nodes of 2 to NODE members, and (with c) larger ones."""
-    light, large = [], []
+def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(path, id, n, sketch) of the trees' first level, of so many rows, to nodes of 2 to NODE members; to the members of
+    larger ones (with c); and a bound of the latter's number."""
+    light, large, heavy_rows = [], [], 0
     for level in range(1, LEVELS + 1):
-        counts = checkpointed(members.groupBy("path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-        shared = checkpointed(members.join(counts, "path").select("path", "id", "n", "sketch", "c"))
+        counts = packed(members.groupBy("path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), rows)
+        shared = packed(members.join(counts, "path").select("path", "id", "n", "sketch", "c"), rows)
         light.append(shared.filter(F.col("c") <= NODE).drop("c"))
         heavy = shared.filter(F.col("c") > NODE)
         large.append(heavy)
-        if heavy.isEmpty():
+        rows = heavy.count()
+        heavy_rows += rows
+        if not rows:
             break
         if level < LEVELS:
-            members = checkpointed(heavy.drop("c").mapInArrow(_branched(level), "path long, id long, n long, sketch binary"))
+            rows *= BRANCHES
+            members = packed(heavy.drop("c").mapInArrow(_branched(level), "path long, id long, n long, sketch binary"), rows)
             continue
         # what no level separated: pieces of a node, each with the node's smallest member as a pivot
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") * 2 / NODE))
@@ -287,22 +369,38 @@ def nodes_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         pivot = heavy.groupBy("path").agg(F.min(F.struct("id", "n", "sketch")).alias("p"))
         tied = cut.select("path", "node").distinct().join(pivot, "path").select(F.col("node").alias("path"), "p.id", "p.n", "p.sketch")
         light.append(cut.select(F.col("node").alias("path"), "id", "n", "sketch").unionByName(tied).distinct())
-    return reduce(DataFrame.unionByName, light), reduce(DataFrame.unionByName, large)
+    return reduce(DataFrame.unionByName, light), reduce(DataFrame.unionByName, large), heavy_rows
 
 
-def outsider_blocks(large: DataFrame, known: DataFrame) -> DataFrame:
-    """Blocks of about BLOCK members of each large node that is of one component but for 1 to NODE outsiders, who join
-    every block: (path, id, n, sketch, component, outside)."""
-    placed = checkpointed(large.join(known, "id", "left").select("path", "id", "n", "sketch", "c", F.coalesce("component", "id").alias("component")))
+def outsider_links(large: DataFrame, large_rows: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of outsiders of large nodes to the component that most members of the node are of."""
+    placed = packed(large.select("path", "id", "c").join(known, "id", "left").select("path", "id", "c", F.coalesce("component", "id").alias("component")), large_rows)
     sizes = placed.groupBy("path", "component", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("path", "c").agg(F.max(F.struct("m", "component")).alias("top")).filter((F.col("c") > F.col("top.m")) & (F.col("c") - F.col("top.m") <= NODE))
-    main = checkpointed(main.select("path", F.col("top.component").alias("main"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
-    rows = placed.join(main, "path").withColumn("outside", F.col("component") != F.col("main"))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    return rows.select("path", "id", "n", "sketch", "component", "outside", F.explode(F.when(F.col("outside"), every).otherwise(own)).alias("block")).select(
-        F.xxhash64("path", "block").alias("path"), "id", "n", "sketch", "component", "outside"
-    )
+    main = sizes.groupBy("path", "c").agg(F.max(F.struct("m", "component")).alias("top")).filter((F.col("c") > F.col("top.m")) & (F.col("c") <= 8 * F.col("top.m")))
+    main = packed(main.select("path", F.col("top.component").alias("main")), large_rows)
+    met = packed(placed.join(main, "path").filter("component <> main").select("main", "id").distinct(), large_rows)
+    tokens = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda j: F.struct(j.alias("j"), F.substring("sketch", j * 2 + 1, F.lit(2)).alias("v")))).alias("t")
+    sketches = classes.select("id", "sketch")
+    mains = known.join(met.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+    held = packed(mains.join(sketches, "id").select(F.col("component").alias("main"), tokens).distinct(), large_rows * TOKENS)
+    outs = met.join(sketches, "id").select("main", "id", tokens).join(held, ["main", "t"]).groupBy("main", "id").agg(F.count(F.lit(1)).alias("k"))
+    outs = packed(outs.filter(F.col("k") >= TOKENS // 2).select("main", "id"), large_rows)
+    members = known.join(outs.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+    counts = outs.groupBy(F.col("main").alias("component")).agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("chunks"))
+    counts = packed(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(counts, "component"), large_rows)
+
+    def part(n: str):
+        return F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+
+    def every(n: str):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    inside = members.join(counts, "component").select("component", "id", F.explode(every("chunks")).alias("chunk"), F.element_at(part("blocks"), 1).alias("block"), F.lit(False).alias("outside"))
+    outside = outs.withColumnRenamed("main", "component").join(counts, "component").select("component", "id", F.element_at(part("chunks"), 1).alias("chunk"), F.explode(every("blocks")).alias("block"), F.lit(True).alias("outside"))
+    rows = checkpointed(inside.unionByName(outside).select(F.xxhash64("component", "chunk", "block").alias("path"), "id", "outside"))
+    full = sets_of(rows.select("id").distinct(), texts, words).join(classes.select("id", "n", "sketch"), "id")
+    blocks = rows.join(full, "id").select("path", "id", "n", "sketch", "outside", "set")
+    return blocks.repartition("path").sortWithinPartitions("path").mapInArrow(_outsider_links(percent), "a long, b long")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -315,24 +413,30 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prepared = checkpointed(rows.mapInArrow(_sketches(words), "doc_id long, n long, key binary, sketch binary, paths array<bigint>"))
-    classes = checkpointed(
-        prepared.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    total = prepared.count()
+    classes = packed(
+        prepared.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), total
     )
-    nodes, large = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"))
+    nodes, large, large_rows = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"), classes.count() * TREES)
     texts = rows.select(F.col("doc_id").alias("id"), "text")
     sorted_nodes = nodes.repartition("path").sortWithinPartitions("path")
-    links = confirm(sorted_nodes.mapInArrow(_candidates(percent, "forest"), "a long, b long"), texts, words, percent)
-    joined = components(links)
-    known = checkpointed(joined.select(F.col("node").alias("id"), "component"))
+    links = confirm(sorted_nodes.mapInArrow(_candidates(percent, False), "a long, b long, path long"), texts, words, percent)
+    joined, bound = components(links)
+    known = packed(joined.select(F.col("node").alias("id"), "component"), bound)
     grouped = nodes.join(known, "id", "left").select("path", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    across = grouped.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, "across"), "a long, b long")
-    outside = outsider_blocks(large, known).repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, "outside"), "a long, b long")
-    rest = confirm(across.unionByName(outside), texts, words, percent)
-    final = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    labelled = checkpointed(classes.select("key", "id").join(final, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component")))
+    across = grouped.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
+    rest = confirm(across, texts, words, percent).unionByName(outsider_links(large, large_rows, known, classes, texts, words, percent))
+    final, _ = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    labelled = packed(classes.select("key", "id").join(final, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component")), total)
     return prepared.select("doc_id", "n", "key").join(labelled, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_dup keeps (one document of each component), with all their columns."""
+    decided = near_dup(docs, id_col, text_col, words, percent)
+    return without_ids(docs, decided.filter(~F.col("kept")).select("doc_id"), id_col)
