@@ -65,7 +65,7 @@ def top_share(items: DataFrame, keys: list[str], value: str, percent: float = 10
 def rollup_report(items: DataFrame, keys: list[str], value: str, distinct: str) -> DataFrame:
     """Rows, total, mean and distinct count per group."""
     return items.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 2).alias("total"), F.round(F.avg(value), 4).alias("mean"), F.count_distinct(distinct).alias("n_distinct")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 2).alias("total"), F.round(F.avg(value), 8).alias("mean"), F.count_distinct(distinct).alias("n_distinct")
     )
 
 

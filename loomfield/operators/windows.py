@@ -59,7 +59,7 @@ def time_window_stats(points: DataFrame, keys: list[str], ts: str, value: str, s
     span = (F.col("__s") - first) / 1e6
     rate = F.when((n <= 1) | (span <= 0), n * 60.0 / seconds).otherwise(n / span * 60)
     return (
-        t.withColumn("n", n).withColumn("mean", F.round(F.avg(value).over(w), 4)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
+        t.withColumn("n", n).withColumn("mean", F.round(F.avg(value).over(w), 8)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
         .withColumn("rate_per_minute", F.round(rate, 4)).drop("__s")
     )
 

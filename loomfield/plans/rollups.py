@@ -48,7 +48,7 @@ def immediacy_index(spark, sf_dir):
     return T.papers(spark, sf_dir).groupBy("journal").agg(F.round(F.avg(F.when(F.col("year") == 1997, F.col("citation_count"))), 6).alias("immediacy_index"))
 
 
-@query("funder_rollup", """SELECT n_name AS funder, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(DISTINCT o_custkey) AS n_distinct
+@query("funder_rollup", """SELECT n_name AS funder, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 8) AS mean, count(DISTINCT o_custkey) AS n_distinct
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def funder_rollup(spark, sf_dir):
     o, c, n = (T.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
@@ -76,10 +76,10 @@ def author_fold(spark, sf_dir):
     return r.groupBy("author_id").agg(F.sum("c").alias("n_papers"), F.sum("s").cast("long").alias("citations"), F.max(F.when(F.col("rn") == 1, F.col("topic"))).alias("main_topic"), F.array_join(top, ",").alias("top_topics"))
 
 
-@query("follower_stats", """SELECT c_mktsegment AS platform, count(*) AS n_users, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS lowest, max(c_acctbal) AS highest FROM customer GROUP BY 1""")
+@query("follower_stats", """SELECT c_mktsegment AS platform, count(*) AS n_users, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 8) AS mean, min(c_acctbal) AS lowest, max(c_acctbal) AS highest FROM customer GROUP BY 1""")
 def follower_stats(spark, sf_dir):
     return T.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("platform")).agg(
-        F.count(F.lit(1)).alias("n_users"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.min("c_acctbal").alias("lowest"), F.max("c_acctbal").alias("highest"))
+        F.count(F.lit(1)).alias("n_users"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.round(F.avg("c_acctbal"), 8).alias("mean"), F.min("c_acctbal").alias("lowest"), F.max("c_acctbal").alias("highest"))
 
 
 @query("success_rates", """SELECT user_id % 10 AS pattern_key, event_type AS audience, count(*) AS uses, count(*) FILTER (WHERE value > 50) AS wins, round(count(*) FILTER (WHERE value > 50) / count(*), 6) AS success_rate FROM events GROUP BY 1, 2""")
@@ -94,30 +94,30 @@ def best_patterns(spark, sf_dir):
     return A.success_rate(e, ["pattern_key"], F.col("value") > 50).orderBy(F.desc("success_rate"), "pattern_key").limit(20)
 
 
-@query("metric_stats", """SELECT event_type AS metric, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS deviation, max_by(value, struct_pack(ts := ts, id := event_id)) AS gauge FROM events GROUP BY 1""")
+@query("metric_stats", """SELECT event_type AS metric, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 8) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS deviation, max_by(value, struct_pack(ts := ts, id := event_id)) AS gauge FROM events GROUP BY 1""")
 def metric_stats(spark, sf_dir):
     return T.metrics(spark, sf_dir).groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 4).alias("mean"),
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 8).alias("mean"),
         F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("deviation"), F.max_by("value", F.struct("ts", "event_id")).alias("gauge"))
 
 
 @query("collector_totals", """SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate,
- round(avg(value) FILTER (WHERE event_type <> 'error'), 4) AS mean_ok, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 4) AS uptime_hours FROM events GROUP BY 1""")
+ round(avg(value) FILTER (WHERE event_type <> 'error'), 8) AS mean_ok, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 4) AS uptime_hours FROM events GROUP BY 1""")
 def collector_totals(spark, sf_dir):
     error = F.col("event_type") == "error"
     return T.table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(error).alias("errors"), F.round(F.count_if(error) / F.count(F.lit(1)), 6).alias("error_rate"),
-        F.round(F.avg(F.when(~error, F.col("value"))), 4).alias("mean_ok"), F.round((micros(F.max("ts")) - micros(F.min("ts"))) / 3.6e9, 4).alias("uptime_hours"))
+        F.round(F.avg(F.when(~error, F.col("value"))), 8).alias("mean_ok"), F.round((micros(F.max("ts")) - micros(F.min("ts"))) / 3.6e9, 4).alias("uptime_hours"))
 
 
 @query("model_accuracy", """WITH r AS (SELECT event_type AS model, value, (value > 50) = (user_id % 2 = 0) AS correct, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT model, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(value) FILTER (WHERE rn <= 1000), 4) AS mean_latency FROM r GROUP BY 1""")
+SELECT model, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(value) FILTER (WHERE rn <= 1000), 8) AS mean_latency FROM r GROUP BY 1""")
 def model_accuracy(spark, sf_dir):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
     e = T.table(spark, sf_dir, "events")
-    recent = e.select("event_type", "ts", "event_id", "value").withColumn("rn", F.row_number().over(w)).filter("rn <= 1000").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean_latency"))
+    recent = e.select("event_type", "ts", "event_id", "value").withColumn("rn", F.row_number().over(w)).filter("rn <= 1000").groupBy("event_type").agg(F.round(F.avg("value"), 8).alias("mean_latency"))
     correct = ((F.col("value") > 50) == (F.col("user_id") % 2 == 0)).cast("int")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(correct), 6).alias("accuracy")).join(recent, "event_type").withColumnRenamed("event_type", "model")
 
@@ -227,12 +227,12 @@ def table_counts(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("rank_videos", """SELECT p_partkey AS video_id, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS rank, round(avg(p_retailprice) OVER (PARTITION BY p_brand), 4) AS mean_score FROM part""")
+@query("rank_videos", """SELECT p_partkey AS video_id, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS rank, round(avg(p_retailprice) OVER (PARTITION BY p_brand), 8) AS mean_score FROM part""")
 def rank_videos(spark, sf_dir):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("p_brand")
-    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"), "p_brand", F.rank().over(w.orderBy(F.desc("p_retailprice"))).alias("rank"), F.round(F.avg("p_retailprice").over(w), 4).alias("mean_score"))
+    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"), "p_brand", F.rank().over(w.orderBy(F.desc("p_retailprice"))).alias("rank"), F.round(F.avg("p_retailprice").over(w), 8).alias("mean_score"))
 
 
 @query("cube_report", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")

@@ -35,7 +35,7 @@ def composite_rate_limit(spark, sf_dir):
 
 
 @query("metric_window_stats", """WITH s AS (SELECT event_id, event_type AS metric, count(*) OVER w AS n, avg(value) OVER w AS m, min(value) OVER w AS low, max(value) OVER w AS high, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 1e6 AS span FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW))
-SELECT event_id, metric, n, round(m, 4) AS mean, low, high, round(CASE WHEN n <= 1 OR span <= 0 THEN n * 60.0 / 300 ELSE n / span * 60 END, 4) AS rate_per_minute FROM s""")
+SELECT event_id, metric, n, round(m, 8) AS mean, low, high, round(CASE WHEN n <= 1 OR span <= 0 THEN n * 60.0 / 300 ELSE n / span * 60 END, 4) AS rate_per_minute FROM s""")
 def metric_window_stats(spark, sf_dir):
     return W.time_window_stats(T.metrics(spark, sf_dir), ["metric"], "ts", "value").drop("ts", "value", "user_id")
 
@@ -104,9 +104,9 @@ def user_sessions(spark, sf_dir):
     return W.sessions(T.posts(spark, sf_dir), "user_id", "ts")
 
 
-@query("tumbling_hour_counts", """SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2""")
+@query("tumbling_hour_counts", """SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2""")
 def tumbling_hour_counts(spark, sf_dir):
-    rows = T.posts(spark, sf_dir).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    rows = T.posts(spark, sf_dir).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("mean"))
     return rows.select("event_type", F.col("w.start").alias("hour"), "n", "mean")
 
 

@@ -42,10 +42,10 @@ def _events(spark, sf_dir):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_tumbling", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("stream_tumbling", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     rows = _to_table(spark, M.tumbling_counts(_events(spark, sf_dir), "event_type", "ts", "value"), "complete")
-    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 4).alias("mean"))
+    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 8).alias("mean"))
 
 
 @query("stream_distinct", "SELECT count(DISTINCT event_id) AS n FROM events")

@@ -124,7 +124,7 @@ def alerts(events: DataFrame, key: str, seconds: str, cooldown: float = 300, hou
 
         return _stateful(events, key, run, schema, "sent array<double>")
 
-    def whole(name, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _alerts(name, rows, [], key, seconds, cooldown, hourly)[1]
 
     return events.select(key, seconds).groupBy(key).applyInPandas(whole, schema)
@@ -134,7 +134,7 @@ def circuit_breaker(calls: DataFrame, key: str, order: str, ok: str, failures: i
     """(key, order, state) after each call: closed, open after so many failures in a row, half_open once `wait` has passed."""
     kinds = dict(calls.dtypes)
 
-    def run(name, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state, bad, since, out = "closed", 0, 0.0, []
         for t, good in zip(*(rows.sort_values(order)[c] for c in (order, ok)), strict=True):
             if state == "open" and t - since >= wait:
@@ -155,7 +155,7 @@ def token_bucket(requests: DataFrame, key: str, seconds: str, rate: float = 1.0,
     """(key, seconds, allowed) of requests in order against a bucket that fills at `rate` a second."""
     kinds = dict(requests.dtypes)
 
-    def run(name, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         level, last, out = capacity, None, []
         for t in sorted(rows[seconds]):
             level = min(capacity, level + (t - last) * rate) if last is not None else level

@@ -197,3 +197,45 @@ def test_importance(spark):
     df = spark.createDataFrame([(float(i % 2), float(i), float(i % 2)) for i in range(200)], "x double, noise double, label double")
     got = dict(rows(scoring.permutation_importance(df, lambda d: d.withColumn("prediction", F.col("x")), ["x", "noise"], "label")))
     assert got["x"] > 0.2 and got["noise"] == 0
+
+
+def test_signature(spark):
+    import hashlib
+    import hmac
+
+    from loomfield.operators import extract
+
+    got = spark.range(1).select(extract.signature(F.lit('{"k": 1}'), "s3cret", F.lit(17))).first()[0]
+    assert got == hmac.new(b"s3cret", b'17.{"k": 1}', hashlib.sha256).hexdigest()
+    assert extract.expanded_query("deep learning", {"deep": ["neural", "layered"]}, 1) == '("deep" OR "neural") AND "learning"'
+
+
+def test_streams_agree_with_batch(spark, tmp_path):
+    """A stream in several micro-batches gives what one batch does; a resumed sink writes nothing twice."""
+    from loomfield.streaming import metrics as M
+
+    rows = spark.createDataFrame([(f"m{i % 2}", i, float(i % 7)) for i in range(60)], "k string, i long, v double")
+    for n in range(3):
+        rows.filter(F.col("i").between(20 * n, 20 * n + 19)).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = M.run_to_memory(M.ema_stream(src, "k", "i", "v"), "ema_rows", str(tmp_path / "c1"))
+    want = {}
+    for k, i, v in rows.orderBy("i").collect():
+        want[k] = v if k not in want else 2 / 11 * v + 9 / 11 * want[k]
+    assert got.count() == 60
+    assert {r.k: round(r.e, 9) for r in got.groupBy("k").agg(F.max_by("ema", "i").alias("e")).collect()} == {k: round(v, 9) for k, v in want.items()}
+    seen = []
+    for _ in range(2):
+        M.filtered_sink(src, [F.col("v") > 3, F.col("i") < 50], lambda b, n: seen.extend(r.i for r in b.collect()), str(tmp_path / "c2")).awaitTermination()
+    assert sorted(seen) == [i for i in range(50) if i % 7 > 3]
+
+
+def test_alerts_and_limits(spark):
+    from loomfield.streaming import metrics as M
+
+    e = spark.createDataFrame([("a", float(t)) for t in (0, 100, 299, 301, 5000)], "k string, s double")
+    assert sorted(r.s for r in M.alerts(e, "k", "s").collect()) == [0.0, 301.0, 5000.0]
+    got = M.token_bucket(e, "k", "s", rate=0.001, capacity=2.0).orderBy("s").collect()
+    assert [r.allowed for r in got] == [True, True, False, False, True]
+    calls = spark.createDataFrame([("a", float(t), ok) for t, ok in ((0, False), (1, False), (2, True), (70, True), (71, False))], "k string, t double, ok boolean")
+    assert [r.state for r in M.circuit_breaker(calls, "k", "t", "ok", failures=2).orderBy("t").collect()] == ["closed", "open", "open", "closed", "closed"]
