@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def _load() -> None:
-    from . import distributions, extracts, networks, records, relations, rollups, series, streams, texts, trends  # noqa: F401
+    from . import compounds, distributions, extracts, networks, records, relations, rollups, series, streams, texts, trends  # noqa: F401
 
 
 def queries() -> dict[str, Plan]:
