@@ -214,6 +214,14 @@ def test_pii(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_more_formats(spark):
+    text = "v6 2001:0db8:85a3:0000:0000:8a2e:0370:7334 mac 00:1B:44:11:3a:b7 tel +33 1 23 45 67 89 and +49 30 1234567, not 12:30:45 or 1.2.3"
+    out = pii.replace_pii(docs(spark, [(1, text)]), "k", count_col="n_pii").first()
+    assert out.n_pii == 4 and out.text.endswith(", not 12:30:45 or 1.2.3")
+    assert re.match(r"v6 (?:[0-9a-f]{4}:){7}[0-9a-f]{4} mac (?:[0-9A-Fa-f]{2}:){5}[0-9a-f]{2} tel \+33 \d \d\d \d\d \d\d \d\d and \+49 \d\d \d{7},", out.text)
+    assert not any(x in out.text for x in ("8a2e", "1B:44", "23 45 67", "1234567"))
+
+
 def test_pii_collisions(spark):
     """A crowded format: every one-letter-one-digit part still gets a surrogate of its own, unlike any part."""
     parts = spark.createDataFrame([("secret", f"{c}{d}") for c in "abcdefghij" for d in range(10)], "kind string, norm string")

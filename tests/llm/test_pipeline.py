@@ -13,7 +13,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables"
 
 
 def table(spark):
-    text = " ".join(f"word{k}" for k in range(40))
+    text = " ".join(f"word{k}" for k in range(80))
     rows = [
         (1, text, "en", "a", 1), (2, text + " ", "en", "b", 1), (3, text.replace("word7 ", "other "), "en", "c", 1), (4, "### 123", "en", "a", 1), (5, None, None, None, None),
         (6, "mail bob.smith@mail1.example.com please, this is a clean letter", "en", "d", 1), (7, "eine saubere Nachricht mit einigen Wörtern", "de", "a", 1),
@@ -71,3 +71,24 @@ def test_query(spark, name):
 def test_split_of_large_texts(spark):
     docs = spark.createDataFrame([(1, "a " * 5000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.packing(spark, docs, "").agg(F.sum("piece_length")).first()[0] == 5000
+
+
+@needs_tables
+def test_run_brute_force(spark):
+    """What each stage keeps of the real documents, against brute force on the stage's own input."""
+    from test_operators import brute_exact, brute_near
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language_id"](spark, docs, SF).select("doc_id", "text").collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    rows = [(r.doc_id, r.text) for r in kept]
+    alive = {i for i, _, _, stays, _ in brute_exact(rows) if stays}
+    rows = [x for x in rows if x[0] in alive]
+    components = brute_near(rows, 5, 80)
+    alive = {i for i, (_, c) in components.items() if c == i}
+    found = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in found.select("doc_id").distinct().collect()} == alive
+    words = {i: len((t or "").split()) for i, t in rows}
+    got = {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.sum("piece_length").alias("n")).collect()}
+    assert sum(got.values()) == pytest.approx(sum(words[i] for i in alive), rel=0.02)  # surrogates may have more words
