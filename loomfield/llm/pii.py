@@ -1,6 +1,6 @@
 """Surrogates for personal data (operator 3), in DataFrame functions only.
 
-Entities (mail addresses, names after a form of address, IP addresses, telephone, card, account and social-security
+Entities (mail addresses, names after a form of address, IP and hardware addresses, telephone, card, account and social-security
 numbers, access keys, labelled secrets) are found by one pattern. An entity is made of parts, and each distinct part
 of the corpus gets one keyed surrogate, so that the same part has the same surrogate everywhere, in whatever case or
 grouping it is written: a name's surname, a mail address's domain. A surrogate has the part's type and format:
@@ -53,21 +53,25 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?(?![\p{{L}}])",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9_-]{20,80})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "mac": r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
 }
 #: One pattern for all; the first alternative that fits at a place counts.
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity holds; a cheap test before the full pattern.
-HINT = rf"[0-9@=:]|(?:{_TITLES})\.? \p{{Lu}}"
+#: What entities but names hold; a cheap test before the full pattern. Names hold a form of address.
+HINT = "[0-9@=:]"
 DRAWS, LENGTHEN_FROM = 64, 8
 
 
 def entities(text: Column) -> Column:
     """All entities of a text in order; none for null."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    titles = sorted({t for t in MALE + FEMALE + NEUTRAL if not any(t != o and t.startswith(o) for o in MALE + FEMALE + NEUTRAL)})
+    hint = reduce(lambda c, t: c | text.contains(t), titles, text.rlike(HINT))
+    return F.when(hint, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _kind(raw: Column) -> Column:
@@ -220,7 +224,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     marked = docs.withColumn("__entities", entities(text))
     without = marked.filter(text.isNull() | (F.size("__entities") == 0)).withColumn("__n", F.lit(0).cast("long"))
     having = marked.filter(text.isNotNull() & (F.size("__entities") > 0))
-    occurrences = having.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct("__entities")).alias("raw"))
+    occurrences = checkpointed(having.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct("__entities")).alias("raw")))
     replaced = checkpointed(entity_map(occurrences, key))
     by_id = occurrences.join(replaced, "raw").groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct("raw", "replacement"))).alias("__map"))
     joined = having.join(by_id.withColumnRenamed("__id", "__map_id"), F.col(id_col).eqNullSafe(F.col("__map_id")), "left")
