@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-WORD_MEMORY = 200_000
+WORD_MEMORY = 400_000
 
 
 @dataclass
@@ -346,12 +346,13 @@ def encode_digest(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", te
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids = [np.array(encoder.encode(x), np.int32) for x in texts]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) for x in texts], pa.int64()),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))),
                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
                     pa.array([encoder.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
                 ],
