@@ -93,10 +93,11 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     label = np.array([languages.index(x) for x in labels])
     most = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
     mark = np.concatenate([np.flatnonzero(label == k)[:most] for k in range(len(languages))])
-    dense = np.zeros((BUCKETS, len(mark)), np.float32)  # the landmarks' presence vectors, normalised, as columns
+    present = np.zeros((BUCKETS, len(mark)), np.uint8)  # the landmarks' presence vectors as columns
     for column, i in enumerate(mark):
-        dense[grams[i], column] = 1 / np.sqrt(len(grams[i]))
-    cross = np.stack([dense[g].sum(axis=0) / np.sqrt(len(g)) for g in grams])
+        present[grams[i], column] = 1
+    scale = 1 / np.sqrt([len(grams[i]) for i in mark])
+    cross = np.stack([present[g].sum(axis=0, dtype=np.int64) * scale / np.sqrt(len(g)) for g in grams])
     near = cross[mark]
     values, vectors = np.linalg.eigh(near.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
@@ -105,7 +106,8 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     share = 1 / np.maximum(np.bincount(label, minlength=len(languages)), 1)
     weight = np.sqrt(share[label] * len(labels) / len(languages))[:, None]
     w = np.linalg.solve((phi * weight).T @ (phi * weight) + ridge * np.eye(phi.shape[1]), (phi * weight).T @ (target * weight))
-    return Model(languages, (dense @ (root @ w)).astype(np.float32))
+    inner = (scale[:, None] * (root @ w)).astype(np.float32)
+    return Model(languages, np.concatenate([present[at : at + 8192] @ inner for at in range(0, BUCKETS, 8192)]))
 
 
 def fold(id_col: str) -> Column:
