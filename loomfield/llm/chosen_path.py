@@ -12,14 +12,15 @@ candidates. After the links of all forests are confirmed and joined to component
 between members of different components, whatever failed before: so a pair of a node is either confirmed, or
 refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost.
 
-In a large node many members may be of one component by then. The others are outsiders of it if they share at least
-half of TOKENS sketch tokens with its members' (a join in proportion to the rows). Outsiders are compared with the
-whole component, block by block and on full sets at once; one link to a block is enough.
+Deep levels of large nodes part similar texts, so all members of large nodes are joined once more by rare prefixes: with
+its shingles in one global order (rare first), a set shares one of its first n - ceil(t n) + 1 with any set of similarity
+t, and the places of the first shared shingle bound the overlap. Postings of one component have nothing to add and go;
+others are compared across components, in blocks of bounded size. The order is learned from a sample of the members;
+it decides how long postings are, never which pairs are found.
 
 Recall: a pair at the threshold misses all trees' first tokens with probability 0.2**8 (3e-6); the sketch screen
-loses about 3e-5. Only inside nodes of over NODE members can recall be lower, and there outsiders are searched
-exactly. Members that no level separates (nearly equal texts by the thousand) are cut into nodes of NODE and each
-tied to a pivot.
+loses about 3e-5. Members that no level separates (nearly equal texts by the thousand) are cut into nodes of NODE and
+each tied to a pivot.
 
 Scale: nothing is collected; nodes' sizes come from map-side partial counts; a node of a third of all rows is
 never gathered, its rows meet the node's count in a join that adaptive execution can split and go on to the next
@@ -43,8 +44,8 @@ COORDINATES, TREES, NODE, LEVELS, BRANCHES, BLOCK = 64, 8, 256, 6, 1, 512
 SCREEN = 0.6
 #: Rows in one partition of intermediate tables of known size: small tables don't need many tasks and files.
 PARTITION_ROWS = 50_000
-#: Sketch tokens that tell outsiders near to a component; of a pair at 0.8, fewer than half agree with probability 3e-4.
-TOKENS = 24
+#: Of the members of large nodes, about so many give the order of shingles, of which the FREQUENT most frequent have a rank.
+ORDER_SAMPLE, FREQUENT = 4096, 200_000
 
 _RANDOM = np.random.RandomState(20)
 _MULTIPLY = _RANDOM.randint(0, 2**62, COORDINATES).astype(np.uint64) * np.uint64(4) + np.uint64(5)
@@ -148,8 +149,11 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
     return used
 
 
-def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, group: np.ndarray | None = None):
-    """Pairs of one node worth confirming: a spanning forest, or with groups all pairs across groups."""
+def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, group: np.ndarray | None = None, place: np.ndarray | None = None):
+    """Pairs of one node worth confirming: a spanning forest, or with groups all pairs across groups.
+
+    With the places of a shingle in the members' ordered sets, only pairs that can still overlap enough from there on.
+    """
     m = len(ids)
     if group is not None and (group == group[0]).all():
         return ids[:0], ids[:0]
@@ -157,6 +161,9 @@ def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, perc
     fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
     if group is not None:
         fits &= group[a] != group[b]
+    if place is not None:
+        rest = sizes - place
+        fits &= (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (sizes[a] + sizes[b])
     a, b = a[fits], b[fits]
     if len(a):
         same = np.concatenate([(sketch[a[k : k + 16384]] == sketch[b[k : k + 16384]]).sum(axis=1) for k in range(0, len(a), 16384)])
@@ -179,11 +186,12 @@ def _candidates(percent: int, grouped: bool):
             ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
             group = rows.column(4).to_numpy(zero_copy_only=False) if grouped else None
+            place = rows.column(5).to_numpy(zero_copy_only=False) if rows.num_columns > 5 else None
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
             found = [(ids[:0], ids[:0], path[:0])]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if y - x > 1:
-                    a, b = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y])
+                    a, b = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y], None if place is None else place[x:y])
                     found.append((a, b, np.full(len(a), path[x])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["a", "b", "path"])
 
@@ -198,34 +206,6 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _outsider_links(percent: int):
-    """One link from each outsider of a block to a member, if there is any."""
-
-    def run(batches):
-        for rows in _whole_nodes(batches):
-            path, ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            outside = rows.column(4).to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-            a, b = [], []
-            for x, y in zip(edge[:-1], edge[1:], strict=True):
-                members = x + np.flatnonzero(~outside[x:y])
-                for v in x + np.flatnonzero(outside[x:y]):
-                    fits = members[100 * np.minimum(sizes[members], sizes[v]) >= percent * np.maximum(sizes[members], sizes[v])]
-                    same = (sketch[fits] == sketch[v]).sum(axis=1)
-                    own = np.frombuffer(rows.column(5)[int(v)].as_py(), np.uint64)
-                    for k in np.argsort(-same, kind="stable"):
-                        if same[k] < SCREEN * COORDINATES:
-                            break
-                        if _similar(own, np.frombuffer(rows.column(5)[int(fits[k])].as_py(), np.uint64), percent):
-                            a.append(min(ids[v], ids[fits[k]]))
-                            b.append(max(ids[v], ids[fits[k]]))
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
 def _whole_nodes(batches):
     """Batches cut where a node ends; rows stand in the order of their nodes."""
     held: list[pa.RecordBatch] = []
@@ -372,35 +352,90 @@ def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
     return reduce(DataFrame.unionByName, light), reduce(DataFrame.unionByName, large), heavy_rows
 
 
-def outsider_links(large: DataFrame, large_rows: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of outsiders of large nodes to the component that most members of the node are of."""
-    placed = packed(large.select("path", "id", "c").join(known, "id", "left").select("path", "id", "c", F.coalesce("component", "id").alias("component")), large_rows)
-    sizes = placed.groupBy("path", "component", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("path", "c").agg(F.max(F.struct("m", "component")).alias("top")).filter((F.col("c") > F.col("top.m")) & (F.col("c") <= 8 * F.col("top.m")))
-    main = packed(main.select("path", F.col("top.component").alias("main")), large_rows)
-    met = packed(placed.join(main, "path").filter("component <> main").select("main", "id").distinct(), large_rows)
-    tokens = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda j: F.struct(j.alias("j"), F.substring("sketch", j * 2 + 1, F.lit(2)).alias("v")))).alias("t")
-    sketches = classes.select("id", "sketch")
-    mains = known.join(met.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
-    held = packed(mains.join(sketches, "id").select(F.col("component").alias("main"), tokens).distinct(), large_rows * TOKENS)
-    outs = met.join(sketches, "id").select("main", "id", tokens).join(held, ["main", "t"]).groupBy("main", "id").agg(F.count(F.lit(1)).alias("k"))
-    outs = packed(outs.filter(F.col("k") >= TOKENS // 2).select("main", "id"), large_rows)
-    members = known.join(outs.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
-    counts = outs.groupBy(F.col("main").alias("component")).agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("chunks"))
-    counts = packed(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(counts, "component"), large_rows)
-
-    def part(n: str):
-        return F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
-
-    def every(n: str):
-        return F.sequence(F.lit(0), F.col(n) - 1)
-
-    inside = members.join(counts, "component").select("component", "id", F.explode(every("chunks")).alias("chunk"), F.element_at(part("blocks"), 1).alias("block"), F.lit(False).alias("outside"))
-    outside = outs.withColumnRenamed("main", "component").join(counts, "component").select("component", "id", F.element_at(part("chunks"), 1).alias("chunk"), F.explode(every("blocks")).alias("block"), F.lit(True).alias("outside"))
-    rows = checkpointed(inside.unionByName(outside).select(F.xxhash64("component", "chunk", "block").alias("path"), "id", "outside"))
-    full = sets_of(rows.select("id").distinct(), texts, words).join(classes.select("id", "n", "sketch"), "id")
-    blocks = rows.join(full, "id").select("path", "id", "n", "sketch", "outside", "set")
-    return blocks.repartition("path").sortWithinPartitions("path").mapInArrow(_outsider_links(percent), "a long, b long")
+def _prefixes(words: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
+    """(token, id, place, close) of the first shingles of each set, in the order of rank (0 for those not ranked) and hash.
+
+    close tells whether the place also is in the shorter prefix that the smaller set of a pair needs.
+    """
+
+    def run(batches):
+        for part in _slices(batches):
+            tokens, ids, places, close = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                s = shingles(text, words)
+                if not len(s):
+                    continue
+                often = np.zeros(len(s), np.int64)
+                if len(ranked):
+                    at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
+                    often = np.where(ranked[at] == s, rank[at], 0)
+                n = len(s)
+                length = n + percent * n // -100 + 1
+                tokens.append(s[np.lexsort((s, often))][:length])
+                ids.append(np.full(length, i))
+                places.append(np.arange(length))
+                close.append(np.arange(length) < n + 2 * percent * n // -(100 + percent) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(close))], ["token", "id", "place", "close"]
+            )
+
+    return run
+
+
+def _slices(batches):
+    """Batches cut to so few texts that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            yield batch.slice(at, 128)
+
+
+def _tokens(words: int):
+    def run(batches):
+        for part in _slices(batches):
+            found = [shingles(x, words) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["token"])
+
+    return run
+
+
+def prefix_candidates(large: DataFrame, large_rows: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidates (a, b, path) among all members of large nodes, across the components known so far."""
+    members = packed(large.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")), large_rows)
+    count = members.count()
+    if not count:
+        return large.select(F.col("id").alias("a"), F.col("id").alias("b"), "path").limit(0)
+    few = count <= BROADCAST_IDS
+    wanted = texts.join(F.broadcast(members.select("id")) if few else members.select("id"), "id", "left_semi")
+    share = 1 + count // ORDER_SAMPLE
+    sampled = wanted.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0).mapInArrow(_tokens(words), "token long")
+    common = sampled.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    ranked, rank = common["token"].to_numpy().view(np.uint64), common["c"].to_numpy()
+    order = np.argsort(ranked)
+    prefixes = wanted.mapInArrow(_prefixes(words, percent, ranked[order], rank[order]), "token long, id long, place long, close boolean")
+    postings = checkpointed(prefixes.join(F.broadcast(members) if few else members, "id"))
+    sizes = postings.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("close").alias("close"))
+    groups = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("c"), F.max(F.struct("m", "component")).alias("top"), F.max("close").alias("close"))
+    # a whole posting, or blocks of its largest component by chunks of the rest, and chunks of the rest by each other
+    groups = checkpointed(
+        groups.filter("k > 1 AND close").select(
+            "token", F.col("top.component").alias("main"), (F.col("c") <= NODE).alias("whole"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("c") - F.col("top.m")) / NODE).cast("int").alias("chunks")
+        )
+    )
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("component") == F.col("main"), F.col("blocks")).otherwise(F.col("chunks"))).cast("int")
+    chunks, blocks = F.sequence(F.lit(0), F.col("chunks") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def cell(kind: int, x, y):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+
+    cells = (
+        F.when(F.col("whole"), F.array(cell(0, F.lit(0), F.lit(0))))
+        .when(F.col("component") == F.col("main"), F.transform(chunks, lambda k: cell(1, F.col("own"), k)))
+        .otherwise(F.concat(F.transform(blocks, lambda k: cell(1, k, F.col("own"))), F.transform(chunks, lambda k: cell(2, F.least(k, F.col("own")), F.greatest(k, F.col("own"))))))
+    )
+    met = postings.join(groups, "token").withColumn("own", own).select("token", "id", "component", "place", F.explode(cells).alias("cell"))
+    met = met.select(F.xxhash64("token", "cell.kind", "cell.x", "cell.y").alias("path"), "id", "component", "place")
+    rows = met.join(classes.select("id", "n", "sketch"), "id").select("path", "id", "n", "sketch", "component", "place")
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -425,8 +460,13 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     known = packed(joined.select(F.col("node").alias("id"), "component"), bound)
     grouped = nodes.join(known, "id", "left").select("path", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
     across = grouped.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
-    rest = confirm(across, texts, words, percent).unionByName(outsider_links(large, large_rows, known, classes, texts, words, percent))
-    final, _ = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    def linked(state: DataFrame, more: DataFrame) -> tuple[DataFrame, int]:
+        return components(state.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirm(more, texts, words, percent)))
+
+    final, bound = linked(known, across)
+    if large_rows:  # nodes' own links first: fewer postings then have members of several components
+        known = packed(final.select(F.col("node").alias("id"), "component"), bound)
+        final, _ = linked(known, prefix_candidates(large, large_rows, known, classes, texts, words, percent))
     labelled = packed(classes.select("key", "id").join(final, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component")), total)
     return prepared.select("doc_id", "n", "key").join(labelled, "key", "left").select(
         "doc_id",

@@ -129,6 +129,19 @@ def test_near_dup_large_group(spark, monkeypatch):
     assert all(found[i] == i for i in truth if i >= 1000)
 
 
+def test_near_dup_pairs_in_template_crowd(spark):
+    """Pairs at exactly 0.8 among 2,000 texts with one template, where no component is large."""
+    template = " ".join(f"t{k}" for k in range(80))
+    rows = []
+    for i in range(1000):
+        own = [f"o{i}_{k}" for k in range(20)]
+        rows.append((2 * i, f"{template} {' '.join(own)}"))
+        rows.append((2 * i + 1, f"{template} {' '.join(own[:9])} " + " ".join(f"e{i}_{k}" for k in range(11))))
+    assert all(c == i // 2 * 2 for i, (_, c) in brute_near(rows[:40], 2, 80).items())
+    found = {r.doc_id: r.component_id for r in chosen_path.near_dup(docs(spark, rows), words=2).collect()}
+    assert [i for i in found if found[i] != i // 2 * 2] == []
+
+
 def test_components_of_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "PARTITION_ROWS", 20)
     rng = random.Random(7)
