@@ -35,6 +35,18 @@ def test_stages(spark):
     assert "bob.smith" not in letter.text and letter.n_chars == len(letter.text)
 
 
+def test_language_stage_rejects_unlearned(spark):
+    """Scripts and languages that no label teaches, and letter junk, go; clean documents stay, held out or not."""
+    import random
+
+    rng = random.Random(4)
+    words = {"en": "the house and river were quiet while people walked home through long green fields", "de": "das haus und der fluss waren still während leute durch lange grüne felder nach hause gingen"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(40)), lang) for i in range(160) for lang in [("en", "de")[i % 2]]]
+    junk = ["Это письмо написано на русском языке", "这是一封用中文写的信内容相当长", "qxzjk vwbpq zzxkj qjxvk wpbzq jkqxz", "".join(rng.choice("BCDFGHJKLMNPQRSTVWXZbcdfghjklmnpqrstvwxz") for _ in range(300))]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows + [(1000 + k, t, None) for k, t in enumerate(junk)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(160))
+
+
 def test_stages_on_nothing(spark):
     docs = table(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
