@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, checkpointed, without_ids
+from .common import BROADCAST_IDS, checkpointed, text_hash, without_rows
 
 COORDINATES, TREES, NODE, LEVELS, BRANCHES, BLOCK = 64, 8, 256, 6, 1, 512
 SCREEN = 0.6
@@ -97,8 +97,8 @@ def _sketches(words: int):
                 sketches.append((_mix(least) & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
                 paths.append(_mix(least[:TREES] + np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                ["doc_id", "n", "key", "sketch", "paths"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
+                ["doc_id", "raw", "n", "key", "sketch", "paths"],
             )
 
     return run
@@ -438,22 +438,21 @@ def prefix_candidates(large: DataFrame, large_rows: int, known: DataFrame, class
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
 
 
-def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Documents whose shingle sets share at least percent of their union are linked; component_id is the smallest id
-    reachable, itself included, and kept tells whether it is the document's own. Documents without words, or with
-    null text, are linked with nothing. Rows that repeat an id and text share a result; a null id has no links, a
-    null component, and is kept. Other columns are not read; an empty table gives an empty result. Ids are integers.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prepared = checkpointed(rows.mapInArrow(_sketches(words), "doc_id long, n long, key binary, sketch binary, paths array<bigint>"))
+def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """near_dup, with the rows' text_hash (raw)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("raw"))
+    prepared = checkpointed(rows.mapInArrow(_sketches(words), "doc_id long, raw long, n long, key binary, sketch binary, paths array<bigint>"))
     total = prepared.count()
+    # ids may repeat with other texts, so inside a class goes by the hash of its first row
     classes = packed(
-        prepared.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), total
+        prepared.filter("n > 0 AND doc_id IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min(F.struct("doc_id", F.xxhash64("doc_id", "raw").alias("id"))).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        .select("key", "least.id", "least.doc_id", "n", "sketch", "paths"),
+        total,
     )
     nodes, large, large_rows = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"), classes.count() * TREES)
-    texts = rows.select(F.col("doc_id").alias("id"), "text")
+    texts = rows.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "raw").alias("id"), "text")
     sorted_nodes = nodes.repartition("path").sortWithinPartitions("path")
     links = confirm(sorted_nodes.mapInArrow(_candidates(percent, False), "a long, b long, path long"), texts, words, percent)
     joined, bound = components(links)
@@ -467,16 +466,30 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     if large_rows:  # nodes' own links first: fewer postings then have members of several components
         known = packed(final.select(F.col("node").alias("id"), "component"), bound)
         final, _ = linked(known, prefix_candidates(large, large_rows, known, classes, texts, words, percent))
-    labelled = packed(classes.select("key", "id").join(final, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component")), total)
-    return prepared.select("doc_id", "n", "key").join(labelled, "key", "left").select(
+    found = packed(classes.join(final, F.col("id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "id").alias("root")), total)
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    labelled = packed(found.join(first, "root").select("key", F.col("first.doc_id").alias("component"), (F.col("key") == F.col("first.key")).alias("own")), total)
+    return prepared.select("doc_id", "raw", "n", "key").join(labelled, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce((F.col("doc_id") == F.col("component")) & F.col("own"), F.lit(True)).alias("kept"),
+        "raw",
     )
 
 
+def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Documents whose shingle sets share at least percent of their union are linked; component_id is the smallest id
+    reachable, itself included, and kept tells whether it is the document's own. Documents without words, or with
+    null text, are linked with nothing. Rows that repeat an id and text share a result; a null id has no links, a
+    null component, and is kept. Other columns are not read; an empty table gives an empty result. Ids are integers.
+    """
+    return _decided(docs, id_col, text_col, words, percent).drop("raw")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_dup keeps (one document of each component), with all their columns."""
-    decided = near_dup(docs, id_col, text_col, words, percent)
-    return without_ids(docs, decided.filter(~F.col("kept")).select("doc_id"), id_col)
+    decided = _decided(docs, id_col, text_col, words, percent)
+    return without_rows(docs, decided.filter(~F.col("kept")).select("doc_id", "raw"), id_col, text_col)

@@ -32,12 +32,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Up to so many ids (of 8 bytes each) may be broadcast.
+#: Up to so many ids (of 8 bytes each, 16 with a hash) may be broadcast.
 BROADCAST_IDS = 200_000
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is not in dropped (one column); the ids are broadcast only if counted to be few."""
-    ids = checkpointed(dropped.toDF("__dropped_id").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["__dropped_id"]), "left_anti")
+def text_hash(text_col: str) -> Column:
+    """64 bits of a text; with the id they name a row, as far as the decision on it goes."""
+    return F.xxhash64(F.col(text_col))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and text_hash are not in dropped (two columns); these are broadcast only if counted to be few.
+
+    Ids may be null or repeat: of rows with one id only those with a dropped text go.
+    """
+    keys = checkpointed(dropped.toDF("__dropped_id", "__dropped_hash").distinct())
+    few = keys.count() <= BROADCAST_IDS
+    same = docs[id_col].eqNullSafe(keys["__dropped_id"]) & (F.xxhash64(docs[text_col]) == keys["__dropped_hash"])
+    return docs.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), same, "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, without_ids
+from .common import SPACE, checkpointed, text_hash, without_rows
 
 SEGMENT_BITS = 1 << 17
 MIN_BITS, MAX_BITS, BITS_PER_ROW = 1 << 17, 1 << 29, 16
@@ -138,14 +138,8 @@ def repeated_filter(hashes: DataFrame, rows: int) -> np.ndarray:
     return whole
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical without white space; null is the empty text, and empty texts are equal.
-    Of equal texts, the row with the most code points stays, then the smallest id (a null id comes last).
-    Rows that repeat an id and its text share their decision. An empty table gives an empty result;
-    further columns of the input are not read.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """exact_dedup, with the rows' text_hash (raw)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     digests = checkpointed(
@@ -153,6 +147,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.col(id_col).alias("doc_id"),
             F.char_length(text).alias("n"),
             F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"),
+            text_hash(text_col).alias("raw"),
         ).withColumn("h", F.xxhash64("sha"))
     )
     bits = repeated_filter(digests.select("h"), digests.count())
@@ -165,22 +160,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             base = _segment(h, segments).astype(np.int64) * SEGMENT_BITS
             yield batch.append_column("maybe", pa.array(_test(shared.value, base, h), pa.bool_()))
 
-    schema = f"doc_id {dict(digests.dtypes)['doc_id']}, n int, sha binary, h long, maybe boolean"
+    schema = f"doc_id {dict(digests.dtypes)['doc_id']}, n int, sha binary, raw long, h long, maybe boolean"
     rows = digests.mapInArrow(flagged, schema).drop("h")
-    alone = rows.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    maybe = rows.filter("maybe").select("doc_id", "n", "sha")
+    alone = rows.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "raw")
+    maybe = rows.filter("maybe").select("doc_id", "n", "sha", "raw")
     groups = maybe.groupBy("sha").agg(
         F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
     groups = checkpointed(groups.select("sha", F.col("best.id").alias("keep_id"), "group_size"))  # both sides of the join get an exchange, so a hot text can be split
     together = maybe.join(groups, "sha").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha", "raw"
     )
-    return alone.unionByName(together).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return alone.unionByName(together).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "raw")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical without white space; null is the empty text, and empty texts are equal.
+    Of equal texts, the row with the most code points stays, then the smallest id (a null id comes last).
+    Rows that repeat an id and its text share their decision. An empty table gives an empty result;
+    further columns of the input are not read.
+    """
+    return _decided(docs, id_col, text_col).drop("raw")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    decided = exact_dedup(docs, id_col, text_col)
-    return without_ids(docs, decided.filter(~F.col("kept")).select("doc_id"), id_col)
+    decided = _decided(docs, id_col, text_col)
+    return without_rows(docs, decided.filter(~F.col("kept")).select("doc_id", "raw"), id_col, text_col)

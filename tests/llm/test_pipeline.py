@@ -47,6 +47,22 @@ def test_language_stage_rejects_unlearned(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(160))
 
 
+@pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup"])
+def test_stages_drop_rows_not_ids(spark, stage):
+    """One row of a null or repeated id is a copy; the others of that id stay."""
+    text = " ".join(f"word{k}" for k in range(30))
+    other = [f"{name} " + " ".join(f"{name}{k}" for k in range(30)) for name in ("left", "right", "third")]
+    rows = [(1, text), (None, text), (None, other[0]), (None, None), (4, text), (4, other[1]), (5, other[2])]
+    if stage == "near_dedup":
+        rows += [(6, text + " new"), (6, "another " + other[0].replace("left", "also")), (7, other[2] + " new"), (7, other[2] + " newer")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)[stage](spark, docs, "").collect()]
+    expected = [(1, text), (None, other[0]), (None, None), (4, other[1]), (5, other[2])]
+    if stage == "near_dedup":  # which gives a null id no links
+        expected += [(None, text), (6, "another " + other[0].replace("left", "also"))]
+    assert sorted(left, key=repr) == sorted(expected, key=repr)
+
+
 def test_stages_on_nothing(spark):
     docs = table(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
