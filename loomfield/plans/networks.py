@@ -222,7 +222,7 @@ def closeness(spark, sf_dir):
 
 @query("betweenness")
 def betweenness(spark, sf_dir):
-    return G.betweenness(thin(spark, sf_dir))
+    return G.betweenness(edges(spark, sf_dir))
 
 
 @query("strongest_map_clusters")
