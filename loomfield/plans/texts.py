@@ -216,8 +216,8 @@ def suspicion_score(spark, sf_dir):
 
 @query("paper_theme_similarity")
 def paper_theme_similarity(spark, sf_dir):
-    """Fuzzy similarity of neighbouring benchmark openings (a fold over characters, which SQL has no table form for)."""
-    b = T.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("t"))
+    """Fuzzy similarity of neighbouring benchmark texts (a fold over characters, which SQL has no table form for)."""
+    b = T.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u")), "item_id").select("item_id", F.round(X.fuzzy_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
