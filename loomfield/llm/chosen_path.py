@@ -2,25 +2,28 @@
 
 Texts become sets of word shingles; texts with equal sets are one class, joined on the set's 128-bit hash and
 represented by the smallest id. Representatives carry a MinHash sketch. TREES independent trees branch them
-recursively: a node is a path of chosen minwise tokens (coordinates of the sketch with their values), and every
-member of a large node goes to the children that its own tokens name. Which coordinates a node chooses depends on its
-path alone; deeper levels choose more at once (1, 2, 4, ...), so that even a big group of near copies falls apart
-in a few levels. Nodes of at most NODE members are compared exhaustively, by sketch; candidates are confirmed on full sets.
+recursively: a node is a path of chosen minwise tokens (coordinates of the sketch with their values). The path of a
+node of over NODE members chooses some coordinates, others at every level, and every member goes to one child for
+each, named by its own token there. Nodes of at most NODE members are compared exhaustively, by sketch; candidates are
+confirmed on full sets.
 
 A group of n near copies has n**2 links, which are not emitted. A node first gives a maximum spanning forest of its
 candidates. After the links of all forests are confirmed and joined to components, nodes give every candidate
 between members of different components, whatever failed before: so a pair of a node is either confirmed, or
 refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost.
 
-Deep levels of large nodes part similar texts, so all members of large nodes are joined once more by rare prefixes: with
-its shingles in one global order (rare first), a set shares one of its first n - ceil(t n) + 1 with any set of similarity
-t, and the places of the first shared shingle bound the overlap. Postings of one component have nothing to add and go;
-others are compared across components, in blocks of bounded size. The order is learned from a sample of the members;
-it decides how long postings are, never which pairs are found.
+Crowds: members of a large node that choices don't part (two levels that leave STALE of a parent in one child, or all
+LEVELS) are similar throughout, and branching them on only multiplies them. They leave the trees and are joined with
+each other exactly, by rare prefixes: with its shingles in one global order (rare first), a set shares one of its first
+n - ceil(t n) + 1 with any set of similarity t, and the places of the first shared shingle bound the overlap. Before
+that they are linked in pieces of their nodes, each tied to a pivot. Postings of one component have nothing to add and
+go; others are compared across components, in blocks of bounded size, each pair at its first common shingle. The order
+is learned from a sample of the members; it decides how long postings are, never which pairs are found.
 
-Recall: a pair at the threshold misses all trees' first tokens with probability 0.2**8 (3e-6); the sketch screen
-loses about 3e-5. Members that no level separates (nearly equal texts by the thousand) are cut into nodes of NODE and
-each tied to a pivot.
+Recall: a pair at the threshold is in the same child of a coordinate with probability 0.8. With three children at the
+first level and two at each further one, the pair's common nodes are a branching process that grows (1.6 a level), so that
+a tree keeps it to any depth with probability 0.77, and all eight miss it with 1e-5, whatever the number of levels and
+so the number of rows. The sketch screen loses about 3e-5. Pairs of crowds are not lost.
 
 Scale: nothing is collected; nodes' sizes come from map-side partial counts; a node of a third of all rows is
 never gathered, its rows meet the node's count in a join that adaptive execution can split and go on to the next
@@ -40,12 +43,21 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, checkpointed, text_hash, without_rows
 
-COORDINATES, TREES, NODE, LEVELS, BRANCHES, BLOCK = 64, 8, 256, 6, 1, 512
+COORDINATES, TREES, NODE, BLOCK = 64, 8, 256, 512
+#: Children of each member of a large node, by level; a level has as many coordinates of its own as there are trees.
+BRANCHES = (3, 2, 2, 2, 2, 2)
+LEVELS = len(BRANCHES) + 1
+#: A child with this share of its parent's members has not been parted from them; after two such levels it is a crowd.
+STALE = 0.75
 SCREEN = 0.6
 #: Rows in one partition of intermediate tables of known size: small tables don't need many tasks and files.
-PARTITION_ROWS = 50_000
-#: Of the members of large nodes, about so many give the order of shingles, of which the FREQUENT most frequent have a rank.
+PARTITION_ROWS = 20_000
+#: Of the members of crowds, about so many give the order of shingles, of which the FREQUENT most frequent have a rank.
 ORDER_SAMPLE, FREQUENT = 4096, 200_000
+#: Up to so many members of crowds (of some 160 bytes each) may be broadcast.
+BROADCAST_MEMBERS = 50_000
+#: A posting carries so many of the shingles before it; a pair that shares one of them has met there.
+BEFORE = 64
 
 _RANDOM = np.random.RandomState(20)
 _MULTIPLY = _RANDOM.randint(0, 2**62, COORDINATES).astype(np.uint64) * np.uint64(4) + np.uint64(5)
@@ -105,8 +117,7 @@ def _sketches(words: int):
 
 
 def _branched(level: int):
-    """Children of members of large nodes: BRANCHES choices of 2**level coordinates each, drawn from the node's path."""
-    width = min(1 << level, COORDINATES)
+    """Children of members of large nodes: the path chooses BRANCHES[level - 1] coordinates among those of the level."""
     salt = np.uint64((2 * level + 1) * 0x9E3779B97F4A7C15 % 2**64)
 
     def run(batches):
@@ -115,15 +126,11 @@ def _branched(level: int):
                 continue
             path = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            rows = np.arange(len(path))
-            for branch in range(BRANCHES):
-                child = _mix(path + salt + np.uint64(branch))
-                step = (_mix(child) % np.uint64(COORDINATES // 2)) * np.uint64(2) + np.uint64(1)
-                out = child
-                for k in range(width):  # an odd step visits distinct coordinates
-                    at = ((child + np.uint64(k) * step) % np.uint64(COORDINATES)).astype(np.int64)
-                    out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + sketch[rows, at].astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), *batch.columns[1:4]], ["path", "id", "n", "sketch"])
+            rows, chosen = np.arange(len(path)), _mix(path + salt) % np.uint64(TREES)
+            for branch in range(BRANCHES[level - 1]):
+                at = (level * TREES + (chosen + np.uint64(3 * branch)) % np.uint64(TREES)).astype(np.int64)
+                out = _mix(_mix(path + np.uint64(branch + 1)) * np.uint64(0x9E3779B97F4A7C15) + sketch[rows, at].astype(np.uint64) + np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), *batch.columns[1:]], ["path", "id", "n", "sketch", "up", "stale"])
 
     return run
 
@@ -149,10 +156,29 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
     return used
 
 
-def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, group: np.ndarray | None = None, place: np.ndarray | None = None):
-    """Pairs of one node worth confirming: a spanning forest, or with groups all pairs across groups.
-
-    With the places of a shingle in the members' ordered sets, only pairs that can still overlap enough from there on.
+def _met(before: list[bytes]) -> np.ndarray:
+    """Which pairs of members share one of the shingles before."""
+    owner = np.repeat(np.arange(len(before)), [len(x) // 4 for x in before])
+    token, count = np.unique(np.frombuffer(b"".join(before), np.uint32), return_inverse=True, return_counts=True)[1:]
+    use = count[token] > 1
+    owner, token = owner[use], np.unique(token[use], return_inverse=True)[1]
+    met = np.zeros((len(before), len(before)), bool)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, 2048):
+        part = slice(*np.searchsorted(token, [at, at + 2048]))
+        has = np.zeros((len(before), 2048), np.float32)
+        has[owner[part], token[part] - at] = 1
+        met |= has @ has.T > 0
+    return met
+
+
+def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, group: np.ndarray | None = None, skip: np.ndarray | None = None, place: np.ndarray | None = None, before: list[bytes] | None = None):
+    """Pairs of one node worth confirming: a spanning forest, or with groups all pairs across groups but those of two
+    members to skip.
+
+    With the places of a shingle in the members' ordered sets, only pairs that can still overlap enough from there on,
+    and with the shingles before it only pairs that share none of these.
     """
     m = len(ids)
     if group is not None and (group == group[0]).all():
@@ -160,10 +186,12 @@ def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, perc
     a, b = np.triu_indices(m, 1)
     fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
     if group is not None:
-        fits &= group[a] != group[b]
+        fits &= (group[a] != group[b]) & ~(skip[a] & skip[b])
     if place is not None:
         rest = sizes - place
         fits &= (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (sizes[a] + sizes[b])
+    if before is not None and fits.any():
+        fits &= ~_met(before)[a, b]
     a, b = a[fits], b[fits]
     if len(a):
         same = np.concatenate([(sketch[a[k : k + 16384]] == sketch[b[k : k + 16384]]).sum(axis=1) for k in range(0, len(a), 16384)])
@@ -186,12 +214,15 @@ def _candidates(percent: int, grouped: bool):
             ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
             group = rows.column(4).to_numpy(zero_copy_only=False) if grouped else None
-            place = rows.column(5).to_numpy(zero_copy_only=False) if rows.num_columns > 5 else None
+            skip = rows.column(5).to_numpy(zero_copy_only=False) if grouped else None
+            place = rows.column(6).to_numpy(zero_copy_only=False) if rows.num_columns > 6 else None
+            before = rows.column(7).to_pylist() if rows.num_columns > 7 else None
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
             found = [(ids[:0], ids[:0], path[:0])]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if y - x > 1:
-                    a, b = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, None if group is None else group[x:y], None if place is None else place[x:y])
+                    more = (None if column is None else column[x:y] for column in (group, skip, place, before))
+                    a, b = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, *more)
                     found.append((a, b, np.full(len(a), path[x])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["a", "b", "path"])
 
@@ -326,42 +357,54 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
 
 
 def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """(path, id, n, sketch) of the trees' first level, of so many rows, to nodes of 2 to NODE members; to the members of
-    larger ones (with c); and a bound of the latter's number."""
-    light, large, heavy_rows = [], [], 0
+    """(path, id, n, sketch) of the trees' first level, of so many rows, to nodes of 2 to NODE members; to pieces of crowds,
+    one for each member but pivots; and a bound of the number of members of crowds."""
+    light, crowds, crowded = [], [], 0
+    members = members.withColumns({"up": F.lit(1 << 62), "stale": F.lit(0)})
     for level in range(1, LEVELS + 1):
         counts = packed(members.groupBy("path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), rows)
-        shared = packed(members.join(counts, "path").select("path", "id", "n", "sketch", "c"), rows)
-        light.append(shared.filter(F.col("c") <= NODE).drop("c"))
-        heavy = shared.filter(F.col("c") > NODE)
-        large.append(heavy)
-        rows = heavy.count()
-        heavy_rows += rows
+        shared = members.join(counts, "path").withColumn("stale", F.col("stale") + (F.col("c") >= F.col("up") * STALE).cast("int"))
+        shared = packed(shared.select("path", "id", "n", "sketch", F.col("c").alias("up"), "stale"), rows)
+        light.append(shared.filter(F.col("up") <= NODE).drop("up", "stale"))
+        crowd = (F.col("stale") > 1) if level < LEVELS else F.lit(True)
+        large = shared.filter(F.col("up") > NODE).groupBy(crowd.alias("crowd")).count().collect()
+        found = {r["crowd"]: r["count"] for r in large}
+        if found.get(True):
+            crowds.append(shared.filter((F.col("up") > NODE) & crowd).drop("up", "stale"))
+            crowded += found[True]
+        rows = found.get(False, 0)
         if not rows:
             break
-        if level < LEVELS:
-            rows *= BRANCHES
-            members = packed(heavy.drop("c").mapInArrow(_branched(level), "path long, id long, n long, sketch binary"), rows)
-            continue
-        # what no level separated: pieces of a node, each with the node's smallest member as a pivot
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") * 2 / NODE))
-        cut = heavy.withColumn("node", F.xxhash64("path", part)).drop("c")
-        pivot = heavy.groupBy("path").agg(F.min(F.struct("id", "n", "sketch")).alias("p"))
-        tied = cut.select("path", "node").distinct().join(pivot, "path").select(F.col("node").alias("path"), "p.id", "p.n", "p.sketch")
-        light.append(cut.select(F.col("node").alias("path"), "id", "n", "sketch").unionByName(tied).distinct())
-    return reduce(DataFrame.unionByName, light), reduce(DataFrame.unionByName, large), heavy_rows
+        rows *= BRANCHES[level - 1]
+        members = packed(shared.filter((F.col("up") > NODE) & ~crowd).mapInArrow(_branched(level), "path long, id long, n long, sketch binary, up long, stale int"), rows)
+    nodes = reduce(DataFrame.unionByName, light)
+    if not crowded:
+        return nodes, nodes.limit(0), 0
+    one = reduce(DataFrame.unionByName, crowds).groupBy("id").agg(F.min("path").alias("path"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    one = packed(one.select("path", "id", "n", "sketch"), crowded)
+    whole = one.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n", "sketch")).alias("p"))
+    whole = packed(whole, crowded)
+    cut = one.join(whole.select("path", "c"), "path").withColumn("node", F.xxhash64("path", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") * 2 / NODE))))
+    cut = packed(cut.select("path", "node", "id", "n", "sketch"), crowded)
+    tied = cut.select("path", "node").distinct().join(whole, "path").select(F.col("node").alias("path"), "p.id", "p.n", "p.sketch")
+    pieces = cut.select(F.col("node").alias("path"), "id", "n", "sketch").unionByName(tied).distinct()
+    return nodes, packed(pieces, 2 * crowded), crowded
+
+
+POSTING = ["token", "id", "n", "sketch", "component", "place", "close", "before"]
 
 
 def _prefixes(words: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
-    """(token, id, place, close) of the first shingles of each set, in the order of rank (0 for those not ranked) and hash.
+    """From (id, text, component, n, sketch) to (token, id, n, sketch, component, place, close, before) of the first shingles
+    of each set, in the order of rank (0 for those not ranked) and hash.
 
-    close tells whether the place also is in the shorter prefix that the smaller set of a pair needs.
+    close tells whether the place also is in the shorter prefix that the smaller set of a pair needs; before has up to
+    BEFORE of the shingles right before it, 32 bits each.
     """
 
     def run(batches):
         for part in _slices(batches):
-            tokens, ids, places, close = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for i, text, component, size, sketch in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
                 s = shingles(text, words)
                 if not len(s):
                     continue
@@ -371,13 +414,12 @@ def _prefixes(words: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
                     often = np.where(ranked[at] == s, rank[at], 0)
                 n = len(s)
                 length = n + percent * n // -100 + 1
-                tokens.append(s[np.lexsort((s, often))][:length])
-                ids.append(np.full(length, i))
-                places.append(np.arange(length))
-                close.append(np.arange(length) < n + 2 * percent * n // -(100 + percent) + 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(close))], ["token", "id", "place", "close"]
-            )
+                s = s[np.lexsort((s, often))][:length]
+                short = (s >> np.uint64(32)).astype(np.uint32).tobytes()
+                close = np.arange(length) < n + 2 * percent * n // -(100 + percent) + 1
+                before = [short[4 * max(0, k - BEFORE) : 4 * k] for k in range(length)]
+                same = (pa.array([x], kind).take(pa.array(np.zeros(length, np.int32))) for x, kind in ((i, pa.int64()), (size, pa.int64()), (sketch, pa.binary()), (component, pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), *same, pa.array(np.arange(length)), pa.array(close), pa.array(before, pa.binary())], POSTING)
 
     return run
 
@@ -398,21 +440,19 @@ def _tokens(words: int):
     return run
 
 
-def prefix_candidates(large: DataFrame, large_rows: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Candidates (a, b, path) among all members of large nodes, across the components known so far."""
-    members = packed(large.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")), large_rows)
+def prefix_candidates(crowd: DataFrame, crowded: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidates (a, b, path) among all members of crowds, across the components known so far."""
+    members = packed(crowd.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")), crowded)
+    members = packed(members.join(classes.select("id", "n", "sketch"), "id"), crowded)
     count = members.count()
-    if not count:
-        return large.select(F.col("id").alias("a"), F.col("id").alias("b"), "path").limit(0)
-    few = count <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(members.select("id")) if few else members.select("id"), "id", "left_semi")
+    wanted = texts.join(F.broadcast(members) if count <= BROADCAST_MEMBERS else members, "id").select("id", "text", "component", "n", "sketch")
     share = 1 + count // ORDER_SAMPLE
     sampled = wanted.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0).mapInArrow(_tokens(words), "token long")
     common = sampled.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     ranked, rank = common["token"].to_numpy().view(np.uint64), common["c"].to_numpy()
     order = np.argsort(ranked)
-    prefixes = wanted.mapInArrow(_prefixes(words, percent, ranked[order], rank[order]), "token long, id long, place long, close boolean")
-    postings = checkpointed(prefixes.join(F.broadcast(members) if few else members, "id"))
+    kinds = "token long, id long, n long, sketch binary, component long, place long, close boolean, before binary"
+    postings = checkpointed(wanted.mapInArrow(_prefixes(words, percent, ranked[order], rank[order]), kinds))
     sizes = postings.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max("close").alias("close"))
     groups = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("c"), F.max(F.struct("m", "component")).alias("top"), F.max("close").alias("close"))
     # a whole posting, or blocks of its largest component by chunks of the rest, and chunks of the rest by each other
@@ -432,10 +472,9 @@ def prefix_candidates(large: DataFrame, large_rows: int, known: DataFrame, class
         .when(F.col("component") == F.col("main"), F.transform(chunks, lambda k: cell(1, F.col("own"), k)))
         .otherwise(F.concat(F.transform(blocks, lambda k: cell(1, k, F.col("own"))), F.transform(chunks, lambda k: cell(2, F.least(k, F.col("own")), F.greatest(k, F.col("own"))))))
     )
-    met = postings.join(groups, "token").withColumn("own", own).select("token", "id", "component", "place", F.explode(cells).alias("cell"))
-    met = met.select(F.xxhash64("token", "cell.kind", "cell.x", "cell.y").alias("path"), "id", "component", "place")
-    rows = met.join(classes.select("id", "n", "sketch"), "id").select("path", "id", "n", "sketch", "component", "place")
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
+    met = postings.join(groups, "token").withColumn("own", own).select(*POSTING, F.explode(cells).alias("cell"))
+    met = met.select(F.xxhash64("token", "cell.kind", "cell.x", "cell.y").alias("path"), "id", "n", "sketch", "component", F.lit(False).alias("skip"), "place", "before")
+    return met.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -451,21 +490,29 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         .select("key", "least.id", "least.doc_id", "n", "sketch", "paths"),
         total,
     )
-    nodes, large, large_rows = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"), classes.count() * TREES)
+    nodes, pieces, crowded = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"), classes.count() * TREES)
     texts = rows.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "raw").alias("id"), "text")
-    sorted_nodes = nodes.repartition("path").sortWithinPartitions("path")
-    links = confirm(sorted_nodes.mapInArrow(_candidates(percent, False), "a long, b long, path long"), texts, words, percent)
-    joined, bound = components(links)
-    known = packed(joined.select(F.col("node").alias("id"), "component"), bound)
-    grouped = nodes.join(known, "id", "left").select("path", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    across = grouped.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
-    def linked(state: DataFrame, more: DataFrame) -> tuple[DataFrame, int]:
-        return components(state.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirm(more, texts, words, percent)))
-
-    final, bound = linked(known, across)
-    if large_rows:  # nodes' own links first: fewer postings then have members of several components
-        known = packed(final.select(F.col("node").alias("id"), "component"), bound)
-        final, _ = linked(known, prefix_candidates(large, large_rows, known, classes, texts, words, percent))
+
+    def candidates(nodes: DataFrame, grouped: bool) -> DataFrame:
+        return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, grouped), "a long, b long, path long")
+
+    def linked(state: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        final, bound = components(state.unionByName(confirm(more, texts, words, percent)))
+        return final, packed(final.select(F.col("node").alias("id"), "component"), bound), bound
+
+    every = nodes.unionByName(pieces) if crowded else nodes
+    final, known, bound = linked(rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), candidates(every, False))
+    state = known.withColumn("skip", F.lit(False))
+    crowd = packed(pieces.select("id").distinct(), crowded) if crowded else None
+    if crowded:  # pairs of crowds are left to the prefix join
+        state = packed(known.join(crowd.withColumn("crowd", F.lit(True)), "id", "full_outer").select("id", "component", F.coalesce("crowd", F.lit(False)).alias("skip")), bound + crowded)
+    grouped = nodes.join(state, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("skip", F.coalesce("skip", F.lit(False)))
+    across = candidates(grouped.select("path", "id", "n", "sketch", "component", "skip"), True)
+    state = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    final, known, bound = linked(state, across)
+    if crowded:  # nodes' own links first: fewer postings then have members of several components
+        state = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        final, known, bound = linked(state, prefix_candidates(crowd, crowded, known, classes, texts, words, percent))
     found = packed(classes.join(final, F.col("id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "id").alias("root")), total)
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     labelled = packed(found.join(first, "root").select("key", F.col("first.doc_id").alias("component"), (F.col("key") == F.col("first.key")).alias("own")), total)
