@@ -125,8 +125,7 @@ def test_near_dup_large_group(spark, monkeypatch):
     rows += [(1000 + i, shared + " " + " ".join(f"u{i}_{k}" for k in range(30))) for i in range(100)]
     found = {r.doc_id: r.component_id for r in chosen_path.near_dup(docs(spark, rows), words=2).collect()}
     truth = {i: c for i, (_, c) in brute_near(rows, 2, 80).items()}
-    assert sum(found[i] == truth[i] for i in truth) >= 0.99 * len(truth)
-    assert all(found[i] == i for i in truth if i >= 1000)
+    assert found == truth
 
 
 def test_near_dup_pairs_in_template_crowd(spark):
@@ -142,6 +141,31 @@ def test_near_dup_pairs_in_template_crowd(spark):
     assert [i for i in found if found[i] != i // 2 * 2] == []
 
 
+def planted(seed, n):
+    """n texts of 40 words from nine words, and each with some words changed: similarity 0.80 to 0.84 on two-word shingles."""
+    rng, words, out = random.Random(seed), [f"w{k}" for k in range(9)], []
+    while len(out) < n:
+        a = [rng.choice(words) for _ in range(40)]
+        for _ in range(50):
+            b = list(a)
+            for _ in range(rng.randint(1, 3)):
+                b[rng.randrange(40)] = rng.choice(words)
+            x, y = set(zip(a, a[1:])), set(zip(b, b[1:]))
+            if 0.8 <= len(x & y) / len(x | y) <= 0.84:
+                out.append((" ".join(a), " ".join(b)))
+                break
+    return out
+
+
+@pytest.mark.parametrize("node, n", [(256, 10_000), (16, 1_000)])
+def test_near_dup_links_in_crowded_nodes(spark, monkeypatch, node, n):
+    """Every planted link is found where all texts share few words; smaller nodes crowd as more rows would."""
+    monkeypatch.setattr(chosen_path, "NODE", node)
+    rows = [(2 * i + k, t) for i, pair in enumerate(planted(5, n)) for k, t in enumerate(pair)]
+    found = {r.doc_id: r.component_id for r in chosen_path.near_dup(docs(spark, rows), words=2).collect()}
+    assert [i for i in range(n) if found[2 * i] != found[2 * i + 1]] == []
+
+
 def test_components_of_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "PARTITION_ROWS", 20)
     rng = random.Random(7)
@@ -243,6 +267,84 @@ def test_pii_collisions(spark):
     assert len(rows) == len(set(new)) == 100 and not set(new) & {r.norm for r in rows}
 
 
+def test_pii_has_no_largest_length(spark):
+    word, rng = "correcthorse9battery-staple", random.Random(1)
+    secret = "".join(rng.choice("abcdefgh0123456789ABC") for _ in range(10_000))
+    texts = [
+        (1, f"password={secret} end"), (2, f"key sk-{secret[:120]} end"), (3, f"ghp_{secret[:300]} end"), (4, f"to {'a1b2' * 40}@{'x' * 70}.{'y' * 30}.example.com now"),
+        (5, f"Mr {'Q' + 'ab' * 40} {'R' + 'cd' * 40} left"), (6, f"pwd: p@ss{word}!#% end"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_pii(docs(spark, texts), "k", count_col="n_pii").collect()}
+    assert {i: r.n_pii for i, r in got.items()} == dict.fromkeys(got, 1)
+    assert re.fullmatch(r"password=[0-9a-f]{10000} end", got[1].text) and re.fullmatch(r"key sk-[0-9a-zA-Z]{120} end", got[2].text)
+    joined = " ".join(r.text for r in got.values())
+    for i in range(0, 9990, 7):
+        assert secret[i : i + 12] not in joined
+    assert not any(x in joined for x in ("a1b2a1b2", "xxxxx", "abab", "cdcd", "correcthorse", "battery"))
+
+
+def test_pii_names_agree(spark):
+    texts = [(1, "Dr Anna Schmidt and Frau Anna Schmidt came"), (2, "Mr Smith wrote to John Smith, and SMITH read it. Smith slept"), (3, "Dr Kim Lang, no Smithson"), (4, "Smith alone is no name here")]
+    got = {r.doc_id: r.text for r in pii.replace_pii(docs(spark, texts), "k").collect()}
+    a = re.fullmatch(r"Dr (\w+) (\w+) and Frau (\w+) (\w+) came", got[1])
+    assert a[1] == a[3] in pii.FIRST["f"] and a[2] == a[4] != "Schmidt"
+    b = re.fullmatch(r"Mr (\w+) wrote to (\w+) (\w+), and (\w+) read it\. (\w+) slept", got[2])
+    assert b[1] == b[3] == b[5] == b[4].capitalize() != "Smith" and b[2] in pii.FIRST["n"]
+    assert "no Smithson" in got[3] and got[4] == texts[3][1]
+
+
+def iban_right(text):
+    t = re.sub(" ", "", text)
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_pii_account_check_digits(spark):
+    texts = [(1, "DE89 3704 0044 0532 0130 00"), (2, "GB29 NWBK 6016 1331 9268 19"), (3, "DE88 3704 0044 0532 0130 00")]
+    got = {r.doc_id: r.text for r in pii.replace_pii(docs(spark, texts), "k").collect()}
+    assert [iban_right(got[i]) for i in (1, 2, 3)] == [True, True, False]
+    assert all(got[i][:2] == t[:2] and got[i] != t and [c.isalpha() for c in got[i]] == [c.isalpha() for c in t] for i, t in texts)
+
+
+def test_pii_crowded_addresses(spark):
+    """Of a private block with half of its addresses taken, later surrogates move to the largest block."""
+    ips = [f"192.168.{a}.{b}" for a in range(1, 255) for b in range(1, 255, 2)]
+    rows = pii.surrogates(spark.createDataFrame([("ip", x) for x in ips], "kind string, norm string"), "k").collect()
+    new = {r.surrogate for r in rows}
+    assert len(rows) == len(new) == len(ips) and not new & set(ips) and all(x.startswith(("192.168.", "10.")) for x in new)
+
+
+def test_pii_brute_force(spark):
+    """Against a scan of its own in Python: the same stretches go, all else stays, and equal parts stay equal and distinct ones distinct."""
+    import regex
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in pii.replace_pii(rows, "k", count_col="n").collect()}
+    entity, name = regex.compile(pii.ENTITY), regex.compile(pii.PATTERNS["name"])
+    forward, back, changed = {}, {}, 0
+    for r in rows.collect():
+        text = r.text or ""
+        last = {x for m in entity.finditer(text) if name.fullmatch(m[0]) for x in [regex.search(r"[\p{L}'-]+$", m[0])[0]] if len(x) > 2}
+        whole = entity if not last else regex.compile(pii.ENTITY + "|" + pii.BARE.replace("SURNAMES", "|".join(sorted(last | {x.upper() for x in last}))))
+        spans = [m.span() for m in whole.finditer(text)]
+        assert got[r.doc_id].n == len(spans)
+        changed += bool(spans)
+        gaps = [text[a:b] for a, b in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(text)])]
+        m = re.fullmatch("(.+?)".join(map(re.escape, gaps)), got[r.doc_id].text or "", re.S)
+        assert m, r.doc_id
+        for (x, y), new in zip(spans, m.groups()):
+            old = text[x:y]
+            assert new != old
+            assert forward.setdefault(old, new) == new and back.setdefault(new, old) == old
+    assert changed > 20
+
+
+def test_pii_clashing_names(spark):
+    df = docs(spark, [(1, "mail bob@x.example.com")]).withColumns({c: F.lit(c) for c in ("row", "text2", "found", "pattern", "at", "outs", "gaps", "pos", "replacement", "a.b")})
+    out = pii.replace_pii(df, "k", count_col="n")
+    r = out.first().asDict()
+    assert r["row"] == "row" and r["a.b"] == "a.b" and r["n"] == 1 and "bob" not in r["text"] and [c for c in out.columns if c != "n"] == [c for c in df.columns if c != "n"]
+
+
 def test_pii_empty(spark):
     assert pii.replace_pii(docs(spark, []), "k").count() == 0
     assert pii.replace_pii(docs(spark, [(1, "plain")]), "k").first().text == "plain"
@@ -482,6 +584,68 @@ def test_host_boilerplate(spark):
     assert all(r.n_chars == len(r.text) for r in html_text.extract_pages(df.limit(20)).collect())
 
 
+def test_doubtful_containers(spark):
+    """A name that only has a word for what is left out needs the host's runs; other names, tags and roles do not."""
+    def page(i, extra=""):
+        return f"""<article><p>story {i} of the day</p><div class="share-price">Price <b>{i}</b> EUR</div><div id="search-engine-history">engines {i}</div><div class="form-factor review">form {i}</div>
+        <div class="share-kit">Share this with all your friends</div><div class="newsletter-box x">mail me {i}</div><div class="comment-list">reader {i}</div><div class="ad slot"><p>buy {i}</p></div>{extra}</article>"""
+
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(3)] + [(10, "https://one.example/", page(10))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract_pages(df).collect()}
+    for i in range(3):
+        assert got[i].text == f"story {i} of the day\nPrice {i} EUR\nengines {i}\nform {i}"
+        assert got[i].n_repeated == 6
+    assert got[10].text.endswith("form 10\nShare this with all your friends") and got[10].n_repeated == 0
+
+
+def brute_pages(rows):
+    """Main texts of pages without a named main part: words outside of all runs of RUN words that another page has too."""
+    texts = {i: [re.sub(r"<[^>]*>", "", b).split() for b in re.findall(r"<div>(.*?)</div>", h)] for i, _, h in rows}
+    where = {}
+    for i, blocks in texts.items():
+        flat = [w for b in blocks for w in b]
+        for p in range(len(flat) - 7):
+            where.setdefault(tuple(flat[p : p + 8]), set()).add(" ".join(flat))
+    out = {}
+    for i, blocks in texts.items():
+        flat = [w for b in blocks for w in b]
+        mask = [False] * len(flat)
+        for p in range(len(flat) - 7):
+            if len(where[tuple(flat[p : p + 8])]) > 1:
+                mask[p : p + 8] = [True] * 8
+        at, kept = 0, []
+        for b in blocks:
+            m = mask[at : at + len(b)]
+            at += len(b)
+            stay = html_text.unique_words(b, np.array(m, bool))
+            if stay:
+                kept.append(" ".join(stay))
+        out[i] = ("\n".join(kept), sum(mask))
+    return out
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_pages_brute_force(spark, monkeypatch, group):
+    """The same texts whether a host is one group or dealt to many."""
+    monkeypatch.setattr(html_text, "GROUP_PAGES", group)
+    rng = random.Random(3)
+    runs = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randint(3, 25))) for _ in range(30)]
+    rows = []
+    for i in range(120):
+        blocks = [rng.choice(runs) if rng.random() < 0.5 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 15))) for _ in range(rng.randint(0, 6))]
+        rows.append((i, "https://h.example/x", "".join(f"<div>{b}</div>" for b in blocks)))
+    rows += [(200 + i, "https://h.example/x", rows[i][2]) for i in range(12)] + [(300, "https://h.example/x", rows[0][2])] * 30
+    got = {r.page_id: (r.text, r.n_repeated) for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_pages(rows)
+
+
+def test_very_long_page(spark):
+    long = "<article>" + "".join(f"<p>word{k} and more</p>" for k in range(60_000)) + "</article>"
+    r = html_text.extract_pages(spark.createDataFrame([(1, "https://h.example/", long)], "page_id long, url string, html string")).first()
+    assert r.text.count("\n") == 59_999 and r.text.endswith("word59999 and more")
+
+
 def test_repeated_runs_brute_force():
     rng = random.Random(9)
     for _ in range(40):
