@@ -1,19 +1,23 @@
 """Main text of web pages by host suffix arrays (operator 1).
 
 A page is read into blocks of text in page order, each with the containers around it. What stands in a container for
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments is left out. If the
-page names its main part (`article`, `main` or their roles), only blocks inside are the main text, and they are kept
-as they are. Pages that name none are told apart from their host's boilerplate by a suffix array: the token streams
-of a group of the host's pages are concatenated, suffixes are sorted by prefix doubling to a depth of RUN tokens, and
-every run of RUN tokens that occurs in pages with different streams is boilerplate; what it covers goes, and the
-unique runs stay.
-
-Why the suffix array does not decide within a named main part: whole articles and passages recur on a host as
-ordinary content, and the contract drops none of it.
-
-Scale: parsing is row by row; the blocks, compressed, are then grouped by host, a hot host being cut by page hash into
-groups of about GROUP_PAGES pages. The counts of the HOT_HOSTS largest hosts (bounded) tell how many. A task
-streams its groups and holds one group of at most GROUP_PAGES pages at a time, whatever a host has.
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments is left out, and if the
+page names its main part (`article`, `main` or their roles), so is all that stands outside of it.
+
+Suffix arrays tell the rest from the host's boilerplate: the token streams of a host's pages are concatenated (all blocks
+but those of a named main part), suffixes are sorted by prefix doubling to a depth of RUN tokens, and every run of RUN
+tokens that occurs in pages with different streams is boilerplate. Of pages that name no main part, what runs cover
+goes and the unique runs stay. A block whose container only might be left out by its name (`share-price`, `form-factor`: a
+word for such containers beside other words) goes if runs cover it from end to end, and stays otherwise, in named main
+parts too. How many words of each page runs cover is part of the result.
+
+Why the suffix array does not decide on the other blocks of a named main part: whole articles and passages recur on a
+host as ordinary content, and the contract drops none of it.
+
+Scale: parsing is row by row; the blocks, compressed, are then grouped by host, one of over GROUP_PAGES pages being dealt to
+groups by page hash. Each group of such a host first sends the hashes of its runs with their owners, which are merged by
+host and hash; runs found to have several owners go back to the groups that hold them. So every group sees the whole
+host, results do not depend on the dealing, and a task holds 2 * GROUP_PAGES pages at a time, whatever a host has.
 """
 
 from __future__ import annotations
@@ -24,10 +28,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_PAGES, HOT_HOSTS, RUN = 256, 10_000, 8
+from .common import checkpointed
+
+GROUP_PAGES, RUN = 256, 8
+#: Up to so many hosts (with their numbers of groups) are broadcast.
+BROADCAST_HOSTS = 100_000
+#: What is known of a block: left out, outside or inside a named main part, and DOUBTFUL on top if only its container's name tells.
+LEFT_OUT, OUTSIDE, MAIN, DOUBTFUL = 0, 1, 2, 4
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -46,6 +57,12 @@ SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner share sharing social comment comments disqus "
     "related recommended newsletter subscribe subscription pagination pager widget toolbar login signup search form".split()
 )
+#: Words that may stand beside those in one name without making it another thing.
+BESIDE_WORDS = frozenset(
+    "area article bar block blog body bottom box btn button buttons card cards cell close col column container content counter count desktop entry fixed float global grid group head heading holder icon icons id inner "
+    "input item items js label large layer left link links list main medium message messages mobile modal module nav outer page panel policy post primary right row secondary section site slot small sticky story "
+    "strip tab tabs text thread title top unit view wrap wrapper zone".split()
+)
 #: In a main part a header holds the title; elsewhere it is the page's.
 OUTER_ONLY = frozenset(["header"])
 MAIN_TAGS, MAIN_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
@@ -59,52 +76,58 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = BLOCK_TAGS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "head"}
 
 
-def _skipped(tag: str, attrs: str, in_main: bool) -> bool:
+def _skipped(tag: str, attrs: str, in_main: bool) -> int:
+    """LEFT_OUT for a container of what is no main text, DOUBTFUL where its name only has a word for one, else -1."""
     if tag in SKIP_TAGS or (tag in OUTER_ONLY and not in_main):
-        return True
+        return LEFT_OUT
+    found = -1
     if not attrs:
-        return False
+        return found
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in SKIP_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("body", "html"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & SKIP_WORDS or (not in_main and words & OUTER_ONLY):
-                return tag not in MAIN_TAGS
+            return LEFT_OUT
+        if name in ("class", "id") and tag not in ("body", "html") and tag not in MAIN_TAGS:
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.findall(one) if not w.isdigit()}
+                named = words & SKIP_WORDS if in_main else words & (SKIP_WORDS | OUTER_ONLY)
+                if named and words <= SKIP_WORDS | OUTER_ONLY | BESIDE_WORDS:
+                    return LEFT_OUT
+                if named:
+                    found = DOUBTFUL
         if (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs))
+            return LEFT_OUT
+    return LEFT_OUT if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) else found
 
 
 def _is_main(tag: str, attrs: str) -> bool:
     return tag in MAIN_TAGS or any(n.lower() == "role" and (a or b or c).lower() in MAIN_ROLES for n, a, b, c in _ATTR.findall(attrs))
 
 
-def page_blocks(source: str | None) -> list[tuple[bool, str]]:
-    """(inside a named main part, text) of each block in page order that no left-out container holds."""
-    out: list[tuple[bool, str]] = []
+def marked_blocks(source: str | None) -> list[tuple[int, str]]:
+    """(what is known, text) of each block in page order; scripts, styles and the like have no text."""
+    out: list[tuple[int, str]] = []
     if not source:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # (tag, left out here or above, main here or above)
+    stack: list[tuple[str, bool, bool, bool]] = []  # (tag; left out, main, doubtful: here or above)
     parts: list[str] = []
-    off = main = False
+    off = main = doubtful = False
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((main, text))
+                out.append((LEFT_OUT if off else (MAIN if main else OUTSIDE) + (DOUBTFUL if doubtful else 0), text))
             parts.clear()
 
     def pop_to(k: int) -> None:
-        nonlocal off, main
+        nonlocal off, main, doubtful
         del stack[k:]
-        off, main = stack[-1][1:] if stack else (False, False)
+        off, main, doubtful = stack[-1][1:] if stack else (False, False, False)
 
     at = 0
     for m in _MARKUP.finditer(source):
-        if m.start() > at and not off:
+        if m.start() > at:
             parts.append(html.unescape(source[at : m.start()]))
         at = m.end()
         tag = m["tag"]
@@ -114,7 +137,8 @@ def page_blocks(source: str | None) -> list[tuple[bool, str]]:
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag in BLOCK_TAGS or any(s[0] in BLOCK_TAGS or s[1] for s in stack[k:]):
+                    above = stack[k - 1][1:] if k else (False, False, False)
+                    if tag in BLOCK_TAGS or above != (off, main, doubtful) or any(s[0] in BLOCK_TAGS for s in stack[k:]):
                         flush()
                     pop_to(k)
                     break
@@ -140,38 +164,29 @@ def page_blocks(source: str | None) -> list[tuple[bool, str]]:
                     break
         if attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        now_off = off or _skipped(tag, attrs, main)
-        if now_off and not off:
+        told = _skipped(tag, attrs, main)
+        now_off, now_doubtful = off or told == LEFT_OUT, doubtful or told == DOUBTFUL
+        if (now_off, now_doubtful) != (off, doubtful):
             flush()
         now_main = main or (not now_off and _is_main(tag, attrs))
         if now_main and not main:
             flush()
-        stack.append((tag, now_off, now_main))
-        off, main = now_off, now_main
-    if at < len(source) and not off:
+        stack.append((tag, now_off, now_main, now_doubtful))
+        off, main, doubtful = now_off, now_main, now_doubtful
+    if at < len(source):
         parts.append(html.unescape(source[at:]))
     flush()
     return out
 
 
-def repeated_runs(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a run of `run` tokens that occurs in two of the streams.
+def page_blocks(source: str | None) -> list[tuple[bool, str]]:
+    """(inside a named main part, text) of each block in page order that no container leaves out for sure."""
+    return [(bool(known & MAIN), text) for known, text in marked_blocks(source) if known != LEFT_OUT]
 
-    The streams are concatenated with separators of their own; suffixes are ranked by their first 1, 2, 4, ... run
-    tokens (prefix doubling), and equal ranks at full depth are runs with a common prefix of that length.
-    """
-    n = sum(len(s) + 1 for s in streams)
-    covered = [np.zeros(len(s), bool) for s in streams]
-    if len(streams) < 2:
-        return covered
-    text, owner = np.empty(n, np.int64), np.empty(n, np.int64)
-    at, starts = 0, []
-    for k, s in enumerate(streams):
-        starts.append(at)
-        text[at : at + len(s)] = s
-        text[at + len(s)] = -1 - k
-        owner[at : at + len(s) + 1] = k
-        at += len(s) + 1
+
+def suffix_order(text: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the text to a depth of `run` tokens, by prefix doubling, and where its groups of equal runs begin."""
+    n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     depth = 1
     while depth < run:
@@ -180,17 +195,68 @@ def repeated_runs(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]
         ahead[: n - step] = rank[step:]
         rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
         depth += step
-    order = np.argsort(rank, kind="stable")  # the suffix array to this depth
-    edge = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-    low, high = np.minimum.reduceat(owner[order], edge), np.maximum.reduceat(owner[order], edge)
-    shared = np.zeros(n, bool)
-    shared[order] = np.repeat(low != high, np.diff(np.r_[edge, n]))
-    step = np.zeros(n + run, np.int64)
-    hit = np.flatnonzero(shared)
-    np.add.at(step, hit, 1)
-    np.add.at(step, hit + run, -1)
-    inside = np.cumsum(step)[:n] > 0
-    return [inside[a : a + len(s)] for a, s in zip(starts, streams, strict=True)]
+    order = np.argsort(rank, kind="stable")
+    return order, np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
+
+
+class Runs:
+    """The runs of `run` tokens in some token streams, concatenated; negative tokens separate, equal owners are one stream."""
+
+    def __init__(self, streams: list[np.ndarray], run: int, owners: list[int] | None = None) -> None:
+        self.run = run
+        self.starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in streams])]).astype(np.int64)
+        self.n = int(self.starts[-1])
+        self.text = np.empty(self.n, np.int64)
+        owner = np.empty(self.n, np.uint64)
+        apart = -1
+        for k, s in enumerate(streams):
+            a = self.starts[k]
+            self.text[a : a + len(s)] = s
+            cut = a + np.flatnonzero(s < 0)
+            self.text[cut] = apart - np.arange(len(cut))  # every separator is unlike any other token
+            apart -= len(cut) + 1
+            self.text[a + len(s)] = apart
+            apart -= 1
+            owner[a : a + len(s) + 1] = k if owners is None else owners[k]
+        self.order, self.edge = suffix_order(self.text, run) if self.n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if self.n:
+            self.low, self.high = np.minimum.reduceat(owner[self.order], self.edge), np.maximum.reduceat(owner[self.order], self.edge)
+        else:
+            self.low = self.high = np.zeros(0, np.uint64)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which groups of equal runs have no separator, and the 64-bit hashes of these."""
+        first = self.order[self.edge] if self.n else self.order
+        fits = first + self.run <= self.n
+        h, whole = np.full(len(first), 0x9E3779B97F4A7C15, np.uint64), fits.copy()
+        for k in range(self.run):
+            token = self.text[np.minimum(first + k, self.n - 1)]
+            whole &= token >= 0
+            h = (h ^ token.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+        return np.flatnonzero(whole), h[whole]
+
+    def covered(self, elsewhere: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each stream, which tokens lie in a run that occurs in two streams here, or whose hash is elsewhere's (sorted)."""
+        shared_group = self.low != self.high
+        if elsewhere is not None and len(elsewhere) and self.n:
+            at, h = self.hashes()
+            place = np.minimum(np.searchsorted(elsewhere, h), len(elsewhere) - 1)
+            shared_group[at[elsewhere[place] == h]] = True
+        inside = np.zeros(self.n, bool)
+        if self.n:
+            shared = np.zeros(self.n, bool)
+            shared[self.order] = np.repeat(shared_group, np.diff(np.r_[self.edge, self.n]))
+            step, hit = np.zeros(self.n + self.run, np.int64), np.flatnonzero(shared)
+            np.add.at(step, hit, 1)
+            np.add.at(step, hit + self.run, -1)
+            inside = np.cumsum(step)[: self.n] > 0
+        return [inside[a : b - 1] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
+
+
+def repeated_runs(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
+    """For each token stream, which tokens lie in a run of `run` tokens that occurs in two of the streams."""
+    return Runs(streams, run).covered()
 
 
 def unique_words(block: list[str], mask: np.ndarray, run: int = RUN) -> list[str]:
@@ -206,35 +272,70 @@ def unique_words(block: list[str], mask: np.ndarray, run: int = RUN) -> list[str
     return left + block[at:]
 
 
-def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
+_PAD = np.arange(RUN - 1, dtype=np.int64)
+
+
+class Pages:
+    """Some pages of one host: their blocks, and the runs of those blocks that no named main part holds for sure.
+
+    A doubtful block shorter than a run is padded to one, and all end with a separator, so a short one is covered if another page has it.
+    """
+
+    def __init__(self, pages: list[list[tuple[int, str]]]) -> None:
+        self.pages = pages
+        self.words = [[text.split(" ") for _, text in blocks] for blocks in pages]
+        self.named = [any(known & MAIN for known, _ in blocks) for blocks in pages]
+        known_words: dict[str, int] = {}
+        streams, self.spans = [], []
+        for blocks, own in zip(pages, self.words, strict=True):
+            parts, spans, at = [np.zeros(0, np.int64)], [], 0
+            for (known, _), block in zip(blocks, own, strict=True):
+                if known == MAIN:
+                    spans.append(None)
+                    continue
+                tokens = np.fromiter((known_words.get(w) or known_words.setdefault(w, (xxhash.xxh3_64_intdigest(w) >> 1) | RUN) for w in block), np.int64, len(block))
+                spans.append((at, at + len(tokens)))
+                parts.append(tokens)
+                at += len(tokens)
+                if known & DOUBTFUL:
+                    parts += [_PAD[: max(0, RUN - len(tokens))], np.array([-1], np.int64)]
+                    at += max(0, RUN - len(tokens)) + 1
+            streams.append(np.concatenate(parts))
+            self.spans.append(spans)
+        hashes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in streams]  # copies of a page are one stream
+        first: dict[int, int] = {}
+        for k, h in enumerate(hashes):
+            first.setdefault(h, k)
+        number = {h: j for j, h in enumerate(first)}
+        self.of = [number[h] for h in hashes]
+        self.runs = Runs([streams[k] for k in first.values()], RUN, list(first))
+
+    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, smallest and largest owner (their upper 32 bits) of every run."""
+        at, h = self.runs.hashes()
+        return h, (self.runs.low[at] >> np.uint64(32)).astype(np.uint32), (self.runs.high[at] >> np.uint64(32)).astype(np.uint32)
+
+    def results(self, elsewhere: np.ndarray | None = None) -> list[tuple[str, int]]:
+        """The main text of each page, and how many of its words runs of other pages cover."""
+        masks = self.runs.covered(elsewhere)
+        out = []
+        for blocks, own, spans, named, k in zip(self.pages, self.words, self.spans, self.named, self.of, strict=True):
+            kept, repeated = [], 0
+            for (known, text), block, span in zip(blocks, own, spans, strict=True):
+                mask = masks[k][slice(*span)] if span else np.zeros(len(block), bool)
+                repeated += int(mask.sum())
+                if known == LEFT_OUT or bool(known & MAIN) != named or (known & DOUBTFUL and mask.all()):
+                    continue
+                left = text if named else " ".join(unique_words(block, mask))
+                if left:
+                    kept.append(left)
+            out.append(("\n".join(kept), repeated))
+        return out
+
+
+def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
     """The main texts of one host's pages."""
-    tokens: dict[str, int] = {}
-    streams, words = [], []
-    for blocks in pages:
-        own = [text.split(" ") for _, text in blocks]
-        words.append(own)
-        streams.append(np.array([tokens.setdefault(w, len(tokens)) for b in own for w in b], np.int64))
-    named = [any(main for main, _ in blocks) for blocks in pages]
-    covered: list[np.ndarray | None] = [None] * len(pages)
-    if not all(named):
-        distinct: dict[bytes, int] = {}
-        of = [distinct.setdefault(s.tobytes(), len(distinct)) for s in streams]  # copies of a page are one stream
-        first = [of.index(k) for k in range(len(distinct))]
-        runs = repeated_runs([streams[i] for i in first])
-        covered = [runs[k] for k in of]
-    out = []
-    for blocks, own, has_main, mask in zip(pages, words, named, covered, strict=True):
-        if has_main:
-            out.append("\n".join(text for main, text in blocks if main))
-            continue
-        at, kept = 0, []
-        for block in own:
-            left = unique_words(block, mask[at : at + len(block)])
-            at += len(block)
-            if left:
-                kept.append(" ".join(left))
-        out.append("\n".join(kept))
-    return out
+    return [text for text, _ in Pages(pages).results()]
 
 
 def _parsed(batches):
@@ -242,48 +343,136 @@ def _parsed(batches):
 
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        data = [pack.compress(json.dumps(page_blocks(x), ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in batch.column("html").to_pylist()]
+        data = [pack.compress(json.dumps(marked_blocks(x), ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in batch.column("html").to_pylist()]
         batch = batch.drop_columns(["html"])
         yield batch.append_column("blocks", pa.array(data, pa.binary()))
 
 
-def _extracted(batches):
+def _groups(batches, columns: int):
+    """(key, rows) of runs of rows with equal first two columns, at most 2 * GROUP_PAGES at a time for hosts dealt to groups."""
+    rows, key = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if rows and (row[:2] != key or (row[1] >= 0 and len(rows) >= 2 * GROUP_PAGES)):
+                yield key, rows
+                rows = []
+            key = row[:2]
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _blocks(data: bytes, unpack) -> list[tuple[int, str]]:
+    return json.loads(unpack.decompress(data).decode("utf-8", "surrogatepass"))
+
+
+_RUN = np.dtype([("hash", np.uint64), ("low", np.uint32), ("high", np.uint32)])
+
+
+def _sent(batches):
+    """(host, slot, salt, runs): the runs of each group, dealt to as many slots as the host has groups."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
+    for (host, salt), rows in _groups(batches, 5):
+        h, low, high = Pages([_blocks(r[4], unpack) for r in rows]).sent()
+        runs = np.empty(len(h), _RUN)
+        runs["hash"], runs["low"], runs["high"] = h, low, high
+        slots = max(r[3] for r in rows)
+        slot = (h % np.uint64(slots)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0]) if len(h) else []
+        blobs = [(int(slot[order[a]]), runs[order[a:b]].tobytes()) for a, b in zip(edge, [*edge[1:], len(h)], strict=True)]
+        yield pa.RecordBatch.from_pydict(
+            {"host": pa.array([host] * len(blobs), pa.string()), "slot": pa.array([s for s, _ in blobs], pa.int32()), "salt": pa.array([salt] * len(blobs), pa.int32()), "runs": pa.array([x for _, x in blobs], pa.binary())}
+        )
+
+
+def _merged(batches):
+    """(host, salt, runs): of one slot, the hashes with several owners that a group holds."""
+    held, key = [], None
+
+    def result():
+        groups = [(salt, np.frombuffer(x, _RUN)) for salt, x in held]
+        every = np.concatenate([x for _, x in groups])
+        h, at = np.unique(every["hash"], return_inverse=True)
+        low, high = np.full(len(h), 2**32 - 1, np.uint32), np.zeros(len(h), np.uint32)
+        np.minimum.at(low, at, every["low"])
+        np.maximum.at(high, at, every["high"])
+        shared = h[low != high]
+        found = [(salt, np.intersect1d(x["hash"], shared)) for salt, x in groups]
+        found = [(salt, x.tobytes()) for salt, x in found if len(x)]
+        return pa.RecordBatch.from_pydict({"host": pa.array([key[0]] * len(found), pa.string()), "salt": pa.array([s for s, _ in found], pa.int32()), "runs": pa.array([x for _, x in found], pa.binary())})
 
-    def result(rows):
-        texts = main_texts([json.loads(unpack.decompress(r[4]).decode("utf-8", "surrogatepass")) for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    rows, group, kind = [], None, None
     for batch in batches:
-        kind = batch.schema.field(0).type
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if rows and (row[2:4] != group or len(rows) >= GROUP_PAGES):
-                yield result(rows)
-                rows = []
-            group = row[2:4]
-            rows.append(row)
-    if rows:
-        yield result(rows)
+        for host, slot, salt, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and (host, slot) != key:
+                yield result()
+                held = []
+            key = (host, slot)
+            held.append((salt, runs))
+    if held:
+        yield result()
+
+
+def _extracted(batches):
+    """From (host, salt, kind, blocks or runs, id, url) with a group's shared runs before its pages."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    elsewhere, of, kind = np.zeros(0, np.uint64), None, None
+
+    def noted():
+        nonlocal kind
+        for batch in batches:
+            kind = batch.schema.field(4).type
+            yield batch
+
+    for key, rows in _groups(noted(), 6):
+        if key != of:
+            elsewhere, of = np.zeros(0, np.uint64), key
+        told = [np.frombuffer(r[3], np.uint64) for r in rows if r[2] == 0]
+        if told:
+            elsewhere = np.unique(np.concatenate([elsewhere, *told]))
+        rows = [r for r in rows if r[2]]
+        found = Pages([_blocks(r[3], unpack) for r in rows]).results(elsewhere)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[4] for r in rows], kind), pa.array([r[5] for r in rows], pa.string()), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
+            ["page_id", "url", "text", "n_chars", "n_repeated"],
+        )
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars (code points).
+    """One row per input row: page_id, url, text, n_chars (code points), n_repeated.
 
+    n_repeated counts the words outside a named main part (or in doubtful blocks) that lie in runs of other pages of the host.
     Null or empty html gives the empty text. A null url, or one without a host, belongs to the host ''. Repeated rows
     are pages of their own with equal texts. Unclosed and cut-off markup is read as browsers do; a line break
     element is white space. Other columns are not read; an empty table gives an empty result.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    counts = pages.groupBy(host.alias("host")).count().filter(F.col("count") > GROUP_PAGES).orderBy(F.desc("count"), "host").limit(HOT_HOSTS).collect()
-    salts = F.lit(1)
-    if counts:
-        table = F.create_map(*(x for r in counts for x in (F.lit(r["host"]), F.lit(-(-r["count"] // GROUP_PAGES)))))
-        salts = F.coalesce(F.element_at(table, F.col("host")), F.lit(1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    rows = rows.select("page_id", "url", "host", F.pmod(F.xxhash64("page_id", F.crc32(F.encode(F.coalesce("url", F.lit("")), "UTF-8"))), salts).cast("int").alias("salt"), "html")
-    kind = dict(rows.dtypes)["page_id"]
-    parsed = rows.mapInArrow(_parsed, f"page_id {kind}, url string, host string, salt int, blocks binary")
-    return parsed.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP_PAGES)
+    large = checkpointed(large.select("host", F.ceil(F.col("c") / GROUP_PAGES).cast("int").alias("slots")))
+    n_large = large.count()
+    ids = dict(rows.dtypes)["page_id"]
+
+    def parsed(df: DataFrame) -> DataFrame:
+        return df.select("host", "salt", "page_id", "url", "slots", "html").mapInArrow(_parsed, f"host string, salt int, page_id {ids}, url string, slots int, blocks binary")
+
+    if not n_large:  # hosts are groups
+        whole = parsed(rows.withColumn("salt", F.lit(-1)).withColumn("slots", F.lit(1)))
+        units = whole.select("host", "salt", F.lit(1).alias("kind"), "blocks", "page_id", "url")
+    else:
+        sized = rows.join(F.broadcast(large) if n_large <= BROADCAST_HOSTS else large, "host", "left")
+        dealt = F.pmod(F.xxhash64("page_id", F.coalesce("url", F.lit("")), F.xxhash64("html")), F.col("slots")).cast("int")
+        sized = sized.withColumn("salt", F.coalesce(dealt, F.lit(-1)))
+        whole = parsed(sized)
+        units = whole.select("host", "salt", F.lit(1).alias("kind"), "blocks", "page_id", "url")
+        own = whole.filter("salt >= 0").select("host", "salt", "page_id", "slots", "blocks").repartition("host", "salt").sortWithinPartitions("host", "salt")
+        sent = own.mapInArrow(_sent, "host string, slot int, salt int, runs binary")
+        shared = sent.repartition("host", "slot").sortWithinPartitions("host", "slot").mapInArrow(_merged, "host string, salt int, runs binary")
+        shared = shared.select("host", "salt", F.lit(0).alias("kind"), F.col("runs").alias("blocks"), F.lit(None).cast(ids).alias("page_id"), F.lit(None).cast("string").alias("url"))
+        units = units.unionByName(shared)
+    whole = units.repartition("host", "salt").sortWithinPartitions("host", "salt", "kind", "page_id")
+    return whole.mapInArrow(_extracted, f"page_id {ids}, url string, text string, n_chars long, n_repeated long")
