@@ -275,34 +275,44 @@ def unique_words(block: list[str], mask: np.ndarray, run: int = RUN) -> list[str
 _PAD = np.arange(RUN - 1, dtype=np.int64)
 
 
-class Pages:
-    """Some pages of one host: their blocks, and the runs of those blocks that no named main part holds for sure.
+class Words:
+    """Numbers of words, remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 1_000_000:
+            known.clear()
+        return np.fromiter((known.get(w) or known.setdefault(w, (xxhash.xxh3_64_intdigest(w) >> 1) | RUN) for w in words), np.int64, len(words))
+
+
+def page_stream(blocks: list[tuple[int, str]], words: Words) -> tuple[np.ndarray, list[tuple[int, int] | None]]:
+    """The tokens of the blocks that no named main part holds for sure, and where each block's are.
 
     A doubtful block shorter than a run is padded to one, and all end with a separator, so a short one is covered if another page has it.
     """
+    parts, spans, at = [np.zeros(0, np.int64)], [], 0
+    for known, text in blocks:
+        if known == MAIN:
+            spans.append(None)
+            continue
+        tokens = words(text.split(" "))
+        spans.append((at, at + len(tokens)))
+        parts.append(tokens)
+        at += len(tokens)
+        if known & DOUBTFUL:
+            parts += [_PAD[: max(0, RUN - len(tokens))], np.array([-1], np.int64)]
+            at += max(0, RUN - len(tokens)) + 1
+    return np.concatenate(parts), spans
+
 
-    def __init__(self, pages: list[list[tuple[int, str]]]) -> None:
-        self.pages = pages
-        self.words = [[text.split(" ") for _, text in blocks] for blocks in pages]
-        self.named = [any(known & MAIN for known, _ in blocks) for blocks in pages]
-        known_words: dict[str, int] = {}
-        streams, self.spans = [], []
-        for blocks, own in zip(pages, self.words, strict=True):
-            parts, spans, at = [np.zeros(0, np.int64)], [], 0
-            for (known, _), block in zip(blocks, own, strict=True):
-                if known == MAIN:
-                    spans.append(None)
-                    continue
-                tokens = np.fromiter((known_words.get(w) or known_words.setdefault(w, (xxhash.xxh3_64_intdigest(w) >> 1) | RUN) for w in block), np.int64, len(block))
-                spans.append((at, at + len(tokens)))
-                parts.append(tokens)
-                at += len(tokens)
-                if known & DOUBTFUL:
-                    parts += [_PAD[: max(0, RUN - len(tokens))], np.array([-1], np.int64)]
-                    at += max(0, RUN - len(tokens)) + 1
-            streams.append(np.concatenate(parts))
-            self.spans.append(spans)
-        hashes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in streams]  # copies of a page are one stream
+class Streams:
+    """Token streams of some pages of one host; copies of a page are one stream."""
+
+    def __init__(self, streams: list[np.ndarray]) -> None:
+        hashes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in streams]
         first: dict[int, int] = {}
         for k, h in enumerate(hashes):
             first.setdefault(h, k)
@@ -315,27 +325,35 @@ class Pages:
         at, h = self.runs.hashes()
         return h, (self.runs.low[at] >> np.uint64(32)).astype(np.uint32), (self.runs.high[at] >> np.uint64(32)).astype(np.uint32)
 
-    def results(self, elsewhere: np.ndarray | None = None) -> list[tuple[str, int]]:
-        """The main text of each page, and how many of its words runs of other pages cover."""
+    def covered(self, elsewhere: np.ndarray | None = None) -> list[np.ndarray]:
+        """Which tokens of each page's stream lie in runs of other streams."""
         masks = self.runs.covered(elsewhere)
-        out = []
-        for blocks, own, spans, named, k in zip(self.pages, self.words, self.spans, self.named, self.of, strict=True):
-            kept, repeated = [], 0
-            for (known, text), block, span in zip(blocks, own, spans, strict=True):
-                mask = masks[k][slice(*span)] if span else np.zeros(len(block), bool)
-                repeated += int(mask.sum())
-                if known == LEFT_OUT or bool(known & MAIN) != named or (known & DOUBTFUL and mask.all()):
-                    continue
-                left = text if named else " ".join(unique_words(block, mask))
-                if left:
-                    kept.append(left)
-            out.append(("\n".join(kept), repeated))
-        return out
+        return [masks[k] for k in self.of]
+
+
+def cleaned(pages: list[list[tuple[int, str]]], elsewhere: np.ndarray | None = None, words: Words | None = None) -> list[tuple[str, int]]:
+    """The main text of each of one host's pages (blocks), and how many of its words runs of other pages cover."""
+    words = words or Words()
+    streams = [page_stream(blocks, words) for blocks in pages]
+    out = []
+    for blocks, (_, spans), covered in zip(pages, streams, Streams([s for s, _ in streams]).covered(elsewhere), strict=True):
+        named = any(known & MAIN for known, _ in blocks)
+        kept, repeated = [], 0
+        for (known, text), span in zip(blocks, spans, strict=True):
+            mask = covered[slice(*span)] if span else None
+            repeated += int(mask.sum()) if span else 0
+            if known == LEFT_OUT or bool(known & MAIN) != named or (known & DOUBTFUL and mask.all()):
+                continue
+            left = text if named else " ".join(unique_words(text.split(" "), mask))
+            if left:
+                kept.append(left)
+        out.append(("\n".join(kept), repeated))
+    return out
 
 
 def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
     """The main texts of one host's pages."""
-    return [text for text, _ in Pages(pages).results()]
+    return [text for text, _ in cleaned(pages)]
 
 
 def _parsed(batches):
@@ -348,6 +366,14 @@ def _parsed(batches):
         yield batch.append_column("blocks", pa.array(data, pa.binary()))
 
 
+def _streamed(batches):
+    """(host, salt, slots, stream) of each page."""
+    words = Words()
+    for batch in batches:
+        data = [page_stream(marked_blocks(x), words)[0].tobytes() for x in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("salt"), batch.column("slots"), pa.array(data, pa.binary())], ["host", "salt", "slots", "stream"])
+
+
 def _groups(batches, columns: int):
     """(key, rows) of runs of rows with equal first two columns, at most 2 * GROUP_PAGES at a time for hosts dealt to groups."""
     rows, key = [], None
@@ -371,14 +397,11 @@ _RUN = np.dtype([("hash", np.uint64), ("low", np.uint32), ("high", np.uint32)])
 
 def _sent(batches):
     """(host, slot, salt, runs): the runs of each group, dealt to as many slots as the host has groups."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
-    for (host, salt), rows in _groups(batches, 5):
-        h, low, high = Pages([_blocks(r[4], unpack) for r in rows]).sent()
+    for (host, salt), rows in _groups(batches, 4):
+        h, low, high = Streams([np.frombuffer(r[3], np.int64) for r in rows]).sent()
         runs = np.empty(len(h), _RUN)
         runs["hash"], runs["low"], runs["high"] = h, low, high
-        slots = max(r[3] for r in rows)
+        slots = rows[0][2]
         slot = (h % np.uint64(slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         edge = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0]) if len(h) else []
@@ -419,7 +442,7 @@ def _extracted(batches):
     """From (host, salt, kind, blocks or runs, id, url) with a group's shared runs before its pages."""
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor()
+    unpack, words = zstandard.ZstdDecompressor(), Words()
     elsewhere, of, kind = np.zeros(0, np.uint64), None, None
 
     def noted():
@@ -435,7 +458,7 @@ def _extracted(batches):
         if told:
             elsewhere = np.unique(np.concatenate([elsewhere, *told]))
         rows = [r for r in rows if r[2]]
-        found = Pages([_blocks(r[3], unpack) for r in rows]).results(elsewhere)
+        found = cleaned([_blocks(r[3], unpack) for r in rows], elsewhere, words)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[4] for r in rows], kind), pa.array([r[5] for r in rows], pa.string()), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
             ["page_id", "url", "text", "n_chars", "n_repeated"],
@@ -458,21 +481,19 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     ids = dict(rows.dtypes)["page_id"]
 
     def parsed(df: DataFrame) -> DataFrame:
-        return df.select("host", "salt", "page_id", "url", "slots", "html").mapInArrow(_parsed, f"host string, salt int, page_id {ids}, url string, slots int, blocks binary")
+        whole = df.select("host", "salt", "page_id", "url", "html").mapInArrow(_parsed, f"host string, salt int, page_id {ids}, url string, blocks binary")
+        return whole.select("host", "salt", F.lit(1).alias("kind"), "blocks", "page_id", "url")
 
     if not n_large:  # hosts are groups
-        whole = parsed(rows.withColumn("salt", F.lit(-1)).withColumn("slots", F.lit(1)))
-        units = whole.select("host", "salt", F.lit(1).alias("kind"), "blocks", "page_id", "url")
+        units = parsed(rows.withColumn("salt", F.lit(-1)))
     else:
         sized = rows.join(F.broadcast(large) if n_large <= BROADCAST_HOSTS else large, "host", "left")
         dealt = F.pmod(F.xxhash64("page_id", F.coalesce("url", F.lit("")), F.xxhash64("html")), F.col("slots")).cast("int")
         sized = sized.withColumn("salt", F.coalesce(dealt, F.lit(-1)))
-        whole = parsed(sized)
-        units = whole.select("host", "salt", F.lit(1).alias("kind"), "blocks", "page_id", "url")
-        own = whole.filter("salt >= 0").select("host", "salt", "page_id", "slots", "blocks").repartition("host", "salt").sortWithinPartitions("host", "salt")
-        sent = own.mapInArrow(_sent, "host string, slot int, salt int, runs binary")
+        own = sized.filter("salt >= 0").select("host", "salt", "slots", "html").mapInArrow(_streamed, "host string, salt int, slots int, stream binary")
+        sent = own.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(_sent, "host string, slot int, salt int, runs binary")
         shared = sent.repartition("host", "slot").sortWithinPartitions("host", "slot").mapInArrow(_merged, "host string, salt int, runs binary")
         shared = shared.select("host", "salt", F.lit(0).alias("kind"), F.col("runs").alias("blocks"), F.lit(None).cast(ids).alias("page_id"), F.lit(None).cast("string").alias("url"))
-        units = units.unionByName(shared)
+        units = parsed(sized).unionByName(shared)
     whole = units.repartition("host", "salt").sortWithinPartitions("host", "salt", "kind", "page_id")
     return whole.mapInArrow(_extracted, f"page_id {ids}, url string, text string, n_chars long, n_repeated long")
