@@ -2,15 +2,18 @@
 
 Kernel: blended-spectrum presence kernel over character n-grams, n = 1 to 4 (the number of distinct n-grams two
 texts share, over the geometric mean of their own numbers), on letters of the lower-cased text, every run of other
-characters being one space. n-grams are hashed to BUCKETS buckets. Landmarks are a fixed share of the training
+characters being one space. n-grams are hashed to 2**BITS buckets. Landmarks are a fixed share of the training
 sample; a text x becomes phi(x) = K(L,L)^(-1/2) k(L,x) (Nystroem), and one ridge regression for each language
 against the rest gives weights W. Scores of a batch are k(X,L) K(L,L)^(-1/2) W; as k is linear in presence
 vectors, the product is regrouped as X (L' K^(-1/2) W), one sparse batched matrix product with a
 (buckets x languages) matrix.
 
-The model is fitted on the driver from a bounded sample: QUOTA texts a language (of at most MAX_LANGUAGES), the ones
-with the smallest hashes of their ids, as n-gram bucket numbers. Prediction is row by row in Arrow batches: no
-shuffle, nothing collected; the model sent to executors has BUCKETS x languages floats.
+The model is fitted on the driver from a bounded sample of labelled texts: at most QUOTA a language and SAMPLE in all, but
+LEAST_QUOTA of every language however many there are; those with the smallest hashes of their ids, as bucket numbers (at most
+SAMPLE_GRAMS a text, the smallest). No language that has a labelled text is left out, and landmarks grow with languages.
+Prediction is row by row, over whole texts, in Arrow batches: no shuffle, nothing collected. For up to DENSE languages the
+model sent to executors has 2**BITS x languages floats; for more, n-grams have WIDE_BITS buckets and the model has the
+landmarks' buckets and the factor behind them.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-BUCKETS, ORDERS = 1 << 17, 4
-#: The sample: at most QUOTA texts a language and SAMPLE in all; landmarks: at most LANDMARKS a language and 320 in all.
-QUOTA, SAMPLE, LANDMARKS, ALL_LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 4096, 80, 320, 256, 1e-2
+BITS, WIDE_BITS, ORDERS = 17, 21, 4
+#: The sample: at most QUOTA texts a language and SAMPLE in all, but LEAST_QUOTA a language; grams of one text in it.
+QUOTA, SAMPLE, LEAST_QUOTA, SAMPLE_GRAMS = 400, 4096, 8, 1 << 14
+#: Landmarks: at most LANDMARKS a language and ALL_LANDMARKS in all, but LEAST_LANDMARKS a language.
+LANDMARKS, ALL_LANDMARKS, LEAST_LANDMARKS, DENSE, RIDGE = 80, 320, 4, 16, 1e-2
 UNKNOWN = "und"
 _HASH_RANGE = 1 << 30
 _LETTER: np.ndarray | None = None
@@ -34,22 +39,23 @@ _LETTER: np.ndarray | None = None
 def _letters() -> np.ndarray:
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x20000)), bool, 0x20000)
+        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _LETTER
 
 
 class Grams:
     """Distinct n-gram buckets of texts; keeps its scratch bitmap between calls."""
 
-    def __init__(self) -> None:
-        self.seen = np.zeros(BUCKETS, bool)
+    def __init__(self, bits: int = BITS) -> None:
+        self.bits = bits
+        self.seen = np.zeros(1 << bits, bool)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted bucket numbers; empty if the text is null or has no letter."""
         if not text:
             return np.zeros(0, np.int64)
         c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _letters()[np.minimum(c, 0x1FFFF)]
+        letter = _letters()[c]
         if not letter.any():
             return np.zeros(0, np.int64)
         c = np.where(letter, c, 32).astype(np.uint64)
@@ -62,18 +68,48 @@ class Grams:
                 break
             h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            self.seen[(mixed >> np.uint64(64 - 17)).astype(np.int64)] = True
+            self.seen[(mixed >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         found = np.flatnonzero(self.seen)
         self.seen[found] = False
         return found
 
 
+class Landmarks:
+    """Buckets of the landmarks, each with the landmarks that have it."""
+
+    def __init__(self, grams: list[np.ndarray]) -> None:
+        self.size = len(grams)
+        bucket, owner = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        order = np.argsort(bucket, kind="stable")
+        self.owner = owner[order]
+        self.keys, starts = np.unique(bucket[order], return_index=True)
+        self.starts = np.r_[starts, len(order)]
+
+    def shared(self, g: np.ndarray) -> np.ndarray:
+        """How many of the buckets each landmark has."""
+        at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        at = at[self.keys[at] == g]
+        n = self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(self.starts[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
+        return np.bincount(self.owner[rows], minlength=self.size)
+
+    def weights(self, inner: np.ndarray, buckets: int) -> np.ndarray:
+        """(buckets x languages): the rows of inner, summed over each bucket's landmarks."""
+        out = np.zeros((buckets, inner.shape[1]), np.float32)
+        if len(self.keys):
+            out[self.keys] = np.add.reduceat(inner[self.owner], self.starts[:-1], axis=0)
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # buckets x languages
     known: np.ndarray  # whether a text of the sample has the bucket
-    texts: int = 0  # of the sample
+    texts: dict[str, int]  # of the sample, by language
+    weights: np.ndarray | None = None  # buckets x languages, where these are few
+    landmarks: Landmarks | None = None  # else
+    inner: np.ndarray | None = None  # landmarks x languages
+    bits: int = BITS
 
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
         """Batch scores, texts x languages: the sparse presence matrix, row-normalised, times the weights."""
@@ -81,8 +117,10 @@ class Model:
         out = np.zeros((len(grams), len(self.languages)))
         full = np.flatnonzero(sizes)
         if len(full) and self.languages:
-            starts = np.r_[0, np.cumsum(sizes[full])[:-1]]
-            sums = np.add.reduceat(self.weights[np.concatenate([grams[i] for i in full])], starts, axis=0)
+            if self.weights is not None:
+                sums = np.add.reduceat(self.weights[np.concatenate([grams[i] for i in full])], np.r_[0, np.cumsum(sizes[full])[:-1]], axis=0)
+            else:
+                sums = np.stack([self.landmarks.shared(grams[i]) for i in full]).astype(np.float32) @ self.inner
             out[full] = sums / np.sqrt(sizes[full])[:, None]
         return out
 
@@ -96,32 +134,34 @@ class Model:
         return np.clip((share - chance) / max(1 - chance, 1e-9), 0, 1)
 
 
-def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, bits: int = BITS) -> Model:
     """Nystroem features and one-versus-rest kernel ridge regression on a sample in hash order."""
     languages = sorted(set(labels))
+    known = np.zeros(1 << bits, bool)
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(BUCKETS, bool))
-    label = np.array([languages.index(x) for x in labels])
-    most = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
+        return Model([], known, {}, np.zeros((1 << bits, 0), np.float32), bits=bits)
+    number = {x: k for k, x in enumerate(languages)}
+    label = np.array([number[x] for x in labels])
+    most = max(1, min(landmarks, max(LEAST_LANDMARKS, ALL_LANDMARKS // len(languages))))
     mark = np.concatenate([np.flatnonzero(label == k)[:most] for k in range(len(languages))])
-    present = np.zeros((BUCKETS, len(mark)), np.uint8)  # the landmarks' presence vectors as columns
-    for column, i in enumerate(mark):
-        present[grams[i], column] = 1
+    marks = Landmarks([grams[i] for i in mark])
     scale = 1 / np.sqrt([len(grams[i]) for i in mark])
-    cross = np.stack([present[g].sum(axis=0, dtype=np.int64) * scale / np.sqrt(len(g)) for g in grams])
+    cross = np.stack([marks.shared(g) * scale / np.sqrt(len(g)) for g in grams])
     near = cross[mark]
     values, vectors = np.linalg.eigh(near.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     phi = cross @ root
     target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    share = 1 / np.maximum(np.bincount(label, minlength=len(languages)), 1)
-    weight = np.sqrt(share[label] * len(labels) / len(languages))[:, None]
+    texts = np.bincount(label, minlength=len(languages))
+    weight = np.sqrt(len(labels) / len(languages) / texts[label])[:, None]
     w = np.linalg.solve((phi * weight).T @ (phi * weight) + ridge * np.eye(phi.shape[1]), (phi * weight).T @ (target * weight))
     inner = (scale[:, None] * (root @ w)).astype(np.float32)
-    known = np.zeros(BUCKETS, bool)
     for g in grams:
         known[g] = True
-    return Model(languages, np.concatenate([present[at : at + 8192] @ inner for at in range(0, BUCKETS, 8192)]), known, len(grams))
+    counts = dict(zip(languages, texts.tolist(), strict=True))
+    if len(languages) > DENSE:
+        return Model(languages, known, counts, landmarks=marks, inner=inner, bits=bits)
+    return Model(languages, known, counts, marks.weights(inner, 1 << bits), bits=bits)
 
 
 def fold(id_col: str) -> Column:
@@ -129,11 +169,14 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def _gram_rows(batches):
-    grams = Grams()
-    for batch in batches:
-        found = [grams(x).astype(np.int32).tobytes() for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["lang", "u", "grams"])
+def _gram_rows(bits: int):
+    def run(batches):
+        grams = Grams(bits)
+        for batch in batches:
+            found = [grams(x)[:SAMPLE_GRAMS].astype(np.int32).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["lang", "u", "grams"])
+
+    return run
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quota: int = QUOTA) -> Model:
@@ -141,22 +184,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.filter(F.col(lang_col).isNotNull() & (fold(id_col) != 2)).select(
         F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(_HASH_RANGE)).alias("u"), F.col(text_col).alias("text")
     )
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not counts:
         return fit([], [])
-    quota = max(1, min(quota, SAMPLE // len(counts)))
-    chosen = F.lit(False)
-    for row in counts:  # a hash below this holds the quota with room to spare
-        most = int(_HASH_RANGE * min(1.0, (quota + 4 * quota**0.5 + 10) / row["n"]))
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("u") < most))
-    rows = sorted(known.filter(chosen).mapInArrow(_gram_rows, "lang string, u long, grams binary").collect())
-    grams, labels, used = [], [], dict.fromkeys((r["lang"] for r in counts), 0)
+    bits = BITS if len(counts) <= DENSE else WIDE_BITS
+    quota = max(1, min(quota, max(LEAST_QUOTA, SAMPLE // len(counts))))
+    # a hash below `most` holds the quota with room to spare
+    most = [(row["lang"], int(_HASH_RANGE * min(1.0, (quota + 4 * quota**0.5 + 10) / row["n"]))) for row in counts]
+    table = docs.sparkSession.createDataFrame(most, "lang string, most long")
+    chosen = known.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(table), "lang").filter("u < most").select("lang", "u", "text")
+    rows = sorted(chosen.mapInArrow(_gram_rows(bits), "lang string, u long, grams binary").collect())
+    grams, labels, used = [], [], dict.fromkeys((r["lang"] for r in rows), 0)
     for lang, _, raw in rows:
         if raw and used[lang] < quota:
             used[lang] += 1
             labels.append(lang)
             grams.append(np.frombuffer(raw, np.int32))
-    return fit(grams, labels)
+    return fit(grams, labels, bits=bits)
 
 
 def annotated(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", familiar_name: str | None = None) -> DataFrame:
@@ -168,7 +212,8 @@ def annotated(docs: DataFrame, model: Model, text_col: str = "text", lang_name:
     place = docs.columns.index(text_col)
 
     def run(batches):
-        grams, known = Grams(), shared.value
+        known = shared.value
+        grams = Grams(known.bits)
         for batch in batches:
             text, named, sure, near = batch.column(place), [], [], []
             for at in range(0, len(text), 256):
@@ -192,17 +237,29 @@ def annotated(docs: DataFrame, model: Model, text_col: str = "text", lang_name:
 
 
 #: On documents the least familiar text of a learned language has 0.74 (sf0.001); Finnish, not learned, has 0.51.
-#: A sample of fewer than ENOUGH texts does not know its languages, so it asks for a smaller share in proportion.
-FAMILIAR, ENOUGH = 0.6, 64
+#: A sample of fewer than ENOUGH texts of a language does not know it, so a smaller share is asked for in proportion.
+FAMILIAR, ENOUGH = 0.6, 16
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", familiar: float = FAMILIAR) -> DataFrame:
     """The rows of docs, with all their columns, whose text is of a learned language: `und` goes, and so does a text
-    of whose n-grams the sample knows less than that share (scripts and languages not learned, letter junk)."""
-    lang, score, near = "__lang_pred", "__lang_score", "__lang_familiar"
+    of whose n-grams the sample knows less than that share (scripts and languages not learned, letter junk).
+
+    The share doesn't depend on the number of languages; of which language a text is does not matter, only that it is of one.
+    """
     model = train(docs, id_col, text_col, lang_col)
-    rows = annotated(docs, model, text_col, lang, score, near)
-    return rows.filter((F.col(lang) != UNKNOWN) & (F.col(near) >= familiar * min(1.0, model.texts / ENOUGH))).drop(lang, score, near)
+    names = []
+    for name in ("lang", "score", "familiar"):
+        while name in (*docs.columns, *names):
+            name = f"_{name}"
+        names.append(name)
+    rows = annotated(docs, model, text_col, *names)
+    few = {x: n for x, n in model.texts.items() if n < ENOUGH}
+    share = F.lit(1.0)
+    if few:
+        table = F.create_map(*(y for x, n in few.items() for y in (F.lit(x), F.lit(n / ENOUGH))))
+        share = F.coalesce(F.element_at(table, F.col(names[0])), F.lit(1.0))
+    return rows.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) >= familiar * share)).drop(*names)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
