@@ -109,11 +109,12 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(samples: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Means of samples over a rows x columns grid of boxes with fractional edges, from the integral image."""
-    grey = samples if samples.ndim == 2 else samples.mean(axis=2)
-    high, wide = grey.shape
-    total = np.zeros((high + 1, wide + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    """Means of samples over a rows x columns grid of boxes with fractional edges, from the integral image.
+
+    Of the integral image only the lines at box edges are made, by summing the strips between them, so that
+    memory goes by the width of the raster and not by its height.
+    """
+    high, wide = samples.shape[:2]
 
     def between(size: int, parts: int):
         edge = np.arange(parts + 1) * size / parts
@@ -122,7 +123,12 @@ def area_resize(samples: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
     y, fy = between(high, rows)
     x, fx = between(wide, columns)
-    lines = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
+    total, above, column = {}, 0, np.zeros(wide)
+    for k in sorted({*y.tolist(), *(y + 1).tolist()}):
+        strip = samples[above:k].sum(axis=0, dtype=np.float64)
+        column = column + (strip if samples.ndim == 2 else strip.mean(axis=1))
+        total[k], above = np.concatenate([[0.0], np.cumsum(column)]), k
+    lines = np.stack([total[int(k)] * (1 - f) + total[int(k) + 1] * f for k, f in zip(y, fy, strict=True)])
     corners = lines[:, x] * (1 - fx) + lines[:, x + 1] * fx
     return np.diff(np.diff(corners, axis=0), axis=1) * (rows * columns / (high * wide))
 
