@@ -8,7 +8,8 @@ and the lines between the ranges stay.
 Scale: what is shuffled for the search are hashes with (id, position), about 30 bytes a line; first occurrences come
 from map-side partial aggregates, so a line common to a third of all rows is one row a task; its occurrences meet
 the one group row in a join that adaptive execution can split (the group table is checkpointed, so both sides
-have an exchange of their own). Positions are gathered per document only, which is bounded by that document.
+have an exchange of their own). Positions are gathered per document only, which is bounded by that document. Texts are
+not shuffled while the marks, which are counted first, are few enough to be broadcast; beyond, they meet their marks by id.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 WINDOW = 3
+#: Up to so many documents with up to so many marked windows in all (4 bytes each) are broadcast.
+BROADCAST_DOCS, BROADCAST_MARKS = 200_000, 4_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -53,9 +56,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found.groupBy("a", "b").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first")
     )
     later = found.join(first, ["a", "b"]).filter(~(F.struct("id", "pos").eqNullSafe(F.col("first")))).select("id", "pos")
-    marked = later.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("marks"))
+    marked = checkpointed(later.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("marks")))
+    size = marked.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("marks")).first()
+    few = size["docs"] <= BROADCAST_DOCS and size["marks"] <= BROADCAST_MARKS
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"))
-    joined = rows.join(marked.hint("shuffle_hash"), rows.doc_id.eqNullSafe(marked.id), "left")
+    joined = rows.join(F.broadcast(marked) if few else marked.hint("shuffle_hash"), rows.doc_id.eqNullSafe(marked.id), "left")
     lines = _lines(F.col("whole"))
     none = F.array().cast("array<int>")
     marks = F.coalesce("marks", none)
