@@ -18,17 +18,42 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """A turn between markers; a marker inside the text loses its bar, so that it can't end the turn."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< "))
-    return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("")), F.lit("\n"), plain, F.lit(CLOSE + "\n"))
+    """A turn between markers; a marker inside the role or text loses its bar, so that it can't end the turn."""
+    def plain(c: Column) -> Column:
+        return F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< "))
+
+    return F.concat(F.lit(OPEN), plain(role), F.lit("\n"), plain(text), F.lit(CLOSE + "\n"))
+
+
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """Preferences from a table that has none: each conversation up to its last assistant turn is chosen, and the same with the
+    conversation's first assistant turn in place of the last one is rejected.
+
+    So the two sides share all turns but the last. With one assistant turn only, the rejected side ends before it; without
+    any, the sides are equal. Rows without conv_id or turn are left out, turns after the last assistant turn too. Of several
+    rows of the first assistant turn the smallest text counts, null being empty.
+    """
+    rows = conversations.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    assistant = F.col("role") == "assistant"
+    ends = rows.groupBy("conv_id").agg(
+        F.max(F.when(assistant, F.col("turn"))).alias("last"), F.min(F.when(assistant, F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("first"))
+    joined = rows.join(checkpointed(ends), "conv_id").filter("last IS NULL OR turn <= last")
+
+    def side(name: str, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(name).alias("side"), role.alias("role"), text.alias("text"))
+
+    chosen, same, other = side("chosen", F.col("role"), F.col("text")), side("rejected", F.col("role"), F.col("text")), side("rejected", F.lit("assistant"), F.col("first.text"))
+    ending = F.when(F.col("first.turn") < F.col("last"), F.array(chosen, other)).otherwise(F.array(chosen))
+    return joined.select(F.col("conv_id").alias("pair_id"), "turn", F.explode(F.when(F.col("turn") == F.col("last"), ending).otherwise(F.array(chosen, same))).alias("x")).select("pair_id", "x.side", "turn", "x.role", "x.text")
 
 
 def id_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs conversation 2k (chosen) with 2k + 1 (rejected), where a table has no preferences of its own."""
-    half = F.floor(F.col("conv_id") / 2).cast("long")
+    """Pairs conversation 2k (chosen) with 2k + 1 (rejected)."""
+    conv = F.col("conv_id").cast("long")
+    half = F.shiftright(conv, 1)
     return conversations.select(
         half.alias("pair_id"),
-        F.when(F.col("conv_id") == half * 2, F.lit("chosen")).otherwise(F.lit("rejected")).alias("side"),
+        F.when(F.pmod(conv, F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("side"),
         F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
 

@@ -16,7 +16,7 @@ from .media import media_digest
 from .packing import pack
 from .pii import replace_pii
 from .pieces import DEFAULT_MODEL, encode_digest, load_model
-from .preferences import format_preferences, id_pairs
+from .preferences import format_preferences, reply_pairs
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +78,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = DEFAULT_MOD
 
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations in pairs of neighbouring ids, formatted as preferences."""
-    return format_preferences(id_pairs(read(spark, sf_dir, "conversations")))
+    """All conversations, each against itself with another last reply, formatted as preferences."""
+    return format_preferences(reply_pairs(read(spark, sf_dir, "conversations")))
 
 
 OP9_SQL = r"""
-WITH s AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM conversations),
+WITH c AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+e AS (SELECT conv_id, max(turn) AS last, min(turn) AS first FROM c WHERE role = 'assistant' GROUP BY 1),
+f AS (SELECT c.conv_id, min(coalesce(c.text, '')) AS reply FROM c JOIN e ON e.conv_id = c.conv_id AND c.turn = e.first WHERE c.role = 'assistant' AND e.first < e.last GROUP BY 1),
+s AS (SELECT c.conv_id AS pair_id, true AS chosen, turn, role, text FROM c LEFT JOIN e USING (conv_id) WHERE last IS NULL OR turn <= last
+  UNION ALL SELECT c.conv_id, false, turn, role, text FROM c LEFT JOIN e USING (conv_id) WHERE last IS NULL OR turn < last
+  UNION ALL SELECT e.conv_id, false, last, 'assistant', reply FROM e JOIN f USING (conv_id)),
 d AS (SELECT pair_id, chosen, turn, role, text FROM s WHERE pair_id IS NOT NULL AND turn IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role NULLS LAST, text NULLS LAST) = 1),
 t AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.pair_id IS NOT NULL AS ina, b.pair_id IS NOT NULL AS inb,
@@ -93,7 +98,7 @@ t AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn)
 p AS (SELECT *, coalesce(turn < min(turn) FILTER (WHERE NOT same) OVER (PARTITION BY pair_id), true) AS prompt FROM t),
 u AS (SELECT pair_id, CASE WHEN prompt THEN 'prompt' ELSE 'chosen' END AS section, turn, arole AS role, atext AS text FROM p WHERE ina
   UNION ALL SELECT pair_id, 'rejected', turn, brole, btext FROM p WHERE NOT prompt AND inb),
-r AS (SELECT pair_id, section, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|', '< ') || '<|im_end|>' || chr(10) AS rendered FROM u)
+r AS (SELECT pair_id, section, turn, role, '<|im_start|>' || replace(coalesce(role, ''), '<|', '< ') || chr(10) || replace(coalesce(text, ''), '<|', '< ') || '<|im_end|>' || chr(10) AS rendered FROM u)
 SELECT pair_id, section, turn::BIGINT AS turn, role, rendered, CASE WHEN section <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END::INT AS mask, length(rendered)::BIGINT AS n_chars FROM r"""
 
 
