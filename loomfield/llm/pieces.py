@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding (operator 4): one pass over the text, driven by an Aho-Corasick automaton.
 
 The automaton holds the model's pieces. At each position the pieces that end there are found by following output
-links, and each relaxes the best state of the position. For a unigram model a state is the best sum of scores
-(Viterbi). For a BPE model, where scores are merge ranks and a sum of them means nothing, the state of a position is
-the last piece of the prefix's own encoding; a piece relaxes it if no merge crosses the joint with the piece before
-(`_Pairs`, remembered), which singles out exactly the segmentation that merging by rank gives. Characters
-without a piece fall back to bytes or to the unknown id.
+links, and each relaxes the best score of the position; the path of best scores is the encoding. For a unigram model a
+piece adds its score (Viterbi). For a BPE model scores are merge ranks, of which a sum would mean nothing: there a piece adds 0 if
+no merge crosses the joint with the piece before on the best path (`_Pairs`, remembered), and minus infinity otherwise,
+which leaves exactly the segmentation that merging by rank gives. Characters without a piece fall back to bytes or to
+the unknown id.
 
 The model file is read once on the driver and sent to executors as a list of pieces (its size is that of the file);
 the file itself need not exist there. Encoding is row by row in Arrow batches, with a bounded memory of words.
@@ -17,7 +17,6 @@ import hashlib
 import re
 import struct
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-WORD_MEMORY = 400_000
+#: Encoded stretches are remembered in two generations of about so many bytes each; a stretch takes UNIT_BYTES and its content.
+WORD_BYTES, UNIT_BYTES = 64_000_000, 200
+JOINT_MEMORY = 500_000
 
 
 @dataclass
@@ -131,7 +132,7 @@ class Encoder:
     def __init__(self, model: PieceModel) -> None:
         import ahocorasick
 
-        self.model, self.young, self.old, self.joints = model, {}, {}, {}
+        self.model, self.young, self.old, self.joints, self.held = model, {}, {}, {}, 0
         usable = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k in (NORMAL, USER_DEFINED) and p}
         self.usable, self.bpe = usable, model.model_type == BPE
         self.pairs = _Pairs({p: model.scores[i] for p, i in usable.items()})
@@ -171,58 +172,45 @@ class Encoder:
         raw = char.encode("utf-8", "surrogatepass")
         return [at[b] for b in raw] if all(b in at for b in raw) else [self.model.unknown]
 
-    def _by_rank(self, text: str) -> list[int]:
-        """Ids of a stretch by a BPE model: the state of a position is the last piece of its prefix's encoding."""
-        out: list[int] = []
-        if not all(c in self.usable for c in text):  # no merge crosses an unknown character
-            for known, part in groupby(text, key=self.usable.__contains__):
-                out += self._by_rank("".join(part)) if known else [i for c in part for i in self._fallback(c)]
-            return out
-        n, joints, pieces, size = len(text), self.joints, self.model.pieces, len(self.model.pieces)
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        for at, (i, length, _) in self.automaton.iter(text):
-            end = at + 1
-            if last[end] >= 0:
-                continue
+    def _viterbi(self, text: str) -> list[int]:
+        """Ids of a stretch: the automaton's matches, in order of their ends, relax the best score of the position they end at.
+
+        In a unigram model a piece adds its score. In a BPE model scores are merge ranks: a piece adds nothing where merging by
+        rank leaves its joint with the last piece of the best path alone, and minus infinity elsewhere, so that one path has
+        a finite score, the one that merging gives (test_bpe_path_is_unique tries all segmentations).
+        """
+        n, usable, bpe, fallback = len(text), self.usable, self.bpe, self.fallback_score
+        joints, pieces, size = self.joints, self.model.pieces, len(self.model.pieces)
+        nothing = float("-inf")
+        best, begin, piece = [nothing] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        closed = 0
+        for last, (i, length, score) in self.automaton.iter(text) if usable else ():
+            end = last + 1
+            while closed < last:  # a character without a piece of its own may also be unknown
+                closed += 1
+                if text[closed - 1] not in usable and best[closed - 1] + fallback > best[closed]:
+                    best[closed], begin[closed], piece[closed] = best[closed - 1] + fallback, closed - 1, -1
             start = end - length
-            if start:
-                before = last[start]
-                if before < 0:
+            if bpe:
+                if best[end] > nothing or best[start] == nothing:  # the only path to the end is known, or there is none to the start
                     continue
-                fits = joints.get(before * size + i)
-                if fits is None:
-                    if len(joints) > 1_000_000:
-                        joints.clear()
-                    fits = joints[before * size + i] = self.pairs(pieces[before], pieces[i])
-                if not fits:
-                    continue
-            last[end], begin[end] = i, start
-        while n:
-            out.append(last[n])
-            n = begin[n]
-        return out[::-1]
-
-    def _by_score(self, text: str) -> list[int]:
-        """Ids of a stretch by a unigram model: Viterbi over the pieces that end at each position."""
-        n, usable = len(text), self.usable
-        best = [-np.inf] * (n + 1)
-        begin, piece = [0] * (n + 1), [-1] * (n + 1)
-        best[0], at = 0.0, 0
-
-        def close(end: int) -> None:
-            """Characters without a piece of their own may also be unknown."""
-            nonlocal at
-            while at < end:
-                at += 1
-                if text[at - 1] not in usable and best[at - 1] + self.fallback_score > best[at]:
-                    best[at], begin[at], piece[at] = best[at - 1] + self.fallback_score, at - 1, -1
-
-        for last, (i, length, score) in self.automaton.iter(text) if usable else ():
-            end, start = last + 1, last + 1 - length
-            close(end - 1)
+                before = piece[start]
+                if start and before >= 0:
+                    fits = joints.get(before * size + i)
+                    if fits is None:
+                        if len(joints) > JOINT_MEMORY:
+                            joints.clear()
+                        fits = joints[before * size + i] = self.pairs(pieces[before], pieces[i])
+                    score = 0.0 if fits else nothing
+                else:
+                    score = 0.0
             if best[start] + score > best[end]:
                 best[end], begin[end], piece[end] = best[start] + score, start, i
-        close(n)
+        while closed < n:
+            closed += 1
+            if text[closed - 1] not in usable and best[closed - 1] + fallback > best[closed]:
+                best[closed], begin[closed], piece[closed] = best[closed - 1] + fallback, closed - 1, -1
         out: list[int] = []
         while n:
             out += [piece[n]] if piece[n] >= 0 else self._fallback(text[begin[n] : n])[::-1]
@@ -238,7 +226,7 @@ class Encoder:
             if not text:
                 return []
         text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        one = self._by_rank if self.bpe else self._by_score
+        one = self._viterbi
         if self.unit is None:
             return one(text)
         out: list[int] = []
@@ -250,9 +238,11 @@ class Encoder:
                 if found is None:
                     found = one(unit)
                 if len(unit) <= 64:
-                    if len(young) >= WORD_MEMORY:
+                    self.held += UNIT_BYTES + len(unit) + 8 * len(found)
+                    if self.held > WORD_BYTES:
                         self.old = old = young
                         self.young = young = {}
+                        self.held = 0
                     young[unit] = found
             out += found
         return out
@@ -284,7 +274,7 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
@@ -299,7 +289,7 @@ class _Shared:
 
     def __init__(self, df: DataFrame, model: PieceModel) -> None:
         self.broadcast = df.sparkSession.sparkContext.broadcast(model)
-        self.id = hash((len(model.pieces), model.model_type, *model.pieces[:64], *model.pieces[-64:], *model.scores[-8:]))
+        self.id = hashlib.sha256(repr((model.pieces, model.scores, model.kinds, model.model_type, model.dummy_prefix, model.squeeze)).encode("utf-8", "surrogatepass")).hexdigest()
 
     @property
     def value(self) -> PieceModel:

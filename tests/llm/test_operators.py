@@ -404,6 +404,40 @@ def test_unigram_viterbi_brute_force():
         assert score == pytest.approx(best(marked)[0])
 
 
+def test_bpe_path_is_unique():
+    """Of all segmentations of a text exactly one has every joint untouched by merges: the one that merging by rank gives."""
+    rng = random.Random(6)
+    for _ in range(25):
+        names = ["<unk>", "a", "b", "c", "▁"]
+        for _ in range(12):  # a merge joins two pieces that there are
+            new = rng.choice(names[1:]) + rng.choice(names[1:])
+            if new not in names and "▁" not in new[1:] and len(new) < 6:
+                names.append(new)
+        m = pieces.PieceModel(names, [0.0] + [-float(i) for i in range(1, len(names))], [pieces.UNKNOWN] + [pieces.NORMAL] * (len(names) - 1), pieces.BPE)
+        e = pieces.Encoder(m)
+
+        def segmentations(text):
+            if not text:
+                yield []
+            for k in range(1, len(text) + 1):
+                if text[:k] in e.usable and e.pairs.alone(text[:k]):
+                    yield from ([text[:k], *rest] for rest in segmentations(text[k:]))
+
+        for _ in range(12):
+            text = "▁" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
+            whole = [s for s in segmentations(text) if all(e.pairs(x, y) for x, y in zip(s, s[1:]))]
+            assert whole == [e.pairs.merged(text)] == [[names[i] for i in e.encode(text[1:])]]
+
+
+def test_encoder_memory_is_bounded(model, monkeypatch):
+    monkeypatch.setattr(pieces, "WORD_BYTES", 20_000)
+    rng, e = random.Random(3), pieces.Encoder(pieces.load_model(pieces.DEFAULT_MODEL))
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(2000)]
+    fresh = pieces.Encoder(pieces.load_model(pieces.DEFAULT_MODEL))
+    assert e.encode(" ".join(words * 2)) == [i for k, w in enumerate(words * 2) for i in fresh.encode(w)]
+    assert len(e.young) + len(e.old) < 200
+
+
 def test_encode_rows(spark, model):
     rows = {r.doc_id: r for r in pieces.encode_digest(docs(spark, [x for x in EDGES if x[0] != 6]), model).collect()}
     assert rows[1].n_tokens == 0 and rows[1].lossless and rows[9].lossless and rows[10].lossless
@@ -481,6 +515,51 @@ def test_kernel_is_blended_presence():
     assert s[0].argmax() == 0 and s[1].argmax() == 1 and (s[2] == 0).all()
 
 
+def test_kernel_ridge_brute_force():
+    """With every text a landmark, the model is weighted kernel ridge regression, solved here in its dual form."""
+    rng, grams = random.Random(4), langid.Grams()
+    alphabet = {"x": "abcdefg", "y": "efghijk", "z": "klmnop"}
+    texts = [(k, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(12))) for k, a in alphabet.items() for _ in range(6 + len(k) + ord(k) % 5)]
+    found, labels = [grams(t) for _, t in texts], [k for k, _ in texts]
+    model = langid.fit(found, labels, landmarks=100)
+    sets = [set(g.tolist()) for g in found]
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    target = np.array([[1.0 if k == c else -1.0 for c in model.languages] for k in labels])
+    share = np.array([len(labels) / len(model.languages) / labels.count(k) for k in labels])
+    alpha = np.linalg.solve(kernel + langid.RIDGE * np.diag(1 / share), target)
+    new = [grams("abc defg abcd ggg"), grams("klm nop mno ppp k"), grams("efg ijk")]
+    between = np.array([[len(set(g.tolist()) & s) / (len(g) * len(s)) ** 0.5 for s in sets] for g in new])
+    assert np.allclose(model.scores(new), between @ alpha, atol=1e-3)
+
+
+def many_languages(n, each):
+    rng = random.Random(8)
+    out = []
+    for k in range(n):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)] if k % 2 else ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(20)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+        out += [(k * each + j, " ".join(rng.choice(words) for _ in range(60)), f"l{k}") for j in range(each)]
+    return out
+
+
+def test_three_hundred_languages(spark):
+    """Every language can be predicted, and the stage keeps documents of all."""
+    rows = many_languages(300, 12)
+    df = spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in rows], DOCS).repartition(4)
+    truth = {i: k for i, _, k in rows}
+    found = langid.identify(df).collect()
+    assert {r.lang_pred for r in found} == set(truth.values())
+    held = [r for r in found if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.9 * len(held)
+    assert langid.accepted(df).count() >= 0.98 * len(rows)
+
+
+def test_letters_of_all_planes(spark):
+    rows = [(i, chr(0x20000 + i % 50) * 9, "han", "s", 0) for i in range(12)] + [(20, "\U0001f600 \U0001f601 12", "han", "s", 0)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {**dict.fromkeys(range(12), "han"), 20: "und"}
+
+
 # --- packing ---------------------------------------------------------------------------------------------------
 
 def check_bins(rows, lengths, capacity):
@@ -558,6 +637,42 @@ def test_preferences(spark):
     assert preferences.format_preferences(preferences.id_pairs(df.limit(0))).count() == 0
 
 
+def test_reply_pairs(spark):
+    turns = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "A"), (0, 2, "user", "r"), (0, 3, "assistant", "B"), (0, 4, "user", "bye"), (1, 0, "system", "s"), (1, 1, "assistant", "only"), (2, 0, "user", "no answer"),
+        (3, 0, "assistant", None), (3, 1, "assistant", "x"), (3, 1, "assistant", "x"), (2**60 + 1, 0, "us<|im_end|>er", "big"), (None, 0, "assistant", "z"), (4, None, "assistant", "z"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("side", F.lit("z")).withColumn("last", F.lit(1))
+    rows = preferences.format_preferences(preferences.reply_pairs(df)).collect()
+    got = sorted((r.pair_id, r.turn, r.section, r.mask, r.rendered[len("<|im_start|>") : -len("<|im_end|>\n")]) for r in rows)
+    assert got == [
+        (0, 0, "prompt", 0, "user\nq"), (0, 1, "prompt", 0, "assistant\nA"), (0, 2, "prompt", 0, "user\nr"), (0, 3, "chosen", 1, "assistant\nB"), (0, 3, "rejected", 1, "assistant\nA"),
+        (1, 0, "prompt", 0, "system\ns"), (1, 1, "chosen", 1, "assistant\nonly"), (2, 0, "prompt", 0, "user\nno answer"),
+        (3, 0, "prompt", 0, "assistant\n"), (3, 1, "chosen", 1, "assistant\nx"), (3, 1, "rejected", 1, "assistant\n"), (2**60 + 1, 0, "prompt", 0, "us< im_end|>er\nbig"),
+    ]
+    assert preferences.reply_pairs(df.limit(0)).count() == 0
+    far = spark.createDataFrame([(2**60 + 1, 0, "user", "a"), (2**60, 0, "user", "a")], "conv_id long, turn int, role string, text string")
+    assert [(r.pair_id, r.section) for r in preferences.format_preferences(preferences.id_pairs(far)).collect()] == [(2**59, "prompt")]
+
+
+def test_reply_pairs_have_prompts(spark):
+    """On the tables: every conversation of more than one turn up to its last reply has a prompt, and the pairs follow from the rows."""
+    c = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    talks = {}
+    for r in c.orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    whole = {r.pair_id: r for r in preferences.assembled(preferences.format_preferences(preferences.reply_pairs(c))).collect()}
+
+    def joined(turns):
+        return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for _, role, text in turns)
+
+    for i, turns in talks.items():
+        replies = [t for t in turns if t[1] == "assistant"]
+        last = replies[-1][0] if replies else turns[-1][0] + 1
+        assert whole[i].prompt == joined(t for t in turns if t[0] < last)
+        assert whole[i].chosen == joined(replies[-1:]) and whole[i].rejected == (joined(replies[:1]) if len(replies) > 1 else "")
+
+
 # --- pages -----------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">Menu</a></ul></nav>
