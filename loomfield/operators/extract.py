@@ -9,24 +9,74 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Funders by the words that name them (fixed values).
-FUNDERS = [
-    ("nsf", "National Science Foundation (NSF)"), ("national science foundation", "National Science Foundation (NSF)"), ("nih", "National Institutes of Health (NIH)"), ("national institutes of health", "National Institutes of Health (NIH)"),
-    ("darpa", "DARPA"), ("department of energy", "Department of Energy (DOE)"), ("nasa", "NASA"), ("erc", "European Research Council (ERC)"), ("european research council", "European Research Council (ERC)"), ("horizon 2020", "EU Horizon 2020"),
-    ("dfg", "German Research Foundation (DFG)"), ("deutsche forschungsgemeinschaft", "German Research Foundation (DFG)"), ("anr", "French National Research Agency (ANR)"), ("epsrc", "UK EPSRC"), ("ukri", "UK Research and Innovation (UKRI)"), ("wellcome", "Wellcome Trust"),
-    ("jsps", "Japan Society for the Promotion of Science (JSPS)"), ("nsfc", "National Natural Science Foundation of China (NSFC)"), ("world bank", "World Bank"), ("gates foundation", "Bill & Melinda Gates Foundation"),
-]
+FUNDERS = {
+    "nsf": "National Science Foundation (NSF)",
+    "national science foundation": "National Science Foundation (NSF)",
+    "nih": "National Institutes of Health (NIH)",
+    "national institutes of health": "National Institutes of Health (NIH)",
+    "darpa": "DARPA",
+    "doe": "Department of Energy (DOE)",
+    "department of energy": "Department of Energy (DOE)",
+    "nasa": "NASA",
+    "ons": "Office of Naval Research (ONR)",
+    "office of naval research": "Office of Naval Research (ONR)",
+    "afosr": "Air Force Office of Scientific Research (AFOSR)",
+    "army research": "Army Research Office (ARO)",
+    "erc": "European Research Council (ERC)",
+    "european research council": "European Research Council (ERC)",
+    "horizon 2020": "EU Horizon 2020",
+    "horizon europe": "EU Horizon Europe",
+    "european union": "European Union",
+    "fp7": "EU Framework Programme 7",
+    "dfg": "German Research Foundation (DFG)",
+    "deutsche forschungsgemeinschaft": "German Research Foundation (DFG)",
+    "anr": "French National Research Agency (ANR)",
+    "epsrc": "UK EPSRC",
+    "ukri": "UK Research and Innovation (UKRI)",
+    "wellcome": "Wellcome Trust",
+    "jsps": "Japan Society for the Promotion of Science (JSPS)",
+    "kakenhi": "JSPS KAKENHI",
+    "nsfc": "National Natural Science Foundation of China (NSFC)",
+    "national natural science foundation of china": "National Natural Science Foundation of China (NSFC)",
+    "nrf": "National Research Foundation (NRF)",
+    "most": "Ministry of Science and Technology",
+    "csa": "Chinese Academy of Sciences (CAS)",
+    "chinese academy of sciences": "Chinese Academy of Sciences (CAS)",
+    "google": "Google Research",
+    "microsoft": "Microsoft Research",
+    "facebook": "Meta Research",
+    "meta": "Meta Research",
+    "amazon": "Amazon Science",
+    "ibm": "IBM Research",
+    "nvidia": "NVIDIA",
+    "samsung": "Samsung",
+    "intel": "Intel",
+    "huawei": "Huawei",
+    "who": "World Health Organization (WHO)",
+    "world bank": "World Bank",
+    "gates foundation": "Bill & Melinda Gates Foundation",
+    "bill and melinda gates": "Bill & Melinda Gates Foundation",
+}
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: Ways to cite, in the text's own order (fixed values).
+CITATION_STYLES = {"numbered": r"\[[0-9][0-9, -]*\]", "apa": r"\([A-Z][A-Za-z]+(?: et al\.)?, [0-9]{4}\)", "narrative": r"[A-Z][A-Za-z]+(?: et al\.)? \([0-9]{4}\)"}
+
+
 def citations(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, style, citation, first): distinct citations in order of style, with the character they first stand at."""
+    """(key, style, citation, first): distinct citations by style, with the character they first stand at. One scan; the text
+    stays in its row."""
     t = F.coalesce(F.col(text), F.lit(""))
-    styles = {"numbered": r"\[[0-9][0-9, -]*\]", "apa": r"\([A-Z][A-Za-z]+(?: et al\.)?, [0-9]{4}\)", "narrative": r"[A-Z][A-Za-z]+(?: et al\.)? \([0-9]{4}\)"}
-    found = reduce(DataFrame.unionByName, (docs.select(key, t.alias("t"), F.lit(s).alias("style"), F.explode(_all(t, p)).alias("citation")) for s, p in styles.items()))
-    return found.groupBy(key, "style", "citation").agg(F.min(F.expr("instr(t, citation)")).alias("first"))
+
+    def of(style: str, pattern: str) -> Column:
+        return F.transform(F.array_distinct(_all(t, pattern)), lambda c: F.struct(F.lit(style).alias("style"), c.alias("citation"), F.instr(t, c).alias("first")))
+
+    found = F.concat(*(of(s, p) for s, p in CITATION_STYLES.items()))
+    return docs.select(key, F.explode(found).alias("x")).select(key, "x.*")
 
 
 def citation_style(found: DataFrame, key: str) -> DataFrame:
@@ -47,20 +97,52 @@ def bibliography(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         key, F.col("entry").cast("int").alias("entry"), F.regexp_extract("line", r"([0-9]+)", 1).cast("int").alias("number"), F.nullif(F.regexp_extract("line", r"\(((?:19|20)[0-9]{2})\)", 1), F.lit("")).cast("int").alias("year"), F.rtrim(blank, F.lit(".")).alias("doi"), "line")
 
 
+#: Where a grant number stands, in the order tried (fixed values).
+GRANT_PATTERNS = [
+    r"(?i)(?:grant|award|contract|project)\s*(?:No\.?\s*|#\s*)?([A-Z0-9][\w\-/\.]+)",
+    r"(?i)(?:No\.?\s*|#\s*)([A-Z0-9][\w\-/\.]{3,})",
+    r"\b([A-Z]{2,}\-\d{4,})\b",
+    r"\b(\d{2}[A-Z]{2,}\d{3,})\b",
+]
+
+
 def funding(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, funder, grant_id): funders whose words the text has, and its first grant number. The dictionary is a bounded broadcast."""
-    rules = docs.sparkSession.createDataFrame(FUNDERS, "word string, funder string")
-    t = docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("t"), F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)(?:grant|award|contract)\s*(?:no\.?|number|#)?\s*([A-Z0-9][A-Z0-9/-]{3,})", 1).alias("grant_id"))
-    hit = F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
-    return t.join(F.broadcast(rules), hit).groupBy(key, "funder").agg(F.first("grant_id").alias("grant_id"))
+    """(key, funder, grant_id): funders one of whose words stands anywhere in the lower-cased text, each once, with the grant
+    number found from 20 characters before the word's first place to 80 after it ('' if none). One scan, no join."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(t)
+    rules = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(f).alias("funder")) for w, f in FUNDERS.items()))
+    rows = docs.select(key, t.alias("t"), F.filter(rules, lambda r: low.contains(r["word"])).alias("hits"))
+    rows = rows.filter(F.size("hits") > 0).withColumn("names", F.transform("hits", lambda h: h["funder"]))
+    once = F.filter("hits", lambda h, i: F.array_position("names", h["funder"]) == i + 1)
+    rows = rows.select(key, "t", F.explode(once).alias("h"))
+    at = F.instr(F.lower("t"), F.col("h.word"))
+    start = F.greatest(at - 20, F.lit(1))
+    near = F.substring(F.col("t"), start, at - start + F.length("h.word") + 80)
+    grant = F.coalesce(*(F.nullif(F.regexp_extract(near, p, 1), F.lit("")) for p in GRANT_PATTERNS), F.lit(""))
+    return rows.select(key, F.col("h.funder").alias("funder"), grant.alias("grant_id"))
+
+
+#: What studies report, each with the group that holds the number (fixed values).
+STUDY_NUMBERS = {
+    "p_value": (r"p\s*[<=>]\s*(0?\.[0-9]+)", 1),
+    "sample_size": (r"[nN]\s*=\s*([0-9]+)", 1),
+    "effect_size": (r"(?:OR|RR|HR|d)\s*=\s*([0-9]+\.[0-9]+)", 1),
+    "percentage": (r"([0-9]+(?:\.[0-9]+)?)\s?%", 1),
+    "interval_low": (r"CI[:\s]*[\[(]?\s*([0-9]+\.?[0-9]*)\s*[-,]\s*[0-9]+\.?[0-9]*", 1),
+    "interval_high": (r"CI[:\s]*[\[(]?\s*[0-9]+\.?[0-9]*\s*[-,]\s*([0-9]+\.?[0-9]*)", 1),
+}
 
 
 def study_numbers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, kind, value): p-values, intervals, effect sizes, sample sizes and percentages of a text."""
+    """(key, kind, value): p-values, ends of confidence intervals, effect sizes, sample sizes and percentages of a text, in one scan."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kinds = {"p_value": (r"p\s*[<=>]\s*(0?\.[0-9]+)", 1), "sample_size": (r"[nN]\s*=\s*([0-9]+)", 1), "effect_size": (r"(?:OR|RR|HR|d)\s*=\s*([0-9]+\.[0-9]+)", 1), "percentage": (r"([0-9]+(?:\.[0-9]+)?)\s?%", 1)}
-    found = reduce(DataFrame.unionByName, (docs.select(key, F.lit(k).alias("kind"), F.explode(_all(t, p, g)).alias("v")) for k, (p, g) in kinds.items()))
-    return found.select(key, "kind", F.col("v").try_cast("double").alias("value")).filter("value IS NOT NULL")
+
+    def of(kind: str, pattern: str, group: int) -> Column:
+        return F.transform(_all(t, pattern, group), lambda v: F.struct(F.lit(kind).alias("kind"), v.try_cast("double").alias("value")))
+
+    found = F.concat(*(of(k, p, g) for k, (p, g) in STUDY_NUMBERS.items()))
+    return docs.select(key, F.explode(found).alias("x")).select(key, "x.*").filter("value IS NOT NULL")
 
 
 def expanded_query(query: str, synonyms: dict[str, list[str]], most: int = 3) -> str:

@@ -273,24 +273,65 @@ def random_walks(edges: DataFrame, starts: DataFrame, walks: int, steps: int) ->
     return out.groupBy("node").agg(F.count(F.lit(1)).alias("visits"))
 
 
-def closeness(edges: DataFrame, depth: int) -> DataFrame:
-    """(node, reachable, closeness): reachable nodes within depth over the sum of their distances. All-pairs by nature:
-    for graphs of a component size that squared still fits the cluster."""
+#: Operators that follow shortest paths from every node hold one graph in each task; larger graphs are refused.
+MAX_LOCAL_EDGES = 2_000_000
+
+
+def _local_graph(edges: DataFrame, what: str):
+    """The undirected graph as (broadcast of starts and targets by node number, nodes in order), its size checked first."""
+    import numpy as np
+
     both = checkpointed(undirected(edges))
-    seen = both.select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct().withColumn("d", F.lit(0))
-    frontier = seen = checkpointed(seen)
-    for k in range(1, depth + 1):
-        grown = frontier.select("origin", F.col("node").alias("src")).join(both, "src").select("origin", F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(grown.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("d", F.lit(k)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    far = seen.filter("d > 0").groupBy(F.col("origin").alias("node")).agg(F.count(F.lit(1)).alias("reachable"), F.sum("d").alias("s"))
-    return far.select("node", "reachable", F.round(F.col("reachable") / F.col("s"), 8).alias("closeness"))
+    if both.count() > MAX_LOCAL_EDGES:
+        raise ValueError(f"{what} needs the whole graph in each task; more than {MAX_LOCAL_EDGES} edges")
+    table = both.toArrow()
+    src, dst = (table.column(k).to_numpy() for k in ("src", "dst"))
+    nodes, at = np.unique(src, return_inverse=True)
+    to = np.searchsorted(nodes, dst)
+    order = np.lexsort((to, at))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(nodes)))])
+    return edges.sparkSession.sparkContext.broadcast((starts, to[order])), nodes, dict(both.dtypes)["src"], both
+
+
+def _sources(both: DataFrame, nodes) -> DataFrame:
+    """Every node as a source, in enough tasks that each has a few thousand at most."""
+    parts = both.sparkSession.sparkContext.defaultParallelism
+    return both.select(F.col("src").alias("node")).distinct().repartition(max(parts, 1 + len(nodes) // 1000), "node")
+
+
+def closeness(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, reachable, closeness): nodes reachable (within depth, if given) over the sum of their distances, one search a source, a share of the
+    sources a task. The adjacency goes to every task, so its size is checked first; no pair of nodes is ever a row."""
+    import numpy as np
+    import pandas as pd
 
+    shared, nodes, kind, both = _local_graph(edges, "closeness")
 
-#: Betweenness holds the adjacency of one graph in each task; larger graphs are refused.
-MAX_LOCAL_EDGES = 2_000_000
+    def search(batches):
+        starts, targets = shared.value
+        for pdf in batches:
+            found = []
+            for node in pdf["node"].tolist():
+                seen = np.zeros(len(starts) - 1, bool)
+                frontier = np.searchsorted(nodes, [node])
+                seen[frontier] = True
+                level = total = reached = 0
+                while len(frontier):
+                    reached += len(frontier) if level else 0
+                    total += level * len(frontier)
+                    if level == depth:
+                        break
+                    low, n = starts[frontier], starts[frontier + 1] - starts[frontier]
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    near = np.unique(targets[at])
+                    frontier = near[~seen[near]]
+                    seen[frontier] = True
+                    level += 1
+                found.append((node, reached, reached / total if total else 0.0))
+            yield pd.DataFrame(found, columns=["node", "reachable", "closeness"])
+
+    rows = _sources(both, nodes).mapInPandas(search, f"node {kind}, reachable long, closeness double")
+    return rows.filter("reachable > 0").select("node", "reachable", F.round("closeness", 8).alias("closeness"))
 
 
 def betweenness(edges: DataFrame, doubled: bool = True) -> DataFrame:
@@ -298,45 +339,43 @@ def betweenness(edges: DataFrame, doubled: bool = True) -> DataFrame:
 
     Normalised by 2 / ((n - 1)(n - 2)). The adjacency goes to every task, so its size is checked first.
     """
+    import numpy as np
     import pandas as pd
 
-    both = checkpointed(undirected(edges))
-    if both.count() > MAX_LOCAL_EDGES:
-        raise ValueError(f"betweenness needs the whole graph in each task; more than {MAX_LOCAL_EDGES} edges")
-    adjacency: dict = {}
-    for r in both.orderBy("src", "dst").toLocalIterator():
-        adjacency.setdefault(r["src"], []).append(r["dst"])
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency)
-    n = len(adjacency)
+    shared, nodes, kind, both = _local_graph(edges, "betweenness")
+    n = len(nodes)
     scale = (2.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (1.0 if doubled else 0.5)
 
     def accumulate(batches):
-        graph = shared.value
+        starts, targets = shared.value
         for pdf in batches:
-            total: dict = {}
-            for s in pdf["node"].tolist():
-                order, before, paths, dist = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in graph.get(v, ()):
-                        if w not in dist:
-                            dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                owed = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + owed[w]
-            yield pd.DataFrame({"node": list(total), "b": list(total.values())})
-
-    kind = dict(both.dtypes)["src"]
-    sources = both.select(F.col("src").alias("node")).distinct().repartition(64, "node")
-    return sources.mapInPandas(accumulate, f"node {kind}, b double").groupBy("node").agg(F.round(F.sum("b") * scale, 8).alias("betweenness"))
+            total = np.zeros(n)
+            for s in np.searchsorted(nodes, pdf["node"].to_numpy()):
+                depth, paths = np.full(n, -1, np.int64), np.zeros(n)
+                depth[s], paths[s] = 0, 1.0
+                frontier, levels = np.array([s]), []
+                while len(frontier):
+                    low, m = starts[frontier], starts[frontier + 1] - starts[frontier]
+                    to = targets[np.repeat(low - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())]
+                    by = np.repeat(frontier, m)
+                    d = depth[frontier[0]] + 1
+                    depth[to[depth[to] < 0]] = d
+                    down = depth[to] == d
+                    to, by = to[down], by[down]
+                    paths += np.bincount(to, paths[by], n)
+                    levels.append((to, by))
+                    frontier = np.unique(to)
+                owed = np.zeros(n)
+                for to, by in reversed(levels):
+                    owed += np.bincount(by, paths[by] / paths[to] * (1 + owed[to]), n)
+                owed[s] = 0.0
+                total += owed
+            hit = np.flatnonzero(total)
+            yield pd.DataFrame({"node": nodes[hit], "b": total[hit]})
+
+    sums = _sources(both, nodes).mapInPandas(accumulate, f"node {kind}, b double").groupBy("node").agg(F.sum("b").alias("b"))
+    every = both.select(F.col("src").alias("node")).distinct()
+    return every.join(sums, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)) * scale, 8).alias("betweenness"))
 
 
 def strongest_edges(edges: DataFrame, weight: str, k: int = 5) -> DataFrame:

@@ -38,16 +38,16 @@ def bibliography_entries(spark, sf_dir):
     return E.bibliography(o, "id").select("id", "entry", "number", "year", "doi")
 
 
-@query("funding_mentions", """SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'National Science Foundation (NSF)' WHEN 1 THEN 'German Research Foundation (DFG)' ELSE 'Wellcome Trust' END AS funder, 'AB-' || (1000 + p_partkey) AS grant_id FROM part""")
+@query("funding_mentions", """SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'National Science Foundation (NSF)' WHEN 1 THEN 'German Research Foundation (DFG)' ELSE 'Wellcome Trust' END AS funder, 'AB-' || (1000 + p_partkey) || '.' AS grant_id FROM part""")
 def funding_mentions(spark, sf_dir):
     name = F.element_at(F.array(F.lit("the NSF"), F.lit("the Deutsche Forschungsgemeinschaft"), F.lit("Wellcome")), (F.col("p_size") % 3 + 1).cast("int"))
     p = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Funded by "), name, F.lit(" under grant no. AB-"), (1000 + F.col("p_partkey")).cast("string"), F.lit(".")).alias("text"))
     return E.funding(p, "id")
 
 
-@query("study_numbers", """SELECT p_partkey AS id, 'p_value' AS kind, (p_size % 9 + 1) / 100 AS value FROM part UNION ALL SELECT p_partkey, 'sample_size', p_size FROM part UNION ALL SELECT p_partkey, 'percentage', p_size % 90 FROM part""")
+@query("study_numbers", """SELECT p_partkey AS id, 'p_value' AS kind, (p_size % 9 + 1) / 100 AS value FROM part UNION ALL SELECT p_partkey, 'sample_size', p_size FROM part UNION ALL SELECT p_partkey, 'percentage', p_size % 90 FROM part UNION ALL SELECT p_partkey, 'interval_low', p_size FROM part UNION ALL SELECT p_partkey, 'interval_high', p_size + 0.5::DOUBLE FROM part""")
 def study_numbers(spark, sf_dir):
-    t = F.concat(F.lit("We found p < 0.0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit(" with N = "), F.col("p_size").cast("string"), F.lit(" and "), (F.col("p_size") % 90).cast("string"), F.lit(" % response"))
+    t = F.concat(F.lit("We found p < 0.0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit(" with N = "), F.col("p_size").cast("string"), F.lit(" and "), (F.col("p_size") % 90).cast("string"), F.lit(" % response, CI ["), F.col("p_size").cast("string"), F.lit(", "), F.col("p_size").cast("string"), F.lit(".5]"))
     return E.study_numbers(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.alias("text")), "id")
 
 
@@ -86,11 +86,9 @@ def shortcode_ids(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select("p_partkey", J.shortcode_id(F.concat(F.lit("B"), *letter)).alias("media_id"))
 
 
-@query("number_formats", """SELECT o_orderkey, CASE WHEN o_totalprice * 100 >= 1e9 THEN printf('%.1fB', o_totalprice * 100 / 1e9) WHEN o_totalprice * 100 >= 1e6 THEN printf('%.1fM', o_totalprice * 100 / 1e6) ELSE printf('%.1fK', o_totalprice * 100 / 1e3) END AS shown FROM orders WHERE o_totalprice * 100 >= 1000 AND (floor(o_totalprice * 100) % 100) > 60""")
+@query("number_formats", """WITH n AS (SELECT o_orderkey, o_totalprice * 100 AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1e9 THEN printf('%.1fB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN n >= 1e3 THEN printf('%.1fK', n / 1e3) ELSE trunc(n)::BIGINT::VARCHAR END AS shown FROM n""")
 def number_formats(spark, sf_dir):
-    n = F.col("o_totalprice") * 100
-    o = T.table(spark, sf_dir, "orders").filter((n >= 1000) & (F.floor(n) % 100 > 60))
-    return o.select("o_orderkey", J.short_number(n).alias("shown"))
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", J.short_number(F.col("o_totalprice") * 100).alias("shown"))
 
 
 @query("redacted_payloads", """SELECT event_id, '[REDACTED]' AS api_token, event_type AS name FROM events""")
@@ -188,14 +186,17 @@ def citation_rings(spark, sf_dir):
     return g.groupBy(F.array_join("t", "+").alias("team")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
 
-@query("review_sections", """WITH y AS (SELECT year(o_orderdate)::INT AS year, o_orderkey, floor(o_totalprice / 1000)::BIGINT AS c, ntile(4) OVER (ORDER BY year(o_orderdate), o_orderkey) AS period FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200)) SELECT period::INT AS period, min(year) AS first_year, max(year) AS last_year, count(*) AS n_papers, max_by(o_orderkey, struct_pack(a := c, b := -o_orderkey)) AS most_cited FROM y GROUP BY 1""")
+@query("review_sections", """WITH p AS (SELECT year(o_orderdate)::INT AS year, o_orderkey, floor(o_totalprice / 1000)::BIGINT AS c FROM orders), y AS (SELECT year, count(*) AS n, sum(count(*)) OVER (ORDER BY year) AS upto, sum(count(*)) OVER () AS total FROM p GROUP BY 1), q AS (SELECT year, ((upto - n) * 4 // total + 1)::INT AS period FROM y)
+SELECT period, min(year) AS first_year, max(year) AS last_year, count(*) AS n_papers, max_by(o_orderkey, struct_pack(a := c, b := -o_orderkey)) AS most_cited FROM p JOIN q USING (year) GROUP BY 1""")
 def review_sections(spark, sf_dir):
-    """Four periods of the 200 most cited papers (a review is of a chosen few, so the window over them is bounded)."""
+    """All papers in up to four periods of whole years, each with its most cited one. The window is over one row a year."""
     from pyspark.sql.window import Window
 
-    p = T.table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(200).select("o_orderkey", F.year("o_orderdate").alias("year"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("c"))
-    y = p.withColumn("period", F.ntile(4).over(Window.orderBy("year", "o_orderkey")))
-    return y.groupBy("period").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("n_papers"), F.max_by("o_orderkey", F.struct("c", -F.col("o_orderkey"))).alias("most_cited"))
+    p = T.table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("c"))
+    y = p.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("c", (-F.col("o_orderkey")).alias("k"))).alias("best"))
+    before = F.sum("n").over(Window.orderBy("year")) - F.col("n")
+    y = y.withColumn("period", (F.floor(before * 4 / F.sum("n").over(Window.partitionBy())) + 1).cast("int"))
+    return y.groupBy("period").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("n").alias("n_papers"), (-F.max("best")["k"]).alias("most_cited"))
 
 
 @query("alert_rules", """WITH r AS (SELECT * FROM (VALUES ('any_error', ['error'], 2), ('all_high', ['*'], 3)) AS t(rule, types, level)), s AS (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN CASE WHEN value > 50 THEN 3 ELSE 2 END ELSE 1 END AS level FROM events) SELECT event_id, rule FROM s JOIN r ON s.level >= r.level AND (list_contains(types, '*') OR list_contains(types, event_type))""")

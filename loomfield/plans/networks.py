@@ -11,17 +11,6 @@ from .catalog import query
 FOLLOWS = "SELECT DISTINCT src, dst, snapshot FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, year(l_shipdate)::INT AS snapshot FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL AND src <> dst"
 EDGES = f"SELECT DISTINCT src, dst FROM ({FOLLOWS})"
 BOTH = f"SELECT DISTINCT src, dst FROM (SELECT src, dst FROM ({EDGES}) UNION ALL SELECT dst, src FROM ({EDGES}))"
-#: A sparse graph for operators that are costly to check: parts of two sizes.
-THIN = "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48) WHERE dst IS NOT NULL AND src <> dst"
-THIN_BOTH = f"SELECT DISTINCT src, dst FROM (SELECT src, dst FROM ({THIN}) UNION ALL SELECT dst, src FROM ({THIN}))"
-
-
-def thin(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    lines = T.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 48")
-    dst = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    return lines.select(F.col("l_partkey").alias("src"), dst.alias("dst")).filter("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def edges(spark, sf_dir):
@@ -87,9 +76,17 @@ def label_propagation(spark, sf_dir):
     return G.label_propagation(edges(spark, sf_dir))
 
 
-@query("components", f"""WITH RECURSIVE e AS MATERIALIZED ({THIN_BOTH}), r AS (SELECT src AS node, src AS label FROM e UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.node WHERE r.label < e.dst) SELECT node, min(label) AS component FROM r GROUP BY 1""")
+def _components_sql(rounds: int = 16) -> str:
+    """Smallest labels passed on `rounds` times, which is more than the graph is wide."""
+    steps = [f"b AS MATERIALIZED ({BOTH})", "m0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS label FROM b)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"m{k} AS MATERIALIZED (SELECT x.node, least(any_value(x.label), min(y.label)) AS label FROM m{k - 1} x JOIN b ON b.src = x.node JOIN m{k - 1} y ON y.node = b.dst GROUP BY 1)")
+    return "WITH " + ", ".join(steps) + f" SELECT node, label AS component FROM m{rounds}"
+
+
+@query("components", _components_sql())
 def components(spark, sf_dir):
-    return G.components(thin(spark, sf_dir))
+    return G.components(edges(spark, sf_dir))
 
 
 @query("modularity_lpa", f"""WITH {_lpa_sql()}, d AS (SELECT src AS node, count(*) AS k FROM b GROUP BY 1), p AS (SELECT label, sum(k) AS k FROM d JOIN l3 USING (node) GROUP BY 1),
@@ -143,11 +140,11 @@ def temporal_centrality(spark, sf_dir):
     return G.temporal_centrality(T.follows(spark, sf_dir))
 
 
-MEMBERS = "SELECT DISTINCT year(l_shipdate)::INT AS snapshot, l_suppkey % 40 AS community, l_partkey AS member FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45"
+MEMBERS = "SELECT DISTINCT year(l_shipdate)::INT AS snapshot, l_suppkey % 40 AS community, l_partkey AS member FROM lineitem WHERE l_returnflag = 'R'"
 
 
 def members(spark, sf_dir):
-    li = T.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 45")
+    li = T.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
     return li.select(F.year("l_shipdate").alias("snapshot"), (F.col("l_suppkey") % 40).alias("community"), F.col("l_partkey").alias("member")).distinct()
 
 
@@ -202,7 +199,7 @@ def super_spreaders(spark, sf_dir):
 
 
 def _walk_sql(walks: int = 5, steps: int = 4) -> str:
-    parts = [f"e AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r, count(*) OVER (PARTITION BY src) AS deg FROM ({EDGES}))", f"w0 AS (SELECT DISTINCT src, src AS origin, w FROM e, range(1, {walks + 1}) t(w) WHERE src <= 50)"]
+    parts = [f"e AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r, count(*) OVER (PARTITION BY src) AS deg FROM ({EDGES}))", f"w0 AS (SELECT DISTINCT src, src AS origin, w FROM e, range(1, {walks + 1}) t(w))"]
     for k in range(1, steps + 1):
         parts.append(f"w{k} AS MATERIALIZED (SELECT e.dst AS src, origin, w FROM w{k - 1} p JOIN e ON e.src = p.src AND e.r = ('0x' || substr(md5(concat_ws(':', origin, w, {k}, p.src)), 1, 8))::BIGINT % e.deg)")
     return "WITH " + ", ".join(parts) + " SELECT node, count(*) AS visits FROM (" + " UNION ALL ".join(f"SELECT src AS node FROM w{k}" for k in range(1, steps + 1)) + ") GROUP BY 1"
@@ -211,13 +208,12 @@ def _walk_sql(walks: int = 5, steps: int = 4) -> str:
 @query("random_walks", _walk_sql())
 def random_walks(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return G.random_walks(e, e.select(F.col("src").alias("node")).distinct().filter("node <= 50"), 5, 4)
+    return G.random_walks(e, e.select(F.col("src").alias("node")).distinct(), 5, 4)
 
 
-@query("closeness", f"""WITH RECURSIVE e AS MATERIALIZED ({THIN_BOTH}), b AS (SELECT DISTINCT src AS origin, src AS node, 0 AS d FROM e UNION SELECT b.origin, e.dst, b.d + 1 FROM b JOIN e ON e.src = b.node WHERE b.d < 4), m AS (SELECT origin, node, min(d) AS d FROM b GROUP BY 1, 2)
-SELECT origin AS node, count(*) AS reachable, round(count(*) / sum(d), 8) AS closeness FROM m WHERE d > 0 GROUP BY 1""")
+@query("closeness")
 def closeness(spark, sf_dir):
-    return G.closeness(thin(spark, sf_dir), 4)
+    return G.closeness(edges(spark, sf_dir))
 
 
 @query("betweenness")

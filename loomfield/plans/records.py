@@ -193,12 +193,38 @@ def product_addresses(spark, sf_dir):
     return p.select("p_partkey", J.product_ids(url).alias("x")).select("p_partkey", "x.item_id", "x.shop_id")
 
 
-@query("bibtex_export", """WITH b AS (SELECT o_orderkey AS paper_id, lower(regexp_replace('customer' || year(o_orderdate) || split_part(o_orderpriority, ' ', 1), '[^a-zA-Z0-9]', '', 'g')) AS base FROM orders WHERE o_orderkey <= 200), k AS (SELECT paper_id, base, row_number() OVER (PARTITION BY base ORDER BY paper_id) AS n, count(*) OVER (PARTITION BY base) AS m FROM b)
-SELECT paper_id, CASE WHEN m > 1 THEN base || CASE WHEN n > 26 THEN chr((96 + (n - 1) // 26)::INT) ELSE '' END || chr((97 + (n - 1) % 26)::INT) ELSE base END AS key FROM k""")
+PAPERS = """SELECT o_orderkey AS paper_id, CASE WHEN o_orderkey % 7 = 0 THEN [] ELSE ['A Customer' || o_custkey % 5, 'B Second'] END AS author_names, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE split_part(o_orderpriority, '-', 2) || ' study' END AS title, year(o_orderdate)::INT AS year, 'J' || o_orderkey % 3 AS journal, (o_orderkey % 40)::VARCHAR AS volume,
+ CASE WHEN o_orderkey % 2 = 0 THEN '4' ELSE '' END AS issue, CASE WHEN o_orderkey % 3 = 0 THEN '1 - 9' WHEN o_orderkey % 3 = 1 THEN '12' ELSE '' END AS pages, '10.1/' || o_orderkey AS doi, '{' || o_orderstatus || '}' AS abstract FROM orders"""
+
+
+def _exported(spark, sf_dir):
+    """Orders as papers with authors, pages and abstracts, some of them empty."""
+    o, k = T.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    names = F.array(F.concat(F.lit("A Customer"), (F.col("o_custkey") % 5).cast("string")), F.lit("B Second"))
+    return o.select(
+        k.alias("paper_id"), F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(names).alias("author_names"),
+        F.when(k % 11 == 0, "").otherwise(F.concat(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)), F.lit(" study"))).alias("title"), F.year("o_orderdate").alias("year"), F.concat(F.lit("J"), (k % 3).cast("string")).alias("journal"),
+        (k % 40).cast("string").alias("volume"), F.when(k % 2 == 0, "4").otherwise("").alias("issue"), F.when(k % 3 == 0, "1 - 9").when(k % 3 == 1, "12").otherwise("").alias("pages"), F.concat(F.lit("10.1/"), k.cast("string")).alias("doi"),
+        F.concat(F.lit("{"), F.col("o_orderstatus"), F.lit("}")).alias("abstract"))
+
+
+@query("bibtex_export", rf"""WITH p AS ({PAPERS}), b AS (SELECT *, CASE WHEN len(author_names) > 0 THEN list_last(string_split(author_names[1], ' ')) ELSE 'unknown' END || year || CASE WHEN title = '' THEN 'untitled' ELSE lower(regexp_extract(trim(title), '^\S+')) END AS base FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY paper_id) - 1 AS n FROM b), k AS (SELECT *, base || CASE WHEN n > 26 THEN chr((96 + (n - 1) // 26)::INT) ELSE '' END || CASE WHEN n > 0 THEN chr((97 + (n - 1) % 26)::INT) ELSE '' END AS key FROM n)
+SELECT paper_id, key, '@article{{' || key || ',' || chr(10) || '  title = {{' || title || '}},' || CASE WHEN len(author_names) > 0 THEN chr(10) || '  author = {{' || array_to_string(author_names, ' and ') || '}},' ELSE '' END || chr(10) || '  year = {{' || year || '}},' || chr(10) || '  journal = {{' || journal || '}},' || chr(10) || '  volume = {{' || volume || '}},'
+ || CASE WHEN issue <> '' THEN chr(10) || '  number = {{' || issue || '}},' ELSE '' END || CASE WHEN pages <> '' THEN chr(10) || '  pages = {{' || pages || '}},' ELSE '' END || chr(10) || '  doi = {{' || doi || '}},' || chr(10) || '  abstract = {{' || replace(replace(abstract, '{{', '\{{'), '}}', '\}}') || '}},' || chr(10) || '}}' AS entry FROM k""")
 def bibtex_export(spark, sf_dir):
-    o = T.table(spark, sf_dir, "orders").filter("o_orderkey <= 200")
-    p = o.select(F.col("o_orderkey").alias("paper_id"), F.lit("A Customer").alias("author"), F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"), F.lit("J").alias("journal"))
-    return K.bibtex(p).select("paper_id", "key")
+    return K.bibtex(_exported(spark, sf_dir))
+
+
+@query("ris_export", f"""WITH p AS ({PAPERS}) SELECT paper_id, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || CASE WHEN len(author_names) > 0 THEN chr(10) || array_to_string(list_transform(author_names, lambda a: 'AU  - ' || a), chr(10)) ELSE '' END || chr(10) || 'PY  - ' || year || chr(10) || 'JO  - ' || journal || chr(10) || 'VL  - ' || volume
+ || CASE WHEN issue <> '' THEN chr(10) || 'IS  - ' || issue ELSE '' END || CASE pages WHEN '1 - 9' THEN chr(10) || 'SP  - 1' || chr(10) || 'EP  - 9' WHEN '12' THEN chr(10) || 'SP  - 12' ELSE '' END || chr(10) || 'DO  - ' || doi || chr(10) || 'AB  - ' || abstract || chr(10) || 'ER  - ' AS entry FROM p""")
+def ris_export(spark, sf_dir):
+    return K.ris(_exported(spark, sf_dir))
+
+
+@query("paper_table", f"""WITH p AS ({PAPERS}) SELECT paper_id, title, array_to_string(author_names, '; ') AS authors, year::VARCHAR AS year, journal, doi, '' AS citation_count, abstract, '' AS url, '' AS is_open_access, '' AS topics, '' AS keywords FROM p""")
+def paper_table(spark, sf_dir):
+    return K.paper_csv(_exported(spark, sf_dir))
 
 
 @query("graphml_export", """SELECT '<node id="' || n_nationkey || '"/>' AS line FROM nation UNION ALL SELECT '<edge source="' || n_regionkey || '" target="' || n_nationkey || '"/>' FROM nation""")
@@ -233,9 +259,9 @@ def severity_filter(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", "event_type").join(F.broadcast(levels), "event_type").filter("level >= 1").orderBy(F.desc("event_id")).limit(100)
 
 
-@query("filter_chain", """SELECT doc_id, source FROM documents WHERE n_chars >= 200 AND trim(text) <> '' AND doc_id BETWEEN 10 AND 900 AND lang <> ''""")
+@query("filter_chain", """SELECT doc_id, source FROM documents WHERE n_chars >= 200 AND trim(text) <> '' AND lang <> ''""")
 def filter_chain(spark, sf_dir):
     from functools import reduce
 
-    tests = [F.coalesce("n_chars", F.lit(0)) >= 200, F.trim("text") != "", F.col("doc_id").between(10, 900), F.coalesce("lang", F.lit("")) != ""]
+    tests = [F.coalesce("n_chars", F.lit(0)) >= 200, F.trim("text") != "", F.coalesce("lang", F.lit("")) != ""]
     return T.table(spark, sf_dir, "documents").filter(reduce(lambda a, b: a & b, tests)).select("doc_id", "source")

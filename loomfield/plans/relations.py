@@ -53,10 +53,10 @@ def record_linkage(spark, sf_dir):
     return P.linkage(c, "c_nationkey", "c_custkey", [("c_mktsegment", 0.4), ("band", 0.4), ("mod", 0.2)])
 
 
-@query("coauthor_sets", """WITH a AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS x FROM lineitem) SELECT p.x AS author_id, count(DISTINCT q.x) AS n_coauthors, array_to_string(list_sort(list(DISTINCT q.x)), ',') AS coauthors FROM a p JOIN a q ON p.g = q.g AND p.x <> q.x WHERE p.x <= 20 GROUP BY 1""")
+@query("coauthor_sets", """WITH a AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS x FROM lineitem) SELECT p.x AS author_id, count(DISTINCT q.x) AS n_coauthors, array_to_string(list_sort(list(DISTINCT q.x)), ',') AS coauthors FROM a p JOIN a q ON p.g = q.g AND p.x <> q.x GROUP BY 1""")
 def coauthor_sets(spark, sf_dir):
     a = T.authors(spark, sf_dir)
-    pairs = a.filter("author_id <= 20").join(a.select("paper_id", F.col("author_id").alias("other")), "paper_id").filter("author_id <> other")
+    pairs = a.join(a.select("paper_id", F.col("author_id").alias("other")), "paper_id").filter("author_id <> other")
     return pairs.groupBy("author_id").agg(F.count_distinct("other").alias("n_coauthors"), F.array_join(F.sort_array(F.collect_set("other")), ",").alias("coauthors"))
 
 
@@ -84,14 +84,14 @@ def bibliography_duplicates(spark, sf_dir):
     return A.top_per_key(o, ["o_custkey", "year"], [F.asc("o_orderkey")], 1 << 30, "occurrence").filter("occurrence > 1")
 
 
-SOURCES = "SELECT doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'DOI/' || upper(substr(md5(text), 1, 8)) ELSE '' END AS doi, left(text, 60) AS title, CASE WHEN doc_id % 2 = 0 THEN left(text, 200) ELSE '' END AS abstract, n_chars AS citation_count, source AS source_api FROM documents"
+SOURCES = "SELECT doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'DOI/' || upper(substr(md5(text), 1, 8)) ELSE '' END AS doi, text AS title, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS abstract, n_chars AS citation_count, source AS source_api FROM documents"
 
 
 def sources(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("DOI/"), F.upper(F.substring(F.md5("text"), 1, 8)))).otherwise("").alias("doi"), F.substring("text", 1, 60).alias("title"),
-        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 200)).otherwise("").alias("abstract"), F.col("n_chars").alias("citation_count"), F.col("source").alias("source_api"))
+        F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("DOI/"), F.upper(F.substring(F.md5("text"), 1, 8)))).otherwise("").alias("doi"), F.col("text").alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("abstract"), F.col("n_chars").alias("citation_count"), F.col("source").alias("source_api"))
 
 
 @query("federated_dedup", rf"""WITH k AS (SELECT *, CASE WHEN trim(doi) <> '' THEN 'd:' || lower(trim(doi)) ELSE 't:' || trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) END AS key FROM ({SOURCES})),
@@ -140,7 +140,7 @@ def count_by_year(spark, sf_dir):
 @query("recommend_min_year", f"""SELECT p.paper_id, any_value(p.year) AS year, count(*) AS shared FROM ({REFS}) x JOIN ({REFS}) y USING (ref_id) JOIN ({PAPERS}) p ON p.paper_id = y.paper_id WHERE x.paper_id = 1 AND y.paper_id <> 1 AND p.year >= 1997 GROUP BY 1 ORDER BY shared DESC, p.paper_id LIMIT 20""")
 def recommend_min_year(spark, sf_dir):
     r = T.refs(spark, sf_dir)
-    mine = F.broadcast(r.filter("paper_id = 1").select("ref_id").limit(1000))
+    mine = r.filter("paper_id = 1").select("ref_id")
     p = T.papers(spark, sf_dir).filter("year >= 1997").select("paper_id", "year")
     return r.filter("paper_id <> 1").join(mine, "ref_id").join(p, "paper_id").groupBy("paper_id").agg(F.first("year").alias("year"), F.count(F.lit(1)).alias("shared")).orderBy(F.desc("shared"), "paper_id").limit(20)
 

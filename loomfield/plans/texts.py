@@ -44,11 +44,11 @@ def tfidf_top_terms(spark, sf_dir):
     return top_per_key(X.tfidf(words(spark, sf_dir), "doc_id").select("doc_id", "token", "weight"), ["doc_id"], [F.desc("weight"), F.asc("token")], 3)
 
 
-@query("tfidf_cosine", f"""WITH {TFIDF}, s AS (SELECT doc_id, token, round(tf * idf, 8) AS weight FROM t), n AS MATERIALIZED (SELECT doc_id, sqrt(sum(weight * weight)) AS nd FROM s GROUP BY 1), p AS (SELECT doc_id AS probe, token, weight AS pw FROM s WHERE doc_id < 10)
+@query("tfidf_cosine", f"""WITH {TFIDF}, s AS (SELECT doc_id, token, round(tf * idf, 8) AS weight FROM t), n AS MATERIALIZED (SELECT doc_id, sqrt(sum(weight * weight)) AS nd FROM s GROUP BY 1), p AS (SELECT doc_id AS probe, token, weight AS pw FROM s WHERE doc_id % 20 = 0)
 SELECT probe, s.doc_id, round(sum(weight * pw) / (any_value(a.nd) * any_value(b.nd)), 6) AS cosine FROM s JOIN p USING (token) JOIN n a ON a.doc_id = s.doc_id JOIN n b ON b.doc_id = probe GROUP BY 1, 2""".replace("n AS MATERIALIZED (SELECT doc_id, sqrt", "nn AS MATERIALIZED (SELECT doc_id, sqrt").replace("JOIN n a", "JOIN nn a").replace("JOIN n b", "JOIN nn b"))
 def tfidf_cosine(spark, sf_dir):
     w = X.tfidf(words(spark, sf_dir), "doc_id").select("doc_id", "token", "weight")
-    return X.cosine_to(w, w.filter("doc_id < 10").select(F.col("doc_id").alias("probe"), "token", "weight"), "doc_id")
+    return X.cosine_to(w, w.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("probe"), "token", "weight"), "doc_id")
 
 
 SHINGLES = r"""SELECT DISTINCT id, sh AS shingle FROM (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM (SELECT id, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM {src}))"""
@@ -83,12 +83,13 @@ def sentiment_by_source(spark, sf_dir):
 
 
 def _intent_sql():
-    t = "lower(text)"
-    scores = ", ".join("(" + " + ".join(f"regexp_matches({t}, '{p}')::INT" for p in ps) + f") / {len(ps)} AS s_{k}" for k, ps in X.INTENTS.items())
-    best = "greatest(" + ", ".join(f"s_{k}" for k in X.INTENTS) + ")"
-    name = "CASE WHEN {b} = 0 THEN 'background' ".format(b=best) + " ".join(f"WHEN s_{k} = {best} THEN '{k}'" for k in X.INTENTS) + " END"
+    t = "lower(coalesce(text, ''))"
+    scores = ", ".join("(" + " + ".join(f"len(regexp_extract_all({t}, '{p}'))" for p in ps) + f") / {len(ps)}" for ps in X.INTENTS.values())
+    names = _list(X.INTENTS)
     tone = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.INTENT_SENTIMENT.items()) + " END"
-    return f"WITH s AS (SELECT conv_id, turn, {scores} FROM conversations), i AS (SELECT conv_id, turn, round({best}, 6) AS confidence, {name} AS intent FROM s) SELECT *, {tone} AS tone FROM i"
+    return f"""WITH s AS (SELECT conv_id, turn, trim(coalesce(text, '')) = '' AS blank, [{scores}] AS s FROM conversations), b AS (SELECT *, list_max(s) AS best, list_sum(s) AS total FROM s),
+i AS (SELECT conv_id, turn, CASE WHEN best > 0 THEN round(CASE WHEN best >= 2 THEN least(1.0::DOUBLE, least(1.0::DOUBLE, best / greatest(total, 1.0::DOUBLE)) + 0.2::DOUBLE) ELSE least(1.0::DOUBLE, best / greatest(total, 1.0::DOUBLE)) END, 3) WHEN blank THEN 0.0::DOUBLE ELSE 0.3::DOUBLE END AS confidence,
+ CASE WHEN best > 0 THEN {names}[list_position(s, best)] ELSE 'background' END AS intent FROM b) SELECT *, {tone} AS tone FROM i"""
 
 
 @query("citation_intent", _intent_sql())
@@ -107,7 +108,7 @@ def intent_summary(spark, sf_dir):
     return i.groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), q)), 6).alias("quality"))
 
 
-STUDY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in X.STUDY_TYPES.items()) + " ELSE 'unknown' END"
+STUDY = "CASE " + " ".join(f"WHEN regexp_matches(text, '{X.either(ps)}') THEN '{k}'" for k, ps in X.STUDY_TYPES.items()) + " ELSE 'unknown' END"
 
 
 @query("study_types", f"SELECT {STUDY} AS study_type, count(*) AS n FROM documents GROUP BY 1")
@@ -126,11 +127,11 @@ def abstract_screening(spark, sf_dir):
 
 
 def _bias_sql():
-    def risk(low, high):
-        a, b = (f"regexp_matches(lower(text), '{'|'.join(p)}')" for p in (low, high))
+    def risk(signals):
+        a, b = (f"regexp_matches(text, '{X.either(signals[k])}')" for k in ("low", "high"))
         return f"CASE WHEN {a} AND NOT {b} THEN 'low' WHEN {b} AND NOT {a} THEN 'high' ELSE 'unclear' END"
 
-    cols = ", ".join(f"{risk(*v)} AS {k}" for k, v in X.BIAS_DOMAINS.items())
+    cols = ", ".join(f"{risk(v)} AS {k}" for k, v in X.BIAS_DOMAINS.items())
     n = {v: " + ".join(f"({k} = '{v}')::INT" for k in X.BIAS_DOMAINS) for v in ("high", "low")}
     return f"WITH r AS (SELECT doc_id, {cols} FROM documents) SELECT *, CASE WHEN {n['high']} >= 3 THEN 'high' WHEN {n['low']} >= 4 THEN 'low' ELSE 'unclear' END AS overall FROM r"
 

@@ -54,23 +54,79 @@ def write_lines(lines: DataFrame, path: str, header: str = "", footer: str = "")
     rows.repartitionByRange("t", "ord").sortWithinPartitions("t", "ord").select("line").write.mode("overwrite").text(path)
 
 
+def _texts(papers: DataFrame, names: list[str]) -> dict[str, Column]:
+    """The named columns as texts; a column that papers lacks, a null and year 0 are empty."""
+    have = set(papers.columns)
+    out = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in have else F.lit("") for n in names}
+    if "year" in out:
+        out["year"] = F.when(out["year"] == "0", "").otherwise(out["year"])
+    return out
+
+
+def _names(papers: DataFrame, column: str) -> Column:
+    return F.coalesce(F.col(column), F.array().cast("array<string>")) if column in papers.columns else F.array().cast("array<string>")
+
+
+def _field(name: str, value: Column) -> Column:
+    """A BibTeX line, null for an empty value."""
+    return F.when(value != "", F.concat(F.lit(f"  {name} = {{"), value, F.lit("},")))
+
+
 def bibtex(papers: DataFrame) -> DataFrame:
-    """(key, entry) of papers (paper_id, author, title, year, journal); repeated keys get a, b, c and so on."""
-    base = F.lower(F.concat(F.element_at(F.split("author", " "), -1), F.col("year").cast("string"), F.element_at(F.split("title", " "), 1)))
-    w = Window.partitionBy("base")
-    rows = papers.withColumn("base", F.regexp_replace(base, "[^a-z0-9]", "")).withColumn("n", F.row_number().over(w.orderBy("paper_id"))).withColumn("m", F.count(F.lit(1)).over(w))
-    index = F.col("n") - 1
-    letters = F.concat(F.when(index >= 26, F.char(F.lit(96) + F.floor(index / 26).cast("int"))).otherwise(""), F.char((F.lit(97) + index % 26).cast("int")))
-    key = F.when(F.col("m") > 1, F.concat("base", letters)).otherwise(F.col("base"))
-    entry = F.concat(F.lit("@article{"), key, F.lit(",\n  author = {"), "author", F.lit("},\n  title = {"), "title", F.lit("},\n  journal = {"), "journal", F.lit("},\n  year = {"), F.col("year").cast("string"), F.lit("}\n}"))
-    return rows.select("paper_id", key.alias("key"), entry.alias("entry"))
+    """(paper_id, key, entry) of papers (paper_id, title, author_names and what there is of year, journal, volume, issue,
+    pages, doi, url, abstract).
+
+    Key: last word of the first author, year, first word of the title in lower case. Of papers with one key the first (by
+    paper_id) keeps it, later ones get a, b, ... z, aa and so on. Abstracts stop at 500 characters, as the format has it.
+    """
+    x = _texts(papers, ["title", "year", "journal", "volume", "issue", "pages", "doi", "url", "abstract"])
+    authors = _names(papers, "author_names")
+    year = F.coalesce(F.col("year").cast("string"), F.lit("0")) if "year" in papers.columns else F.lit("0")
+    last = F.when(F.size(authors) > 0, F.element_at(F.split(F.trim(F.get(authors, F.lit(0))), r"\s+"), -1)).otherwise("unknown")
+    word = F.when(x["title"] != "", F.lower(F.element_at(F.split(F.trim(x["title"]), r"\s+"), 1))).otherwise("untitled")
+    abstract = F.substring(F.replace(F.replace(x["abstract"], F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}")), 1, 500)
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("  title = {"), x["title"], F.lit("},")), _field("author", F.array_join(authors, " and ")), _field("year", x["year"]), _field("journal", x["journal"]), _field("volume", x["volume"]),
+        _field("number", x["issue"]), _field("pages", x["pages"]), _field("doi", x["doi"]), _field("url", x["url"]), _field("abstract", abstract), F.lit("}"))
+    rows = papers.select("paper_id", F.concat(last, year, word).alias("base"), body.alias("body"))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("paper_id")) - 1  # 0 for the one that keeps the key
+    letter = F.char((F.lit(97) + F.pmod(F.col("n") - 1, F.lit(26))).cast("int"))
+    before = F.when(F.col("n") > 26, F.char((F.lit(96) + F.floor((F.col("n") - 1) / 26)).cast("int"))).otherwise("")
+    key = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", before, letter))
+    rows = rows.withColumn("n", n).select("paper_id", key.alias("key"), "body")
+    return rows.select("paper_id", "key", F.concat(F.lit("@article{"), "key", F.lit(",\n"), "body").alias("entry"))
 
 
 def ris(papers: DataFrame) -> DataFrame:
-    entry = F.concat_ws("\n", F.lit("TY  - JOUR"), F.concat(F.lit("AU  - "), "author"), F.concat(F.lit("TI  - "), "title"), F.concat(F.lit("JO  - "), "journal"), F.concat(F.lit("PY  - "), F.col("year").cast("string")), F.lit("ER  - "))
+    """(paper_id, entry) with the tags that have a value; a page range is cut at its first dash, abstracts stop at 1000
+    characters, as the format has it."""
+    x = _texts(papers, ["title", "year", "journal", "volume", "issue", "pages", "doi", "url", "abstract"])
+
+    def tag(name: str, value: Column) -> Column:
+        return F.when(value != "", F.concat(F.lit(f"{name}  - "), value))
+
+    def tags(name: str, values: Column) -> Column:
+        return F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda v: F.concat(F.lit(f"{name}  - "), v)), "\n"))
+
+    ranged = x["pages"].contains("-")
+    first = F.when(ranged, F.trim(F.split_part(x["pages"], F.lit("-"), F.lit(1)))).otherwise(x["pages"])
+    end = F.when(ranged, F.trim(F.regexp_replace(x["pages"], "^[^-]*-", ""))).otherwise("")
+    entry = F.concat_ws(
+        "\n", F.lit("TY  - JOUR"), F.concat(F.lit("TI  - "), x["title"]), tags("AU", _names(papers, "author_names")), tag("PY", x["year"]), tag("JO", x["journal"]), tag("VL", x["volume"]), tag("IS", x["issue"]),
+        tag("SP", first), tag("EP", end), tag("DO", x["doi"]), tag("UR", x["url"]), tag("AB", F.substring(x["abstract"], 1, 1000)), tags("KW", _names(papers, "keywords")), F.lit("ER  - "))
     return papers.select("paper_id", entry.alias("entry"))
 
 
+def paper_csv(papers: DataFrame) -> DataFrame:
+    """Papers as text columns of a table: authors, topics and keywords joined by '; ', abstracts up to 500 characters."""
+    x = _texts(papers, ["title", "journal", "doi", "citation_count", "abstract", "url", "is_open_access"])
+    year = F.coalesce(F.col("year").cast("string"), F.lit("0")) if "year" in papers.columns else F.lit("0")
+    joined = {n: F.array_join(_names(papers, c), "; ") for n, c in (("authors", "author_names"), ("topics", "topics"), ("keywords", "keywords"))}
+    return papers.select(
+        "paper_id", x["title"].alias("title"), joined["authors"].alias("authors"), year.alias("year"), x["journal"].alias("journal"), x["doi"].alias("doi"), x["citation_count"].alias("citation_count"),
+        F.substring(x["abstract"], 1, 500).alias("abstract"), x["url"].alias("url"), x["is_open_access"].alias("is_open_access"), joined["topics"].alias("topics"), joined["keywords"].alias("keywords"))
+
+
 def markdown_row(papers: DataFrame) -> DataFrame:
     """One table line per paper, bars escaped."""
     return papers.select("paper_id", F.concat(F.lit("| "), F.replace("title", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("year").cast("string"), F.lit(" | "), F.col("citation_count").cast("string"), F.lit(" |")).alias("line"))

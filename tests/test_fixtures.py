@@ -156,9 +156,85 @@ def test_tfidf(spark):
 def test_texts_to_numbers(spark):
     df = spark.createDataFrame([("Rp1.500.000", "Terjual 1,2rb"), ("Rp2.000 - Rp3.000", "3 jt"), ("", "none")], "p string, s string")
     assert rows(df.select(payloads.price_text(F.col("p")), payloads.sold_text(F.col("s")))) == [(1500000.0, 1200), (2000.0, 3000000), (0.0, 0)]
+    more = spark.createDataFrame([("IDR 12.500,50 only", "10rb+ sold"), ("1.250", "2,5 juta"), ("999,9", "7.5k"), (None, None), ("Rp", "rb")], "p string, s string")
+    assert rows(more.select(payloads.price_text(F.col("p")), payloads.sold_text(F.col("s")))) == [(12500.5, 10000), (1250.0, 2500000), (999.9, 7500), (0.0, 0), (0.0, 0)]
     assert int(spark.range(1).select(payloads.shortcode_id(F.lit("BA"))).first()[0]) == 64
 
 
+def test_short_numbers_round_by_binary_value(spark):
+    import random
+
+    rng = random.Random(2)
+    ns = [0.0, 999.0, 1050.0, 1150.0, 1250.0, 1350.0, 999_950.0, 1_250_000.0, 1_150_000.0, 2.5e9, 1.05e9] + [float(rng.randrange(10 ** rng.randint(3, 12))) for _ in range(2000)] + [50.0 * rng.randrange(20, 20_000) for _ in range(2000)]
+
+    def shown(n):
+        for scale, letter in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
+            if n >= scale:
+                return f"{n / scale:.1f}{letter}"
+        return str(int(n))
+
+    got = [r[0] for r in spark.createDataFrame([(k, n) for k, n in enumerate(ns)], "k int, n double").orderBy("k").select(payloads.short_number(F.col("n"))).collect()]
+    assert got == [shown(n) for n in ns]
+
+
+def test_closeness_and_betweenness_brute_force(spark):
+    """A graph of two components against distances by Floyd and Warshall and all shortest paths."""
+    import random
+
+    rng = random.Random(3)
+    pairs_ = {(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(22)) if a != b} | {(20, 21), (21, 22)}
+    both = pairs_ | {(b, a) for a, b in pairs_}
+    nodes = sorted({a for a, _ in both})
+    far = {(a, b): 0 if a == b else 1 if (a, b) in both else 10**6 for a in nodes for b in nodes}
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    count = {(a, a): 1 for a in nodes}
+    for a, b in sorted(far, key=far.get):
+        if 0 < far[a, b] < 10**6:
+            count[a, b] = sum(count[a, x] for x in nodes if (x, b) in both and far[a, x] == far[a, b] - 1)
+    e = spark.createDataFrame(sorted(pairs_), "src long, dst long")
+    got = {r.node: (r.reachable, r.closeness) for r in graph.closeness(e).collect()}
+    for a in nodes:
+        d = [far[a, b] for b in nodes if b != a and far[a, b] < 10**6]
+        assert got[a] == (len(d), round(len(d) / sum(d), 8))
+    between = {r.node: r.betweenness for r in graph.betweenness(e).collect()}
+    n = len(nodes)
+    for x in nodes:
+        want = sum(count[a, x] * count[x, b] / count[a, b] for a in nodes for b in nodes if len({a, b, x}) == 3 and far[a, b] < 10**6 and far[a, x] + far[x, b] == far[a, b])
+        assert between[x] == pytest.approx(want * 2 / ((n - 1) * (n - 2)), abs=1e-7)
+
+
+def test_bias_signals_keep_word_boundaries(spark):
+    df = spark.createDataFrame([(1, "an unvalidated unadjusted instrument"), (2, "Blinded, ITT, adjusted and validated with CONSORT; n = 250"), (3, "pilot with n < 25 and masked, open-label")], "id int, text string")
+    got = {r.id: r for r in text.risk_of_bias(df).collect()}
+    assert (got[1].measurement, got[1].confounding) == ("high", "high")
+    assert (got[2].blinding, got[2].attrition, got[2].reporting, got[2].measurement, got[2].confounding, got[2].sample_size, got[2].overall) == ("low", "low", "low", "low", "low", "low", "low")
+    assert (got[3].sample_size, got[3].blinding) == ("high", "unclear")
+
+
+def test_citation_intent_counts_matches(spark):
+    """Hand-worked: contrast has 2 of 8 patterns with 2 and 1 matches (0.375), support 1 of 7 (0.142857); share of at least 1."""
+    df = spark.createDataFrame([(1, "However, although it fails to scale, results confirm it"), (2, ""), (3, "zzz"), (4, " ".join(["however"] * 17)), (5, None)], "id int, text string")
+    got = {r.id: (r.intent, r.confidence, r.tone) for r in text.intent(df).collect()}
+    assert got == {1: ("contrast", 0.375, "negative"), 2: ("background", 0.0, "neutral"), 3: ("background", 0.3, "neutral"), 4: ("contrast", 1.0, "negative"), 5: ("background", 0.0, "neutral")}
+
+
+def test_study_types_in_order(spark):
+    df = spark.createDataFrame([(1, "a randomised trial and survey"), (2, "Systematic review of cohorts"), (3, "case series"), (4, "a narrative"), (5, "in vitro"), (6, "reviewed"), (7, "follow-up study")], "id int, text string")
+    got = {r.id: r.t for r in df.select("id", text.study_type(F.col("text")).alias("t")).collect()}
+    assert got == {1: "rct", 2: "meta_analysis", 3: "case_report", 4: "review", 5: "experimental", 6: "unknown", 7: "cohort"}
+
+
+def test_funders_by_any_word(spark):
+    from loomfield.operators import extract
+
+    df = spark.createDataFrame([(1, "Thanks to the DFG and the Deutsche Forschungsgemeinschaft (award No. XY-77), and AFOSR."), (2, "none"), (3, None), (4, "The Army Research office, NSF-2024567")], "id int, text string")
+    got = sorted(map(tuple, extract.funding(df, "id").collect()))
+    assert got == [(1, "Air Force Office of Scientific Research (AFOSR)", "XY-77"), (1, "German Research Foundation (DFG)", "XY-77"), (4, "Army Research Office (ARO)", "NSF-2024567"), (4, "National Science Foundation (NSF)", "NSF-2024567")]
+
+
 def test_ring_position(spark):
     h = spark.range(1).select(F.conv(F.substring(F.md5(F.lit("a")), 1, 8), 16, 10).cast("long")).first()[0]
     assert h == 214005177
@@ -172,8 +248,13 @@ def test_success_rate(spark):
 
 
 def test_exports(spark, tmp_path):
-    p = spark.createDataFrame([(1, "A Smith", "Big <News>", 2020, "J"), (2, "B Smith", "Big Data", 2020, "J"), (3, "C Lee", "Tiny", 2021, "J")], "paper_id int, author string, title string, year int, journal string")
-    assert [r.key for r in sinks.bibtex(p).orderBy("paper_id").collect()] == ["smith2020biga", "smith2020bigb", "lee2021tiny"]
+    p = spark.createDataFrame([(k, ["A Smith", "X Y"], "Big <News>", 2020, "J", "1-9") for k in range(30)] + [(50, [], "", 0, "", "7")], "paper_id int, author_names array<string>, title string, year int, journal string, pages string")
+    got = {r.paper_id: r for r in sinks.bibtex(p).collect()}
+    assert [got[k].key for k in (0, 1, 26, 27, 28, 50)] == ["Smith2020big", "Smith2020biga", "Smith2020bigz", "Smith2020bigaa", "Smith2020bigab", "unknown0untitled"]
+    assert got[0].entry == "@article{Smith2020big,\n  title = {Big <News>},\n  author = {A Smith and X Y},\n  year = {2020},\n  journal = {J},\n  pages = {1-9},\n}"
+    assert got[50].entry == "@article{unknown0untitled,\n  title = {},\n  pages = {7},\n}"
+    tags = {r.paper_id: r.entry for r in sinks.ris(p).collect()}
+    assert tags[0] == "TY  - JOUR\nTI  - Big <News>\nAU  - A Smith\nAU  - X Y\nPY  - 2020\nJO  - J\nSP  - 1\nEP  - 9\nER  - " and tags[50] == "TY  - JOUR\nTI  - \nSP  - 7\nER  - "
     e = edges(spark, [("a&b", "c")])
     lines = sinks.graphml_lines(graph.nodes(e), e)
     sinks.write_lines(lines, str(tmp_path / "g"), *sinks.GRAPHML)
