@@ -31,7 +31,7 @@ UNIGRAM, BPE = 1, 2
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Encoded stretches are remembered in two generations of about so many bytes each; a stretch takes UNIT_BYTES and its content.
-WORD_BYTES, UNIT_BYTES = 64_000_000, 200
+WORD_BYTES, UNIT_BYTES = 110_000_000, 200
 JOINT_MEMORY = 500_000
 
 
