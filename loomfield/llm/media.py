@@ -108,6 +108,18 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+#: Rows are summed so many samples at a time, as numpy makes wide numbers of what it sums.
+SUM_SAMPLES = 1 << 22
+
+
+def _strip_sums(samples: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums over the rows between the places in at, which begin with 0; exact, as sums of bytes are whole numbers."""
+    if samples.size <= SUM_SAMPLES:
+        return np.add.reduceat(samples, at[:-1], axis=0, dtype=np.float64)
+    step = max(1, SUM_SAMPLES // (samples.size // len(samples)))
+    return np.stack([sum(samples[k : min(k + step, b)].sum(axis=0, dtype=np.float64) for k in range(a, b, step)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+
 def area_resize(samples: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Means of samples over a rows x columns grid of boxes with fractional edges, from the integral image.
 
@@ -123,12 +135,14 @@ def area_resize(samples: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
     y, fy = between(high, rows)
     x, fx = between(wide, columns)
-    total, above, column = {}, 0, np.zeros(wide)
-    for k in sorted({*y.tolist(), *(y + 1).tolist()}):
-        strip = samples[above:k].sum(axis=0, dtype=np.float64)
-        column = column + (strip if samples.ndim == 2 else strip.mean(axis=1))
-        total[k], above = np.concatenate([[0.0], np.cumsum(column)]), k
-    lines = np.stack([total[int(k)] * (1 - f) + total[int(k) + 1] * f for k, f in zip(y, fy, strict=True)])
+    at = np.unique(np.concatenate([y, y + 1]))
+    strips = _strip_sums(samples, at)
+    strips = strips if samples.ndim == 2 else strips.mean(axis=2)
+    down = np.cumsum(strips, axis=0)
+    total = np.zeros((len(at), wide + 1))
+    np.cumsum(down, axis=1, out=total[len(at) - len(down) :, 1:])
+    place = np.searchsorted(at, y)
+    lines = total[place] * (1 - fy)[:, None] + total[np.searchsorted(at, y + 1)] * fy[:, None]
     corners = lines[:, x] * (1 - fx) + lines[:, x + 1] * fx
     return np.diff(np.diff(corners, axis=0), axis=1) * (rows * columns / (high * wide))
 

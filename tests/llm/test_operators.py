@@ -472,6 +472,13 @@ def test_area_resize_brute_force():
         assert np.allclose(media.area_resize(x, rows, columns), want)
 
 
+def test_area_resize_of_large_rasters(monkeypatch):
+    samples = np.random.RandomState(3).randint(0, 256, (997, 24)).astype(np.uint8)
+    whole = media.area_resize(samples, 8, 9)
+    monkeypatch.setattr(media, "SUM_SAMPLES", 500)
+    assert (media.area_resize(samples, 8, 9) == whole).all()
+
+
 def test_media_rows(spark):
     for bmp in (False, True):
         rows = media.media_digest(docs(spark, EDGES), bmp=bmp).collect()
