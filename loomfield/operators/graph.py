@@ -233,6 +233,51 @@ def cascade_stats(tree: DataFrame) -> DataFrame:
     return whole.join(per, "cascade_id", "left").select("cascade_id", "reach", "max_depth", F.round(F.when(F.col("reach") > 1, F.col("v")).otherwise(0.0), 6).alias("structural_virality"), F.round("viral_coefficient", 6).alias("viral_coefficient"), "max_branching", "n_spreaders")
 
 
+def cascade_timing(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """(cascade_id, n_events, duration_hours, speed, peak_hour) of (cascade_id, ts): events an hour from first to last (their number
+    if no time passes, 0 below two events), and the hour since the first with most events (the first such; 0 below three)."""
+    hours = F.col("h") - F.col("first")
+    rows = events.select("cascade_id", (F.unix_micros(F.col(ts).cast("timestamp")) / 3.6e9).alias("h"))
+    ends = rows.groupBy("cascade_id").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.count(F.lit(1)).alias("n_events"))
+    hourly = rows.join(F.broadcast(ends) if ends.count() <= 10_000 else ends, "cascade_id").groupBy("cascade_id", F.floor(hours).alias("hour")).agg(F.count(F.lit(1)).alias("c"))
+    peak = hourly.groupBy("cascade_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "hour")).alias("p"))
+    span = F.col("last") - F.col("first")
+    return ends.join(peak, "cascade_id").select(
+        "cascade_id", "n_events", F.round(span, 6).alias("duration_hours"), F.round(F.when(F.col("n_events") < 2, 0.0).when(span == 0, F.col("n_events").cast("double")).otherwise(F.col("n_events") / span), 6).alias("speed"),
+        F.when(F.col("n_events") > 2, F.col("p.hour")).otherwise(0).cast("long").alias("peak_hour"))
+
+
+def community_lifecycle(members: DataFrame) -> DataFrame:
+    """Per community of (snapshot, community, member): first and last snapshot, in how many, mean size, whether it is in the last
+    of all, and loyalty (the share of its first members that are in its last snapshot; 0 for one snapshot)."""
+    sizes = members.groupBy("community", "snapshot").agg(F.count_distinct("member").alias("size"))
+    life = sizes.groupBy("community").agg(F.min("snapshot").alias("born"), F.max("snapshot").alias("last"), F.count(F.lit(1)).alias("n_snapshots"), F.round(F.avg("size"), 6).alias("mean_size"), F.min_by("size", "snapshot").alias("first_size"))
+    ends = members.distinct().join(life.select("community", "born", "last"), "community").filter("snapshot = born OR snapshot = last").groupBy("community", "member").agg(F.count_distinct("snapshot").alias("n"))
+    stayed = ends.filter("n = 2").groupBy("community").agg(F.count(F.lit(1)).alias("stayed"))
+    newest = members.agg(F.max("snapshot").alias("newest"))
+    rows = life.join(stayed, "community", "left").crossJoin(F.broadcast(newest))
+    return rows.select("community", "born", "last", "n_snapshots", "mean_size", (F.col("last") == F.col("newest")).alias("is_alive"), F.round(F.when(F.col("n_snapshots") > 1, F.coalesce("stayed", F.lit(0)) / F.col("first_size")).otherwise(0.0), 6).alias("loyalty"))
+
+
+def modularity_trajectory(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(snapshot, modularity) of the undirected edges (src, dst, snapshot) under fixed labels (node, label), to four places."""
+    both = edges.select("snapshot", "src", "dst").unionByName(edges.select("snapshot", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    of = both.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+    per = of.groupBy("snapshot", F.col("a").alias("label")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("a") == F.col("b")).alias("i"))
+    whole = per.groupBy("snapshot").agg(F.sum("k").alias("m"))
+    return per.join(whole, "snapshot").groupBy("snapshot").agg(F.round(F.sum(F.col("i") / F.col("m") - F.col("k") * F.col("k") / (F.col("m") * F.col("m"))), 4).alias("modularity"))
+
+
+def cascade_lines(tree: DataFrame) -> DataFrame:
+    """(cascade_id, line): one JSON object a node of (cascade_id, node, parent, depth), the root's parent being null."""
+    return tree.select("cascade_id", F.to_json(F.struct("cascade_id", "node", "parent", "depth"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def mention_weight(times: Column, verified: Column) -> Column:
+    """Mentions weighed by the logarithm of their number (of 10 at least), half as much again from verified accounts."""
+    return times * F.log10(F.greatest(times, F.lit(10))) * F.when(verified, 1.5).otherwise(1.0)
+
+
 def branching_distribution(tree: DataFrame) -> DataFrame:
     """Per cascade: how many nodes have how many children."""
     children = tree.filter("parent IS NOT NULL").groupBy("cascade_id", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("c"))

@@ -73,6 +73,33 @@ def late_fusion(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(F.round(F.when(w > 0, F.sum(F.col("score") * F.col("confidence")) / w).otherwise(F.avg("score")), 6).alias("fused"), F.count(F.lit(1)).alias("n_modalities"))
 
 
+def early_fusion(parts: dict[str, tuple[Column, Column]]) -> Column:
+    """struct(features, confidence, correlations, consistency, insights) of modalities (features, confidence) by name.
+
+    Features are joined end to end; confidence is the plain mean. A correlation is the cosine of two modalities over the
+    length they share (0 if one is zero); consistency is their mean (1 for a single modality).
+    """
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+    names = list(parts)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    cosines = []
+    for a, b in pairs:
+        n = F.least(F.size(parts[a][0]), F.size(parts[b][0]))
+        x, y = F.slice(parts[a][0], F.lit(1), n), F.slice(parts[b][0], F.lit(1), n)
+        size = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+        cosines.append(F.when(size > 0, dot(x, y) / size).otherwise(0.0))
+    alone = "all modalities" if len(names) == 3 else f"only {names[0]}" if len(names) == 1 else None
+    weak = F.array_join(F.array_compact(F.array(*(F.when(parts[n][1] < 0.5, F.lit(n)) for n in names))), ", ")
+    insights = F.array_compact(F.array(
+        F.lit(alone).cast("string"), *(F.when(c > 0.8, F.lit(f"high consistency: {a}, {b}")).when(c < 0.3, F.lit(f"low consistency: {a}, {b}")) for (a, b), c in zip(pairs, cosines, strict=True)),
+        F.when(weak != "", F.concat(F.lit("low confidence: "), weak))))
+    mean = sum((parts[n][1] for n in names), F.lit(0.0)) / len(names)
+    consistency = sum(cosines, F.lit(0.0)) / len(pairs) if pairs else F.lit(1.0)
+    return F.struct(F.concat(*(parts[n][0] for n in names)).alias("features"), mean.alias("confidence"), F.array(*cosines).cast("array<double>").alias("correlations"), consistency.alias("consistency"), insights.alias("insights"))
+
+
 def padded(values: Column, size: int = 64) -> Column:
     """An array cut or filled with zeros to a size."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), size)), 1, size)

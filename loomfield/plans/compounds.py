@@ -100,11 +100,3 @@ def synonym_lookup(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     d = T.table(spark, sf_dir, "labels").join(T.table(spark, sf_dir, "documents"), "doc_id").select(F.col("toxic").cast("double").alias("label"), F.regexp_count(F.lower("text"), F.lit("stupid|worthless|idiot|pathetic|clown")).cast("double").alias("words"), F.col("n_chars").cast("double").alias("n"))
     return S.permutation_importance(d, lambda x: x.withColumn("prediction", (F.col("words") > 0).cast("double")), ["words", "n"], "label")
-
-
-@query("cursor_harvest")
-def cursor_harvest(spark, sf_dir):
-    from ..sources.cursor import CursorSource
-
-    spark.dataSource.register(CursorSource)
-    return spark.read.format("cursor").option("fetch", "loomfield.sources.cursor:three_pages").option("queries", '["a", "b"]').load()

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..sources import tables as T
 from ..streaming import metrics as M
 from .catalog import query
@@ -13,12 +14,7 @@ from .catalog import query
 
 def _to_table(spark, stream, mode="append"):
     """The rows of a stream that runs to its end, from a table in the session's checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="loomfield-stream-")
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()

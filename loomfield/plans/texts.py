@@ -152,9 +152,13 @@ def vocabulary_variance(spark, sf_dir):
     return X.vocabulary_variance(T.table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("key_sentences", r"""WITH s AS (SELECT item_id, unnest(x) AS sentence, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT item_id, regexp_split_to_array(text, '[.!?]+') AS x FROM benchmark)), f AS (SELECT * FROM s WHERE length(trim(sentence)) > 20), w AS (SELECT DISTINCT item_id, pos, unnest(regexp_extract_all(lower(sentence), '[a-z]{4,}')) AS token FROM f),
-d AS (SELECT token, count(DISTINCT item_id) AS df FROM w GROUP BY 1), n AS (SELECT count(DISTINCT item_id) AS n FROM benchmark), i AS (SELECT item_id, pos, avg(ln(n / df)) AS idf FROM w JOIN d USING (token), n GROUP BY 1, 2)
-SELECT item_id, pos::INT AS pos, trim(sentence) AS sentence, round(idf / (1 + pos * 0.1::DOUBLE), 6) AS score FROM f JOIN i USING (item_id, pos) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(idf / (1 + pos * 0.1::DOUBLE), 6) DESC, pos) <= 3""")
+PHRASE_BONUS = " + ".join(f"CASE WHEN regexp_matches(lower(sentence), '{p}') THEN 0.15::DOUBLE ELSE 0 END" for p in X.PHRASES)
+
+
+@query("key_sentences", rf"""WITH x AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: length(trim(x)) > 20) AS x FROM benchmark), s AS (SELECT item_id, len(x) AS o, unnest(x) AS sentence, generate_subscripts(x, 1) - 1 AS pos FROM x), w AS (SELECT *, regexp_extract_all(lower(sentence), '[a-z]{{3,}}') AS words FROM s),
+d AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM benchmark) GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark), i AS (SELECT item_id, pos, avg(ln(n / df)) AS idf FROM (SELECT item_id, pos, unnest(list_distinct(words)) AS token FROM w) JOIN d USING (token), n GROUP BY 1, 2),
+c AS (SELECT item_id, pos::INT AS pos, trim(sentence) AS sentence, round(coalesce(idf, 0) * CASE WHEN pos = 0 THEN 1.5::DOUBLE WHEN pos = o - 1 THEN 1.2::DOUBLE WHEN pos < o * 0.3::DOUBLE THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN len(words) BETWEEN 15 AND 40 THEN 1 WHEN len(words) < 10 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END * (1.0::DOUBLE + {PHRASE_BONUS}), 6) AS score FROM w LEFT JOIN i USING (item_id, pos))
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) <= 3""")
 def key_sentences(spark, sf_dir):
     return X.key_sentences(T.table(spark, sf_dir, "benchmark"), "item_id")
 

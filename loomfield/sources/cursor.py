@@ -4,9 +4,29 @@ from __future__ import annotations
 
 import importlib
 import json
+from urllib.parse import urlencode
+from urllib.request import urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+TIMEOUT, RETRIES = 30, 3
+
+
+def http_page(url: str, query: str, cursor: str, size: int) -> tuple[list[dict], str | None]:
+    """One page of a JSON interface that takes `query`, `cursor` (`*` at first) and `per_page` and gives `results` and
+    `meta.next_cursor`; a page that can't be read is asked for again a few times."""
+    address = f"{url}?{urlencode({'query': query, 'cursor': cursor, 'per_page': size})}"
+    for left in range(RETRIES - 1, -1, -1):
+        try:
+            with urlopen(address, timeout=TIMEOUT) as answer:
+                page = json.load(answer)
+            break
+        except OSError:
+            if not left:
+                raise
+    rows = page.get("results") or []
+    return rows, (page.get("meta") or {}).get("next_cursor") if rows else None
+
 
 class _Query(InputPartition):
     def __init__(self, query: str) -> None:
@@ -15,24 +35,34 @@ class _Query(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
-        module, _, name = options["fetch"].partition(":")
-        self.fetch, self.queries = (module, name), json.loads(options.get("queries", '[""]'))
+        self.url, self.size = options.get("url"), int(options.get("per_page", "200"))
+        self.fetch = options.get("fetch")
+        if bool(self.url) == bool(self.fetch):
+            raise ValueError("the cursor source needs either `url` or `fetch`")
+        self.queries = json.loads(options.get("queries", '[""]'))
 
     def partitions(self):
         return [_Query(q) for q in self.queries]
 
+    def _page(self, query: str, cursor: str):
+        if self.url:
+            return http_page(self.url, query, cursor, self.size)
+        module, _, name = self.fetch.partition(":")
+        return getattr(importlib.import_module(module), name)(query, cursor)
+
     def read(self, partition):
-        fetch = getattr(importlib.import_module(self.fetch[0]), self.fetch[1])
-        cursor = "*"
-        while cursor is not None:
-            rows, cursor = fetch(partition.query, cursor)
+        cursor, seen = "*", set()
+        while cursor is not None and cursor not in seen:  # a cursor that comes again would never end
+            seen.add(cursor)
+            rows, cursor = self._page(partition.query, cursor)
             for row in rows:
                 yield partition.query, json.dumps(row)
 
 
 class CursorSource(DataSource):
-    """Options: `fetch`, a function module:name of (query, cursor) giving (rows, next cursor or None), importable on the
-    executors; `queries`, a JSON list. Rows are (query, body), body being JSON."""
+    """Options: `url`, the address of an interface as http_page has it (with `per_page`), or `fetch`, a function module:name of
+    (query, cursor) giving (rows, next cursor or None), importable on the executors; `queries`, a JSON list. Rows are
+    (query, body), body being JSON."""
 
     @classmethod
     def name(cls) -> str:
@@ -43,9 +73,3 @@ class CursorSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
-
-
-def three_pages(query: str, cursor: str):
-    """A fetch function for tests and examples: three pages of two rows."""
-    page = 0 if cursor == "*" else int(cursor)
-    return [{"q": query, "n": 2 * page + i} for i in range(2)], str(page + 1) if page < 2 else None

@@ -40,6 +40,31 @@ def write_csv(df: DataFrame, path: str) -> None:
     flatten(df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_excel(df: DataFrame, path: str) -> str:
+    """A spreadsheet at path, or CSV files there if no library for spreadsheets is installed; says which. A sheet holds
+    at most 1,048,575 rows, so more are refused."""
+    try:
+        import openpyxl
+    except ImportError:
+        write_csv(df, path)
+        return "csv"
+    rows = flatten(df).limit(1_048_576).toPandas()
+    if len(rows) > 1_048_575:
+        raise ValueError("too many rows for a sheet")
+    book = openpyxl.Workbook()
+    for row in [list(rows.columns), *rows.itertuples(index=False)]:
+        book.active.append(list(row))
+    book.save(path)
+    return "excel"
+
+
+def profile_lines(profiles: DataFrame, by: str = "followers") -> DataFrame:
+    """(ord, line): a comparison of (name, followers, following, posts), largest first, then by name."""
+    shown = F.concat(F.lit("@"), "name", F.lit(": "), F.col(by).cast("string"), F.lit(" followers, "), F.col("following").cast("string"), F.lit(" following, "), F.col("posts").cast("string"), F.lit(" posts"))
+    order = F.concat(F.lpad((F.lit(10**15) - F.col(by)).cast("string"), 16, "0"), F.lit(" "), "name")
+    return profiles.select(order.alias("ord"), shown.alias("line"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
