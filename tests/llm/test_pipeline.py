@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomfield.llm import queries
+from loomfield.llm import common, queries
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -63,6 +63,30 @@ def test_stages_drop_rows_not_ids(spark, stage):
     assert sorted(left, key=repr) == sorted(expected, key=repr)
 
 
+def test_rows_go_by_filter_and_shuffle(spark, monkeypatch):
+    """With more dropped rows than may be broadcast, the same rows go; those that the filter clears are not shuffled."""
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i // 2, f"text {i % 700}", f"x{i}") for i in range(2000)], "doc_id long, text string, __maybe_dropped string")
+    dropped = docs.filter("abs(hash(text)) % 5 = 0").select("doc_id", F.xxhash64("text").alias("raw"))
+    few = {r["__maybe_dropped"] for r in common.without_rows(docs, dropped, "doc_id", "text").collect()}
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    many = common.without_rows(docs, dropped, "doc_id", "text")
+    assert many.columns == docs.columns and sorted(r["__maybe_dropped"] for r in many.collect()) == sorted(few)
+    assert 0 < len(few) < 2000
+    assert common.without_rows(docs, dropped.limit(0), "doc_id", "text").count() == 2000
+
+
+def test_stages_with_clashing_names(spark):
+    clash = ["id", "path", "n", "key", "sketch", "sha", "h", "maybe", "kept", "raw", "shard", "score", "component", "row", "found", "pattern", "at", "__lang_pred", "lang_pred", "familiar", "__dropped_id", "__dropped_hash", "length", "bin_id"]
+    docs = table(spark).withColumns({c: F.lit(f"x{c}") for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[c] == f"x{c}" for r in out.collect() for c in clash)
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert sorted({r.doc_id for r in out.collect()}) == [2, 6, 7]
+
+
 def test_stages_on_nothing(spark):
     docs = table(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
