@@ -47,8 +47,8 @@ COORDINATES, TREES, NODE, BLOCK = 64, 8, 256, 512
 #: Children of each member of a large node, by level; a level has as many coordinates of its own as there are trees.
 BRANCHES = (3, 2, 2, 2, 2, 2)
 LEVELS = len(BRANCHES) + 1
-#: A child with this share of its parent's members has not been parted from them; after two such levels it is a crowd.
-STALE = 0.75
+#: With two children a member, a child with half of its parent's members makes no fewer rows; after two such levels it is a crowd.
+STALE = 0.5
 SCREEN = 0.6
 #: Rows in one partition of intermediate tables of known size: small tables don't need many tasks and files.
 PARTITION_ROWS = 20_000
