@@ -40,27 +40,72 @@ def growth_direction(growth: DataFrame, rate: str = "growth_rate", order: str =
     return recent.select(F.round("m", 4).alias("mean_growth"), label.alias("direction"))
 
 
+#: A window's series are cut into stretches of time so that one has about so many rows.
+STRETCH_ROWS = 200_000
+
+
+def _stretches(points: DataFrame, keys: list[str], at: Column, least: int = 1) -> tuple[DataFrame, int]:
+    """points with `__s` (microseconds) and `__b`, the number of its stretch of time, and the stretches' width (0: one stretch)."""
+    rows = points.withColumn("__s", at)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min("__s").alias("lo"), F.max("__s").alias("hi")).first()
+    if size["n"] <= STRETCH_ROWS or size["lo"] is None or size["hi"] == size["lo"]:
+        return rows.withColumn("__b", F.lit(0).cast("long")), 0
+    width = max(least, (size["hi"] - size["lo"]) * STRETCH_ROWS // size["n"] + 1)
+    return rows.withColumn("__b", F.coalesce(F.floor(F.col("__s") / width), F.lit(-(1 << 60)))), width
+
+
+def with_rows_before(rows: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
+    """rows (with stretches `__b`) and, marked `__halo`, the `count` rows of a key before each of its stretches, dealt to it.
+
+    So windows over the last rows run within stretches, and a key with a third of all rows is many tasks. Only the last rows
+    of a stretch are dealt again; how many stretches need them follows from the stretches' sizes, a row a stretch.
+    """
+    tail = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*(F.desc(c) for c in order)))).filter(F.col("__r") <= count)
+    sizes = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys).orderBy("__b")
+    sizes = sizes.withColumns({"__i": F.row_number().over(w), "__upto": F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    ahead = sizes.select(*keys, "__b", F.col("__upto").alias("__own"), F.explode(F.sequence(F.col("__i") + 1, F.col("__i") + count)).alias("__i"))
+    named = sizes.select(*keys, F.col("__b").alias("__to"), "__i", (F.col("__upto") - F.col("__c")).alias("__before"))
+    dealt = ahead.join(named, [*keys, "__i"]).withColumn("__need", count - (F.col("__before") - F.col("__own"))).filter("__need > 0").select(*keys, "__b", "__to", "__need")
+    halo = tail.join(dealt, [*keys, "__b"]).filter("__r <= __need").withColumn("__b", F.col("__to")).select(*rows.columns, F.lit(True).alias("__halo"))
+    return rows.withColumn("__halo", F.lit(False)).unionByName(halo)
+
+
 def rolling_zscore(points: DataFrame, keys: list[str], order: list[str], value: str, size: int = 100, least: int = 10, limit: float = 2.5) -> DataFrame:
-    """z-score of each value against the last `size` values, itself included (population deviation), from `least` on."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(size - 1), 0)
+    """z-score of each value against the last `size` values, itself included (population deviation), from `least` on.
+
+    The first of the order columns is a time, by which long series are cut.
+    """
+    rows, width = _stretches(points, keys, micros(order[0]))
+    rows = with_rows_before(rows, keys, order, size - 1) if width else rows.withColumn("__halo", F.lit(False))
+    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(-(size - 1), 0)
     n, mean, dev = F.count(value).over(w), F.avg(value).over(w), F.stddev_pop(value).over(w)
     z = F.when((n >= least) & (dev > 0), (F.col(value) - mean) / dev).otherwise(F.lit(0.0))
-    out = points.withColumn("z", F.round(z, 4))
+    out = rows.withColumn("z", F.round(z, 4)).filter(~F.col("__halo")).drop("__s", "__b", "__halo")
     size_z = F.abs(F.col("z"))
     severity = F.when(size_z >= 4, "critical").when(size_z >= 3, "high").when(size_z >= 2.5, "medium").when(size_z >= 2, "low").otherwise("none")
     return out.withColumn("anomaly", size_z >= limit).withColumn("severity", severity).withColumn("kind", F.when(F.col("z") > 0, "spike").when(F.col("z") < 0, "drop").otherwise("flat"))
 
 
 def time_window_stats(points: DataFrame, keys: list[str], ts: str, value: str, seconds: int = 300) -> DataFrame:
-    """Count, mean, extremes and rate a minute over the last `seconds` up to each row's time (ties included)."""
-    w = Window.partitionBy(*keys).orderBy("__s").rangeBetween(-seconds * 1_000_000, 0)
-    t = points.withColumn("__s", micros(ts))
+    """Count, mean, extremes and rate a minute over the last `seconds` up to each row's time (ties included).
+
+    Long series are cut by time; the rows of the last `seconds` of a stretch are dealt to the next one too.
+    """
+    span = seconds * 1_000_000
+    t, width = _stretches(points, keys, micros(ts), span)
+    if width:
+        late = t.filter(F.col("__s") >= (F.col("__b") + 1) * width - span).withColumn("__b", F.col("__b") + 1)
+        t = t.withColumn("__halo", F.lit(False)).unionByName(late.withColumn("__halo", F.lit(True)))
+    else:
+        t = t.withColumn("__halo", F.lit(False))
+    w = Window.partitionBy(*keys, "__b").orderBy("__s").rangeBetween(-span, 0)
     n, first = F.count(value).over(w), F.min("__s").over(w)
-    span = (F.col("__s") - first) / 1e6
-    rate = F.when((n <= 1) | (span <= 0), n * 60.0 / seconds).otherwise(n / span * 60)
+    passed = (F.col("__s") - first) / 1e6
+    rate = F.when((n <= 1) | (passed <= 0), n * 60.0 / seconds).otherwise(n / passed * 60)
     return (
         t.withColumn("n", n).withColumn("mean", F.round(F.avg(value).over(w), 8)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
-        .withColumn("rate_per_minute", F.round(rate, 4)).drop("__s")
+        .withColumn("rate_per_minute", F.round(rate, 4)).filter(~F.col("__halo")).drop("__s", "__b", "__halo")
     )
 
 

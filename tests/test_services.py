@@ -177,3 +177,28 @@ def test_checkpoint_folder_is_shared(spark):
 
     with pytest.raises(ValueError):
         lineage.shared_folder(Far)
+
+
+@pytest.mark.parametrize("stretch", [7, 60, 10**9])
+def test_windows_across_stretches(spark, monkeypatch, stretch):
+    """Rolling statistics are the same however series are cut; one key has nearly all rows, one has gaps, times repeat."""
+    import random
+    import statistics
+
+    from loomfield.operators import windows
+
+    monkeypatch.setattr(windows, "STRETCH_ROWS", stretch)
+    rng = random.Random(8)
+    data = [("hot", 1_700_000_000 + rng.randrange(4000), i, float(rng.randrange(50))) for i in range(300)] + [("rare", 1_700_000_000 + 900 * i, 1000 + i, float(i % 3)) for i in range(6)]
+    df = spark.createDataFrame(data, "k string, s long, id long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: r.z for r in windows.rolling_zscore(df, ["k"], ["ts", "id"], "v", 20, 5).collect()}
+    stats = {r.id: (r.n, r.mean, r.low, r.high) for r in windows.time_window_stats(df, ["k"], "ts", "v", 300).collect()}
+    assert len(got) == len(stats) == len(data)
+    for key in ("hot", "rare"):
+        series = sorted((s, i, v) for k, s, i, v in data if k == key)
+        for at, (s, i, v) in enumerate(series):
+            last = [x for _, _, x in series[max(0, at - 19) : at + 1]]
+            dev = statistics.pstdev(last)
+            assert got[i] == pytest.approx(round((v - statistics.fmean(last)) / dev, 4) if len(last) >= 5 and dev > 0 else 0.0, abs=1e-4)
+            near = [x for t, _, x in series if s - 300 <= t <= s]
+            assert stats[i] == (len(near), pytest.approx(statistics.fmean(near), abs=1e-7), min(near), max(near))
