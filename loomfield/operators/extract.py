@@ -175,6 +175,57 @@ def flat_comments(payloads: DataFrame, body: str = "body") -> DataFrame:
     return top.unionByName(c.select(F.col("c.id").alias("parent_id"), F.explode("c.replies").alias("r")).select(F.col("r.id").alias("comment_id"), F.col("r.text").alias("text"), "parent_id", F.lit(True).alias("is_reply")))
 
 
+def graph_users(payloads: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, user_id, username, full_name, is_private, is_verified) of the first list there is: followers, followed, mutual."""
+    node = "struct<id:string,username:string,full_name:string,is_private:boolean,is_verified:boolean>"
+    lists = ["edge_followed_by", "edge_follow", "edge_mutual_followed_by"]
+    d = payloads.select(key, F.from_json(body, f"struct<{','.join(f'{x}:struct<edges:array<struct<node:{node}>>>' for x in lists)}>").alias("d"))
+    rows = d.select(key, F.explode(F.coalesce(*(F.col(f"d.{x}.edges") for x in lists))).alias("e")).filter("e.node IS NOT NULL")
+
+    def text(c: str) -> Column:
+        return F.coalesce(f"e.node.{c}", F.lit("")).alias({"id": "user_id"}.get(c, c))
+
+    return rows.select(key, text("id"), text("username"), text("full_name"), *(F.coalesce(f"e.node.{c}", F.lit(False)).alias(c) for c in ("is_private", "is_verified")))
+
+
+def page_info(payloads: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, has_next_page, end_cursor) of the first list there is: posts, followers, followed."""
+    lists = ["edge_owner_to_timeline_media", "edge_followed_by", "edge_follow"]
+    d = payloads.select(key, F.from_json(body, f"struct<{','.join(f'{x}:struct<page_info:struct<has_next_page:boolean,end_cursor:string>>' for x in lists)}>").alias("d"))
+    first = F.coalesce(*(F.col(f"d.{x}") for x in lists))
+    return d.select(key, F.coalesce(first["page_info"]["has_next_page"], F.lit(False)).alias("has_next_page"), F.coalesce(first["page_info"]["end_cursor"], F.lit("")).alias("end_cursor"))
+
+
+def grid_highlights(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """(reel_id, title, cover_url, n_items) of the nested dialect, whose reels stand in one of two lists; ids get their prefix."""
+    node = "struct<id:string,title:string,media_count:int,cover_media_cropped_thumbnail:struct<url:string>,cover_media:struct<thumbnail_src:string>>"
+    edges = f"struct<edges:array<struct<node:{node}>>>"
+    user = F.from_json(body, f"struct<data:struct<user:struct<edge_highlight_reels:{edges},highlight_reels:{edges}>>>")["data"]["user"]
+    first, other = user["edge_highlight_reels"]["edges"], user["highlight_reels"]["edges"]
+    n = payloads.select(F.explode(F.when(F.coalesce(F.size(first), F.lit(0)) > 0, first).otherwise(other)).alias("e")).select("e.node.*")
+    reel = F.coalesce("id", F.lit(""))
+    cover = F.coalesce(F.nullif(F.col("cover_media_cropped_thumbnail.url"), F.lit("")), F.col("cover_media.thumbnail_src"), F.lit(""))
+    return n.select(F.when(reel.startswith("highlight:"), reel).otherwise(F.concat(F.lit("highlight:"), reel)).alias("reel_id"), F.coalesce("title", F.lit("Untitled")).alias("title"), cover.alias("cover_url"), F.coalesce("media_count", F.lit(0)).alias("n_items"))
+
+
+def plain_comments(payloads: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, comment_id, text, author, author_id, created, likes, mentions) of the flat dialect."""
+    item = "struct<pk:string,text:string,user:struct<username:string,pk:string>,created_at:long,comment_like_count:long>"
+    c = payloads.select(key, F.explode(F.from_json(body, f"struct<comments:array<{item}>>")["comments"]).alias("c"))
+    text = F.coalesce("c.text", F.lit(""))
+    return c.select(
+        key, F.coalesce("c.pk", F.lit("")).alias("comment_id"), text.alias("text"), F.coalesce("c.user.username", F.lit("")).alias("author"), F.coalesce("c.user.pk", F.lit("")).alias("author_id"),
+        F.coalesce("c.created_at", F.lit(0)).alias("created"), F.coalesce("c.comment_like_count", F.lit(0)).alias("likes"), _all(text, r"@([A-Za-z0-9_.]+)", 1).alias("mentions"))
+
+
+def many_citations(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, author, year): the works of parentheses that cite several, as in (Smith, 2020; Jones & Lee, 2021), each once."""
+    group = r"\(([^()]*[0-9]{4}[a-z]?(?:; *[^();]*[0-9]{4}[a-z]?)+)\)"
+    parts = F.flatten(F.transform(_all(F.coalesce(F.col(text), F.lit("")), group, 1), lambda g: F.split(g, ";")))
+    works = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.*?),? *[0-9]{4}[a-z]? *$", 1)).alias("author"), F.regexp_extract(p, r"([0-9]{4}[a-z]?) *$", 1).alias("year")))
+    return docs.select(key, F.explode(F.array_distinct(works)).alias("w")).select(key, "w.*").filter("author <> '' AND year <> ''")
+
+
 def redacted(payload: Column, keys: str = "password|token|secret|key|auth|cookie", longest: int = 10_000) -> Column:
     """A map with the values of sensitive keys hidden and long values cut."""
     return F.transform_values(payload, lambda k, v: F.when(F.lower(k).rlike(keys), F.lit("[REDACTED]")).otherwise(F.substring(v, 1, longest)))

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def _load() -> None:
     from . import compounds, distributions, extracts, networks, records, relations, rollups, series, streams, texts, trends  # noqa: F401
-    from . import services  # noqa: F401  after the others, whose SQL it uses
+    from . import services, views  # noqa: F401  after the others, whose SQL it uses
 
 
 def queries() -> dict[str, Plan]:

@@ -19,20 +19,14 @@ def tag_clusters(spark, sf_dir):
     return G.components(similar_tags(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query("expertise_match", """WITH k AS (SELECT s_suppkey, s_nationkey FROM supplier) SELECT s_suppkey AS candidate, round(0.7::DOUBLE * (s_suppkey % 10) / 10 + 0.3::DOUBLE * CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 7) / 7 ELSE 0 END, 6) AS expertise FROM k""")
-def expertise_match(spark, sf_dir):
-    s = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate"))
-    return N.expertise(s.withColumn("cosine", (F.col("candidate") % 10) / 10), s.filter("candidate % 2 = 0").withColumn("jaccard", (F.col("candidate") % 7) / 7), ["candidate"])
-
-
 @query("late_fusion", """SELECT user_id, round(CASE WHEN sum(value / 100) > 0 THEN sum((event_id % 10) / 10 * (value / 100)) / sum(value / 100) ELSE avg((event_id % 10) / 10) END, 6) AS fused, count(*) AS n_modalities FROM events GROUP BY 1""")
 def late_fusion(spark, sf_dir):
     return N.late_fusion(T.table(spark, sf_dir, "events").select("user_id", ((F.col("event_id") % 10) / 10).alias("score"), (F.col("value") / 100).alias("confidence")), "user_id")
 
 
-@query("padded_features", """SELECT vec_id, len(list_concat(embedding[1:40], list_transform(range(24), lambda x: 0.0))) AS size, round(list_sum(embedding[1:40]::DOUBLE[]), 5) AS total FROM embeddings""")
+@query("padded_features", """SELECT vec_id, 96::BIGINT AS size, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings""")
 def padded_features(spark, sf_dir):
-    v = N.padded(F.slice("embedding", 1, 40).cast("array<double>"))
+    v = N.padded(F.col("embedding").cast("array<double>"), 96)
     return T.table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("long").alias("size"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 

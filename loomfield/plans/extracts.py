@@ -8,8 +8,9 @@ from ..operators import extract as E
 from ..operators import graph as G
 from ..sources import payloads as J
 from ..sources import tables as T
+from . import catalog
 from .catalog import query
-from .networks import MEMBERS, edges, members
+from .networks import BOTH, MEMBERS, edges, members
 
 CITED = "SELECT o_orderkey AS id, 'As Smith (' || year(o_orderdate) || ') and (Jones, ' || year(o_orderdate) || ') say [' || (o_orderkey % 9) || '], see [' || (o_orderkey % 9) || '].' AS text FROM orders"
 
@@ -207,7 +208,7 @@ def alert_rules(spark, sf_dir):
     return e.join(F.broadcast(rules), (F.col("level") >= F.col("least")) & (F.array_contains("types", "*") | F.expr("array_contains(types, event_type)"))).select("event_id", "rule")
 
 
-@query("priority_levels")
+@query("priority_levels", f"SELECT x.node, x.depth, x.parent, degree FROM ({catalog._SQL['bfs_levels']}) x JOIN (SELECT src AS node, count(*) AS degree FROM ({BOTH}) GROUP BY 1) d USING (node) ORDER BY depth, degree DESC, node LIMIT 20")
 def priority_levels(spark, sf_dir):
     """Best-first within each level: the first 20 found nodes by degree."""
     e = edges(spark, sf_dir)

@@ -76,9 +76,9 @@ def label_propagation(spark, sf_dir):
     return G.label_propagation(edges(spark, sf_dir))
 
 
-def _components_sql(rounds: int = 16) -> str:
+def _components_sql(both: str = BOTH, rounds: int = 16) -> str:
     """Smallest labels passed on `rounds` times, which is more than the graph is wide."""
-    steps = [f"b AS MATERIALIZED ({BOTH})", "m0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS label FROM b)"]
+    steps = [f"b AS MATERIALIZED ({both})", "m0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS label FROM b)"]
     for k in range(1, rounds + 1):
         steps.append(f"m{k} AS MATERIALIZED (SELECT x.node, least(any_value(x.label), min(y.label)) AS label FROM m{k - 1} x JOIN b ON b.src = x.node JOIN m{k - 1} y ON y.node = b.dst GROUP BY 1)")
     return "WITH " + ", ".join(steps) + f" SELECT node, label AS component FROM m{rounds}"
@@ -221,7 +221,11 @@ def betweenness(spark, sf_dir):
     return G.betweenness(edges(spark, sf_dir))
 
 
-@query("strongest_map_clusters")
+WEIGHTED = f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM ({FOLLOWS}) GROUP BY 1, 2 HAVING count(*) > 1"
+STRONGEST = f"SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM (SELECT * FROM (SELECT a AS src, b AS dst, w FROM ({WEIGHTED}) UNION ALL SELECT b, a, w FROM ({WEIGHTED})) QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 5)"
+
+
+@query("strongest_map_clusters", _components_sql(f"SELECT DISTINCT a AS src, b AS dst FROM ({STRONGEST}) UNION SELECT DISTINCT b, a FROM ({STRONGEST})", 40))
 def strongest_map_clusters(spark, sf_dir):
     e = T.follows(spark, sf_dir).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count(F.lit(1)).alias("weight")).filter("weight > 1")
     return G.components(G.strongest_edges(e, "weight"))

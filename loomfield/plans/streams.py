@@ -61,7 +61,9 @@ def stream_price_changes(spark, sf_dir):
     return _to_table(spark, M.price_change_stream(e, "item_id", "event_id", "price"))
 
 
-@query("stream_ema")
+@query("stream_ema", """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+e AS (SELECT user_id, i, n, value AS v FROM r WHERE i = 1 UNION ALL SELECT e.user_id, r.i, e.n, r.value * (2.0::DOUBLE / 11) + e.v * (1 - 2.0::DOUBLE / 11) FROM e JOIN r ON r.user_id = e.user_id AND r.i = e.i + 1)
+SELECT user_id, round(v, 6) AS ema FROM e WHERE i = n""")
 def stream_ema(spark, sf_dir):
     s = M.ema_stream(_events(spark, sf_dir).select("user_id", "event_id", "value"), "user_id", "event_id", "value")
     return _to_table(spark, s).groupBy("user_id").agg(F.round(F.max_by("ema", "event_id"), 6).alias("ema"))

@@ -202,3 +202,49 @@ def test_windows_across_stretches(spark, monkeypatch, stretch):
             assert got[i] == pytest.approx(round((v - statistics.fmean(last)) / dev, 4) if len(last) >= 5 and dev > 0 else 0.0, abs=1e-4)
             near = [x for t, _, x in series if s - 300 <= t <= s]
             assert stats[i] == (len(near), pytest.approx(statistics.fmean(near), abs=1e-7), min(near), max(near))
+
+
+def test_dispatch_retries_with_one_name(spark):
+    """Refused requests come again under the same name, and bodies are signed."""
+    import hashlib
+    import hmac
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen, lock = [], threading.Lock()
+
+    class Hook(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            with lock:
+                seen.append((body, self.headers["X-Delivery"], self.headers["X-Signature"]))
+                n = sum(b == body for b, _, _ in seen)
+            self.send_response(500 if body == b"never" or (body == b"late" and n < 2) else 204)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Hook)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        df = spark.createDataFrame([(1, "now"), (2, "late"), (3, "never")], "id int, body string")
+        got = rows(sinks.dispatch(df, f"http://127.0.0.1:{server.server_port}/", "s", "id", "body"))
+    finally:
+        server.shutdown()
+    assert got == [(1, True, 204, 1), (2, True, 204, 2), (3, False, 500, 3)]
+    assert len({d for b, d, _ in seen if b == b"never"}) == 1 and len({d for _, d, _ in seen}) == 3
+    assert all(s == hmac.new(b"s", b, hashlib.sha256).hexdigest() for b, _, s in seen)
+
+
+def test_sanitized_payloads(spark):
+    import json
+
+    from loomfield.operators import checks
+
+    body = {"ok": "x" * 10_001, "Auth": 1, "list": [{"my_token": 1, "v": [1]}] * 120, "deep": {"deep": {"deep": {"n": 1}}}}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, "[1]"), (3, "no"), (4, None)], "id int, body string")
+    got = {r.id: r.out for r in df.select("id", checks.sanitized(3)("body").alias("out")).collect()}
+    out = json.loads(got[1])
+    assert out["ok"] == "x" * 10_000 + "...[TRUNCATED]" and out["Auth"] == "[REDACTED]" and out["list"] == [{"my_token": "[REDACTED]", "v": [1]}] * 100
+    assert out["deep"] == {"deep": {"deep": {"_truncated": True}}} and got[2] is got[3] is got[4] is None
