@@ -69,19 +69,36 @@ def stream_ema(spark, sf_dir):
     return _to_table(spark, s).groupBy("user_id").agg(F.round(F.max_by("ema", "event_id"), 6).alias("ema"))
 
 
-@query("alert_cooldown")
+@query("alert_cooldown", """WITH RECURSIVE r AS (SELECT event_type, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events WHERE value > 90),
+e AS (SELECT event_type, i, [t] AS sent, t AS fired FROM r WHERE i = 1 UNION ALL SELECT event_type, i, CASE WHEN ok THEN list_append(recent, t) ELSE sent END, CASE WHEN ok THEN t END FROM
+ (SELECT *, t - list_last(sent) >= 300 AND len(recent) < 10 AS ok FROM (SELECT r.event_type, r.i, r.t, e.sent, list_filter(e.sent, lambda x: r.t - x < 3600) AS recent FROM e JOIN r ON r.event_type = e.event_type AND r.i = e.i + 1)))
+SELECT event_type, fired AS seconds FROM e WHERE fired IS NOT NULL""")
 def alert_cooldown(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").filter("value > 90").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     return M.alerts(e, "event_type", "seconds")
 
 
-@query("rate_limit_bucket")
+@query("rate_limit_bucket", """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+e AS (SELECT user_id, i, t, 2.0::DOUBLE AS level, true AS allowed FROM r WHERE i = 1 UNION ALL SELECT user_id, i, t, x - (x >= 1)::INT, x >= 1 FROM (SELECT r.*, least(3.0::DOUBLE, e.level + (r.t - e.t) * (1.0::DOUBLE / 3600)) AS x FROM e JOIN r ON r.user_id = e.user_id AND r.i = e.i + 1))
+SELECT user_id, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS n FROM e GROUP BY 1""")
 def rate_limit_bucket(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     return M.token_bucket(e, "user_id", "seconds", rate=1 / 3600, capacity=3).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("n"))
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", """WITH RECURSIVE r AS (SELECT user_id, event_id::DOUBLE AS t, value < 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+e AS (SELECT user_id, i, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS bad, 0.0::DOUBLE AS since FROM r WHERE i = 1 UNION ALL SELECT user_id, i, CASE WHEN st = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN trips THEN 'open' ELSE st END, bad, CASE WHEN trips THEN t ELSE since END FROM
+ (SELECT *, st <> 'open' AND NOT ok AND (st = 'half_open' OR bad >= 2) AS trips FROM (SELECT user_id, i, t, ok, st, since, CASE WHEN st = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END AS bad FROM
+  (SELECT r.*, e.bad, e.since, CASE WHEN e.state = 'open' AND r.t - e.since >= 500 THEN 'half_open' ELSE e.state END AS st FROM e JOIN r ON r.user_id = e.user_id AND r.i = e.i + 1))))
+SELECT user_id, state, count(*) AS n FROM e GROUP BY 1, 2""")
 def circuit_breaker(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("double").alias("t"), (F.col("value") < 60).alias("ok"))
     return M.circuit_breaker(e, "user_id", "t", "ok", failures=2, wait=500.0).groupBy("user_id", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sliding_rate_limit", """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+e AS (SELECT user_id, i, [t] AS held, true AS allowed FROM r WHERE i = 1 UNION ALL SELECT user_id, i, CASE WHEN len(recent) < 3 THEN list_append(recent, t) ELSE recent END, len(recent) < 3 FROM (SELECT r.user_id, r.i, r.t, list_filter(e.held, lambda x: r.t - x < 86400) AS recent FROM e JOIN r ON r.user_id = e.user_id AND r.i = e.i + 1))
+SELECT user_id, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS n FROM e GROUP BY 1""")
+def sliding_rate_limit(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return M.sliding_limit(e, "user_id", "seconds", most=3, window=86400.0).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("n"))
