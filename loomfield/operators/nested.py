@@ -64,7 +64,7 @@ def discovered_ids(pages: DataFrame, pattern: str, text: str, seen_at: str, now:
 def expertise(cosines: DataFrame, jaccards: DataFrame, keys: list[str]) -> DataFrame:
     """0.7 of the texts' cosine plus 0.3 of the keywords' Jaccard similarity; a missing side is 0."""
     j = cosines.join(jaccards, keys, "full_outer")
-    return j.select(*keys, F.round(0.7 * F.coalesce("cosine", F.lit(0.0)) + 0.3 * F.coalesce("jaccard", F.lit(0.0)), 6).alias("expertise"))
+    return j.select(*keys, F.round(0.7 * F.coalesce("cosine", F.lit(0.0)) + 0.3 * F.coalesce("jaccard", F.lit(0.0)), 8).alias("expertise"))
 
 
 def late_fusion(scores: DataFrame, key: str) -> DataFrame:

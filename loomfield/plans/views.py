@@ -175,7 +175,7 @@ PROFILES = "w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{4
 
 @query("expertise_match", f"""WITH {PROFILES}, z AS (SELECT k, sqrt(sum(weight * weight)) AS z FROM t GROUP BY 1), s AS (SELECT a.k AS manuscript, b.k AS candidate, sum(a.weight * b.weight) AS dot FROM t a JOIN t b USING (token) WHERE starts_with(a.k, 'm') AND NOT starts_with(b.k, 'm') GROUP BY 1, 2),
 top AS (SELECT k, list(token) AS kw FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY weight DESC, token) <= 10) GROUP BY 1)
-SELECT manuscript, candidate, round(0.7::DOUBLE * round(dot / (x.z * y.z), 6) + 0.3::DOUBLE * round(len(list_intersect(p.kw, q.kw)) / len(list_distinct(list_concat(p.kw, q.kw))), 6), 6) AS expertise FROM s JOIN z x ON x.k = manuscript JOIN z y ON y.k = candidate JOIN top p ON p.k = manuscript JOIN top q ON q.k = candidate""")
+SELECT manuscript, candidate, round(0.7::DOUBLE * round(dot / (x.z * y.z), 6) + 0.3::DOUBLE * round(len(list_intersect(p.kw, q.kw)) / len(list_distinct(list_concat(p.kw, q.kw))), 6), 8) AS expertise FROM s JOIN z x ON x.k = manuscript JOIN z y ON y.k = candidate JOIN top p ON p.k = manuscript JOIN top q ON q.k = candidate""")
 def expertise_match(spark, sf_dir):
     """Every benchmark text as a manuscript against every source's documents as a candidate's profile: cosine of TF-IDF weights
     and overlap of the ten heaviest words."""
