@@ -11,13 +11,21 @@ from ..functions.lineage import checkpointed
 
 def cooccurrence(items: DataFrame, group: str, item: str, least_weight: int = 2, top: int | None = None, least_freq: int = 1) -> DataFrame:
     """(a, b, weight), a < b: items that share at least least_weight groups; only the `top` most frequent ones, ties by
-    the item, that occur in least_freq groups at least. The top list is a bounded broadcast."""
+    the item, that occur in least_freq groups at least.
+
+    The top list is a bounded broadcast, and with one a group's set is bounded too, so pairs are made within rows. Without
+    one, groups meet themselves in a join, which is quadratic in a group's size by nature.
+    """
     rows = items.select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
     if top or least_freq > 1:
         freq = rows.groupBy("x").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least_freq)
         if top:
             freq = F.broadcast(freq.orderBy(F.desc("f"), "x").limit(top).select("x"))
         rows = rows.join(freq.select("x"), "x", "left_semi")
+    if top:
+        sets = rows.groupBy("g").agg(F.sort_array(F.collect_set("x")).alias("s")).filter(F.size("s") > 1)
+        pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.lit(top)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least_weight)
     left, right = rows.select("g", F.col("x").alias("a")), rows.select("g", F.col("x").alias("b"))
     return left.join(right, "g").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least_weight)
 
