@@ -280,7 +280,8 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     have any names: they travel as one struct.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    others = [F.col(f"`{c}`") for c in columns if c not in (text_col, count_col)]
+    rows = docs.select(F.struct(*others, F.lit(None).cast("boolean").alias("")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     without = rows.filter(~has_entities(F.col("text"))).select("row", "text", F.lit(0).cast("long").alias("n"))
     having = rows.filter(has_entities(F.col("text"))).withColumn("pattern", entity_pattern(F.col("text")))
     having = having.select("row", "text", "pattern", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"))
