@@ -166,10 +166,15 @@ def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(at, F.lit(len(values))) + 1).cast("int"))
 
 
-def candidate(key: str, kind: Column, norm: Column, gender: Column, draw: Column) -> Column:
-    """The surrogate of a part at a draw, in the form of norm: lower case, ungrouped."""
-    seed = F.concat_ws("|", F.lit(key), kind, draw.cast("string"), norm)
-    digest = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("|2")), 512))
+def drawn_surrogates(parts: DataFrame, key: str, draw: int) -> DataFrame:
+    """parts (kind, norm, gender) with the surrogate of each at a draw, in the form of norm: lower case, ungrouped.
+
+    What several parts of the expression need is a column first, so that none is made twice and the generated code stays small.
+    """
+    kind, norm, gender = F.col("kind"), F.col("norm"), F.col("gender")
+    digest, plain = F.col("digest"), F.col("plain")
+    seed = F.concat_ws("|", F.lit(key), kind, F.lit(str(draw)), norm)
+    rows = parts.select("kind", "norm", "gender", F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("|2")), 512)).alias("digest"))
 
     def byte(i: Column) -> Column:
         return F.conv(F.substring(digest, F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -188,36 +193,38 @@ def candidate(key: str, kind: Column, norm: Column, gender: Column, draw: Column
 
     n = F.length(norm)
     long = F.substring(F.repeat(digest, F.ceil(n / 256).cast("int")), F.lit(1), n)
-    plain = F.when(n > LONG, long).when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), char), "")).otherwise(F.lit(""))
+    rows = rows.withColumn("plain", F.when(n > LONG, long).when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), char), "")).otherwise(F.lit("")))
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
-    right = F.filter(F.array(*(F.concat(body, F.lit(str(d))) for d in range(10))), _luhn_ok)[0]
+    rows = rows.withColumn("right", F.when(kind == "card", F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), _luhn_ok)[0]))
+    right = F.col("right")
     wrong = F.concat(body, F.pmod(F.substring(right, F.length(right), F.lit(1)).cast("int") + 1 + F.pmod(byte(F.lit(99)), F.lit(9)), F.lit(10)).cast("string"))
     card = F.when(_luhn_ok(norm), right).otherwise(wrong)
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), n)
-    right = 98 - _mod97(F.concat(account, country, F.lit("00")))
+    rows = rows.withColumn("check", F.when(kind == "iban", 98 - _mod97(F.concat(account, country, F.lit("00")))))
+    check = F.col("check")
     was_right = _mod97(F.concat(F.substring(norm, F.lit(5), n), F.substring(norm, 1, 4))) == 1
-    digits = F.when(was_right, right).when(right == 98, 50).otherwise(right + 1)
+    digits = F.when(was_right, check).when(check == 98, 50).otherwise(check + 1)
     iban = F.concat(country, F.lpad(digits.cast("string"), 2, "0"), account)
     octet = [F.substring_index(F.substring_index(norm, ".", k), ".", -1).cast("int") for k in range(1, 5)]
     private = (octet[0] == 10) | (octet[0] == 127) | ((octet[0] == 192) & (octet[1] == 168)) | ((octet[0] == 172) & octet[1].between(16, 31))
-    late = private & (octet[0] != 127) & (draw >= LENGTHEN_FROM)
+    late = private & (octet[0] != 127) & F.lit(draw >= LENGTHEN_FROM)
     octet[0] = F.when(late, 10).otherwise(octet[0])
     fixed = F.when(octet[0].isin(10, 127), 1).when(private, 2).otherwise(0)
     public_first = F.pmod(byte(F.lit(1)), F.lit(112)) + 11  # 11 to 122: neither private nor reserved as a first octet
     drawn = [F.when(F.lit(k) < fixed, octet[k]).otherwise(public_first if k == 0 else F.pmod(byte(F.lit(k + 1)) * 251 + byte(F.lit(k + 9)), F.lit(254)) + 1).cast("string") for k in range(4)]
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
-    first = {g: F.when(cyrillic, F.concat(_pick(FIRST_CYRILLIC.get(g, FIRST_CYRILLIC["m"]), byte(F.lit(1))), F.when(draw >= 4, _pick(SYLLABLES_CYRILLIC, byte(F.lit(2)))).otherwise(F.lit(""))))
-             .otherwise(F.concat(_pick(FIRST[g], byte(F.lit(1))), F.when(draw >= 4, _pick(SYLLABLES, byte(F.lit(2)))).otherwise(F.lit("")))) for g in ("m", "f", "n")}
+    first = {g: F.when(cyrillic, F.concat(_pick(FIRST_CYRILLIC.get(g, FIRST_CYRILLIC["m"]), byte(F.lit(1))), _pick(SYLLABLES_CYRILLIC, byte(F.lit(2))) if draw >= 4 else F.lit("")))
+             .otherwise(F.concat(_pick(FIRST[g], byte(F.lit(1))), _pick(SYLLABLES, byte(F.lit(2))) if draw >= 4 else F.lit(""))) for g in ("m", "f", "n")}
     named = F.when(gender == "m", first["m"]).when(gender == "f", first["f"]).otherwise(first["n"])
     last = F.when(cyrillic, F.concat(*(_pick(SYLLABLES_CYRILLIC, byte(F.lit(k))) for k in (1, 2, 3)), _pick(ENDINGS_CYRILLIC, byte(F.lit(4))))).otherwise(
         F.concat(*(_pick(SYLLABLES, byte(F.lit(k))) for k in (1, 2, 3)), _pick(ENDINGS, byte(F.lit(4)))))
     tail = F.when(kind == "phone", F.translate(digest, "abcdef", "012345")).otherwise(F.translate(digest, "0123456789", "ghijklmnop"))
-    more = F.when((draw >= LENGTHEN_FROM) & ~kind.isin("ip", "card", "ssn", "iban", "mac", "ipv6"), F.substring(tail, F.lit(200), draw - LENGTHEN_FROM + 1)).otherwise(F.lit(""))
+    more = F.when(kind.isin("ip", "card", "ssn", "iban", "mac", "ipv6"), "").otherwise(F.substring(tail, 200, max(0, draw - LENGTHEN_FROM + 1)))
     form = (
         F.when(kind == "ip", F.concat_ws(".", *drawn)).when(kind == "card", card).when(kind == "iban", iban).when(kind == "first", F.lower(named))
         .when(kind == "last", last).otherwise(plain)
     )
-    return F.concat(form, more)
+    return rows.select("kind", "norm", "gender", F.concat(form, more).alias("surrogate"))
 
 
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
@@ -231,7 +238,7 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
     space = checkpointed(parts.groupBy("kind", "norm").agg(told[0].alias("m"), told[1].alias("f")).select("kind", "norm", gender.alias("gender")))
     pending, done, taken = space, [], space.select("kind", F.col("norm").alias("used"))
     for draw in range(DRAWS):
-        drawn = checkpointed(pending.withColumn("surrogate", candidate(key, F.col("kind"), F.col("norm"), F.col("gender"), F.lit(draw))))
+        drawn = checkpointed(drawn_surrogates(pending, key, draw))
         best = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
         good = best.join(taken.withColumnRenamed("used", "surrogate"), ["kind", "surrogate"], "left_anti")
         good = checkpointed(good.select("kind", "norm", "surrogate"))
