@@ -165,7 +165,8 @@ def permutation_importance(rows: DataFrame, predict, features: list[str], label:
     from pyspark.sql.window import Window
 
     spark = rows.sparkSession
-    base = rows.withColumn("__k", F.xxhash64(F.lit(seed), *features, label)).withColumn("__b", F.pmod("__k", F.lit(64)))
+    buckets = max(64, rows.count() // 100_000)
+    base = rows.withColumn("__k", F.xxhash64(F.lit(seed), *features, label)).withColumn("__b", F.pmod("__k", F.lit(buckets)))
 
     def accuracy(df: DataFrame) -> float:
         return predict(df).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0

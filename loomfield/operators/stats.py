@@ -106,6 +106,23 @@ def tail_metrics(items: DataFrame, keys: list[str], value: str, quantile: float
     return out.withColumn("tail", F.when(F.col("kurtosis") > 3, "heavy").when(F.col("kurtosis") > 0, "moderate").otherwise("light"))
 
 
+#: Running totals over values go in so many stretches of values.
+STRETCHES = 1024
+
+
+def running_total(counts: DataFrame, keys: list[str], value: str, count: str, total: str) -> DataFrame:
+    """counts with the sum of `count` up to each row's value within its keys: sums of stretches of values first, then
+    within the stretches, so that no window spans more than a stretch or the stretches' sums (STRETCHES rows a key, broadcast:
+    for few keys)."""
+    ends = counts.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    at = F.least(F.lit(STRETCHES - 1), F.floor((F.col(value) - F.col("__lo")) * STRETCHES / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))))
+    rows = counts.crossJoin(F.broadcast(ends)).withColumn("__at", F.coalesce(at, F.lit(0))).drop("__lo", "__hi")
+    w = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "__at").agg(F.sum(count).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(w), F.lit(0)))
+    inside = F.sum(count).over(Window.partitionBy(*keys, "__at").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__inside", inside).join(F.broadcast(before.drop("__sum")), [*keys, "__at"]).withColumn(total, F.col("__before") + F.col("__inside")).drop("__at", "__before", "__inside")
+
+
 def outliers(items: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
     """Rows whose z-score over all rows exceeds the threshold, with their percentile rank (ties take the highest).
 
@@ -115,8 +132,8 @@ def outliers(items: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
     far = items.crossJoin(F.broadcast(m)).filter((F.col("sd") > 0) & (F.abs(F.col(value) - F.col("m")) > threshold * F.col("sd")))
     below = items.select(F.col(value).alias("x")).crossJoin(F.broadcast(m.select("m", "sd"))).filter(F.abs(F.col("x") - F.col("m")) <= threshold * F.col("sd")).agg(F.count(F.lit(1)).alias("inner"))
     counts = far.groupBy(value, "m").agg(F.count(F.lit(1)).alias("c"))
-    side = (F.col(value) > F.col("m"))
-    ranked = counts.withColumn("cum", F.sum("c").over(Window.partitionBy(side).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    side = F.col(value) > F.col("m")
+    ranked = running_total(counts.withColumn("__side", side), ["__side"], value, "c", "cum")
     low = counts.filter(~side).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("low"))
     upto = ranked.crossJoin(F.broadcast(below)).crossJoin(F.broadcast(low)).select(F.col(value).alias("__v"), F.when(side, F.col("cum") + F.col("inner") + F.col("low")).otherwise(F.col("cum")).alias("upto"))
     return far.join(upto, F.col(value) == F.col("__v")).withColumn("z", F.round((F.col(value) - F.col("m")) / F.col("sd"), 4)).withColumn("percentile", F.round(F.col("upto") * 100 / F.col("n"), 4)).drop("m", "sd", "n", "__v", "upto")
