@@ -196,6 +196,29 @@ def page_info(payloads: DataFrame, key: str, body: str = "body") -> DataFrame:
     return d.select(key, F.coalesce(first["page_info"]["has_next_page"], F.lit(False)).alias("has_next_page"), F.coalesce(first["page_info"]["end_cursor"], F.lit("")).alias("end_cursor"))
 
 
+def profile_page(html: Column, name: Column) -> Column:
+    """struct(username, followers, following, posts, source) of a profile's page, by the first of four ways that finds its user:
+    the shared data, the additional data, a definition anywhere that holds the user's name, single fields."""
+    user = "struct<username:string,edge_followed_by:struct<count:long>,edge_follow:struct<count:long>,edge_owner_to_timeline_media:struct<count:long>>"
+
+    def shaped(u: Column, source: str) -> Column:
+        counts = [u[k]["count"].alias(n) for k, n in (("edge_followed_by", "followers"), ("edge_follow", "following"), ("edge_owner_to_timeline_media", "posts"))]
+        return F.when(u["username"].isNotNull(), F.struct(u["username"].alias("username"), *counts, F.lit(source).alias("source")))
+
+    shared = F.regexp_extract(html, r"(?s)window\._sharedData\s*=\s*(\{.*?\});</script>", 1)
+    more = F.regexp_extract(html, r"(?s)window\.__additionalDataLoaded\([^,]*,\s*(\{.*?\})\);</script>", 1)
+    of_shared = F.get(F.from_json(shared, f"struct<entry_data:struct<ProfilePage:array<struct<graphql:struct<user:{user}>>>>>")["entry_data"]["ProfilePage"], F.lit(0))["graphql"]["user"]
+    of_more = F.from_json(more, f"struct<graphql:struct<user:{user}>>")["graphql"]["user"]
+    found = F.regexp_extract(html, r'(?s)"user":(\{"username":"[^"]*".*?\}\})', 1)
+    of_found = F.from_json(found, user)
+
+    def number(field: str) -> Column:
+        return F.nullif(F.regexp_extract(html, rf'"{field}":\{{"count":(\d+)', 1), F.lit("")).cast("long")
+
+    fields = F.struct(name.alias("username"), number("edge_followed_by").alias("followers"), number("edge_follow").alias("following"), number("edge_owner_to_timeline_media").alias("posts"), F.lit("fields").alias("source"))
+    return F.coalesce(shaped(of_shared, "shared"), shaped(of_more, "additional"), F.when(of_found["username"] == name, shaped(of_found, "definition")), F.when(number("edge_followed_by").isNotNull(), fields))
+
+
 def grid_highlights(payloads: DataFrame, body: str = "body") -> DataFrame:
     """(reel_id, title, cover_url, n_items) of the nested dialect, whose reels stand in one of two lists; ids get their prefix."""
     node = "struct<id:string,title:string,media_count:int,cover_media_cropped_thumbnail:struct<url:string>,cover_media:struct<thumbnail_src:string>>"

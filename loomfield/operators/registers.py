@@ -65,3 +65,22 @@ def last_averages(points: DataFrame, name: str, ts: str, tie: str, value: str, l
     w = Window.partitionBy(name).orderBy(F.desc(ts), F.desc(tie))
     rows = points.select(name, ts, tie, value, F.row_number().over(w).alias("__r")).filter(F.col("__r") <= last)
     return rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("average"))
+
+
+def model_registry(log: DataFrame, model: str = "model", order: str = "moved") -> DataFrame:
+    """(model, n_versions, latest, production, needs_update) of a log (model, order, version, action): versions registered, the one
+    registered last, the one promoted or rolled back to last (null if none), and whether the former is a newer number."""
+    registered = F.col("action") == "register"
+    rows = log.groupBy(model).agg(
+        F.count_distinct(F.when(registered, F.col("version"))).alias("n_versions"), F.max_by("version", F.when(registered, F.col(order))).alias("latest"),
+        F.max_by("version", F.when(~registered, F.col(order))).alias("production"))
+    return rows.withColumn("needs_update", F.coalesce(F.col("latest") > F.col("production"), F.col("latest").isNotNull()))
+
+
+def harvest_marks(log: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, status, at, n_rows, error) of a harvest's log (key, order, mark, rows, error): its last mark, when, what it has fetched
+    since it last started, and the error of a failure."""
+    started = log.groupBy(key).agg(F.max(F.when(F.col("mark") == "started", F.col(order))).alias("__from"))
+    rows = log.join(started, key).filter(F.col("__from").isNull() | (F.col(order) >= F.col("__from")))
+    last = F.max(F.struct(F.col(order).alias("at"), F.col("mark").alias("status"), "error"))
+    return rows.groupBy(key).agg(last.alias("x"), F.sum(F.coalesce("rows", F.lit(0))).alias("n_rows")).select(key, "x.status", "x.at", "n_rows", F.when(F.col("x.status") == "failed", F.col("x.error")).alias("error"))

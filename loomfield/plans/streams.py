@@ -102,3 +102,13 @@ SELECT user_id, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS n FROM e
 def sliding_rate_limit(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     return M.sliding_limit(e, "user_id", "seconds", most=3, window=86400.0).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_filtered", """SELECT event_id, event_type, value FROM events WHERE value >= 50 AND event_type <> 'view'""")
+def stream_filtered(spark, sf_dir):
+    """A stream's rows that pass all tests, written batch by batch; a run that is broken off goes on from its checkpoint."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = _events(spark, sf_dir).select("event_id", "event_type", "value")
+    q = M.filtered_sink(rows, [F.col("value") >= 50, F.col("event_type") != "view"], lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}"), f"{at}/checkpoint")
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows").select("event_id", "event_type", "value")

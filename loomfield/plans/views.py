@@ -8,6 +8,7 @@ from ..operators import checks as C
 from ..operators import extract as E
 from ..operators import geo
 from ..operators import nested as N
+from ..operators import registers as R
 from ..operators import text as X
 from ..sources import sinks as K
 from ..sources import tables as T
@@ -190,3 +191,33 @@ def expertise_match(spark, sf_dir):
     pairs = cosine.join(top.select(F.col("k").alias("manuscript"), F.col("kw").alias("x")), "manuscript").join(top.select(F.col("k").alias("candidate"), F.col("kw").alias("y")), "candidate")
     words = pairs.select("manuscript", "candidate", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
     return N.expertise(cosine, words, ["manuscript", "candidate"])
+
+
+@query("profile_pages", """SELECT p_partkey, 'u' || p_partkey AS username, p_size::BIGINT AS followers, 7::BIGINT AS following, 3::BIGINT AS posts, ['shared', 'additional', 'definition', 'fields'][(p_partkey % 4 + 1)::INT] AS source FROM part""")
+def profile_pages(spark, sf_dir):
+    k, m = _text("p_partkey"), F.col("p_partkey") % 4
+    counts = F.concat(F.lit('"edge_followed_by":{"count":'), _text("p_size"), F.lit('},"edge_follow":{"count":7},"edge_owner_to_timeline_media":{"count":3}'))
+    user = F.concat(F.lit('{"username":"u'), k, F.lit('",'), counts, F.lit("}"))
+    page = (
+        F.when(m == 0, F.concat(F.lit('<script>window._sharedData = {"entry_data":{"ProfilePage":[{"graphql":{"user":'), user, F.lit("}}]}};</script>")))
+        .when(m == 1, F.concat(F.lit('<script>window.__additionalDataLoaded("/p/", {"graphql":{"user":'), user, F.lit("}});</script>")))
+        .when(m == 2, F.concat(F.lit('<script>require("x", {"user":'), user, F.lit("})</script>"))).otherwise(F.concat(F.lit("<script>odd "), counts, F.lit("</script>"))))
+    found = E.profile_page(page, F.concat(F.lit("u"), k))
+    return T.table(spark, sf_dir, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.*")
+
+
+REGISTRY = "SELECT user_id AS model, event_id AS moved, event_id % 9 AS version, CASE event_type WHEN 'purchase' THEN 'promote' WHEN 'signup' THEN 'rollback' ELSE 'register' END AS action FROM events"
+
+
+@query("model_registry", f"""WITH l AS ({REGISTRY}), g AS (SELECT model, count(DISTINCT version) FILTER (WHERE action = 'register') AS n_versions, max_by(version, moved) FILTER (WHERE action = 'register') AS latest, max_by(version, moved) FILTER (WHERE action <> 'register') AS production FROM l GROUP BY 1) SELECT *, coalesce(latest > production, latest IS NOT NULL) AS needs_update FROM g""")
+def model_registry(spark, sf_dir):
+    action = F.when(F.col("event_type") == "purchase", "promote").when(F.col("event_type") == "signup", "rollback").otherwise("register")
+    return R.model_registry(T.table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), F.col("event_id").alias("moved"), (F.col("event_id") % 9).alias("version"), action.alias("action")))
+
+
+@query("harvest_marks", """WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'page' END AS mark, event_id % 50 AS rows, 'e' || event_id AS error FROM events), s AS (SELECT user_id, max(event_id) FILTER (WHERE mark = 'started') AS f FROM l GROUP BY 1), r AS (SELECT l.* FROM l JOIN s USING (user_id) WHERE f IS NULL OR event_id >= f)
+SELECT user_id, max_by(mark, event_id) AS status, max(event_id) AS at, sum(rows)::BIGINT AS n_rows, CASE WHEN max_by(mark, event_id) = 'failed' THEN max_by(error, event_id) END AS error FROM r GROUP BY 1""")
+def harvest_marks(spark, sf_dir):
+    mark = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("page")
+    log = T.table(spark, sf_dir, "events").select("user_id", "event_id", mark.alias("mark"), (F.col("event_id") % 50).alias("rows"), F.concat(F.lit("e"), _text("event_id")).alias("error"))
+    return R.harvest_marks(log, "user_id", "event_id")

@@ -248,3 +248,47 @@ def test_sanitized_payloads(spark):
     out = json.loads(got[1])
     assert out["ok"] == "x" * 10_000 + "...[TRUNCATED]" and out["Auth"] == "[REDACTED]" and out["list"] == [{"my_token": "[REDACTED]", "v": [1]}] * 100
     assert out["deep"] == {"deep": {"deep": {"_truncated": True}}} and got[2] is got[3] is got[4] is None
+
+
+def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
+    """A second run with the same checkpoint hands over the new rows only, even if the first one was broken off in its sink."""
+    from loomfield.streaming import metrics as M
+
+    def put(n, values):
+        spark.createDataFrame([(v,) for v in values], "v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    seen, broken = [], [True]
+
+    def write(batch, n):
+        got = sorted(r.v for r in batch.collect())
+        if got and broken[0]:
+            broken[0] = False
+            raise RuntimeError("sink is down")
+        seen.extend(got)
+
+    def run():
+        stream = spark.readStream.schema("v int").parquet(str(tmp_path / "in"))
+        q = M.filtered_sink(stream, [F.col("v") > 2, F.col("v") % 2 == 1], write, str(tmp_path / "checkpoint"))
+        q.awaitTermination()
+
+    put(1, range(6))
+    with pytest.raises(Exception, match="sink is down"):
+        run()
+    run()
+    put(2, range(6, 10))
+    run()
+    run()
+    assert sorted(seen) == [3, 5, 7, 9]
+
+
+def test_profile_page_takes_the_first_way(spark):
+    from loomfield.operators import extract
+
+    user = '{"username":"u","edge_followed_by":{"count":5}}'
+    pages = [
+        (1, '<script>window._sharedData = {"entry_data":{"ProfilePage":[{"graphql":{"user":' + user + "}}]}};</script>"), (2, '<p>"user":{"username":"other","edge_followed_by":{"count":9}}</p>'), (3, "nothing"), (4, None),
+        (5, "<script>window._sharedData = broken;</script>" + '"edge_follow":{"count":2},"edge_followed_by":{"count":8}'),
+    ]
+    df = spark.createDataFrame(pages, "id int, html string").select("id", extract.profile_page(F.col("html"), F.lit("u")).alias("x"))
+    got = {r.id: r.x and (r.x.username, r.x.followers, r.x.following, r.x.source) for r in df.collect()}
+    assert got == {1: ("u", 5, None, "shared"), 2: ("u", 9, None, "fields"), 3: None, 4: None, 5: ("u", 8, 2, "fields")}
