@@ -22,7 +22,8 @@ CITIES = [
 
 def nearest_city(points: DataFrame, lat: str = "lat", lng: str = "lng", within: float = 100.0, cities: list[tuple] = CITIES) -> DataFrame:
     """points with city and distance_km of the nearest city, null beyond `within`. The short list is part of the plan."""
-    options = F.array(*(F.struct(F.round(haversine(F.col(lat), F.col(lng), F.lit(y), F.lit(x)), 6).alias("d"), F.lit(n).alias("name")) for n, y, x in cities))
+    table = F.array(*(F.struct(F.lit(float(y)).alias("y"), F.lit(float(x)).alias("x"), F.lit(n).alias("name")) for n, y, x in cities))
+    options = F.transform(table, lambda c: F.struct(F.round(haversine(F.col(lat), F.col(lng), c["y"], c["x"]), 6).alias("d"), c["name"].alias("name")))
     best = points.withColumn("__b", F.array_min(options))
     near = F.col("__b.d") <= within
     return best.withColumn("city", F.when(near, F.col("__b.name"))).withColumn("distance_km", F.when(near, F.col("__b.d"))).drop("__b")
