@@ -5,8 +5,8 @@ numbers, access keys, labelled secrets) are found by one pattern. A surname foun
 the rest of its document too, alone or after a first name. An entity is made of parts, and each distinct part of the corpus gets
 one keyed surrogate, so that the same part has the same surrogate everywhere, in whatever case or grouping it is written:
 a name's surname, a mail address's domain. A surrogate has the part's type and format: digits for digits, letters for
-letters of the same case, hexadecimal for hexadecimal, a card number keeps its first digit and an account number its country,
-and both whether their check digits are right. A first name has one surrogate whatever form of address it stands after; its
+letters of the same case, hexadecimal for hexadecimal, a card number keeps its first digit and is right by its check digit, as only
+such numbers are taken for cards; an account number keeps its country and whether its check digits are right. A first name has one surrogate whatever form of address it stands after; its
 gender is that of the forms of address it is seen with anywhere, neutral if they tell none or both; names keep the script.
 
 Collision check: candidates of all parts of a type are compared corpus-wide. A candidate that two parts share,
@@ -133,6 +133,7 @@ def _parts(raw: Column, kind: Column) -> Column:
         .when((kind == "bare") & (group(bare, 2) != ""), F.array(part("first", group(bare, 1), F.lit("n")), part("", group(bare, 2)), part("last", group(bare, 3))))
         .when(kind == "bare", F.array(part("last", group(bare, 3))))
         .when(kind == "key", F.array(part("", group(key, 1)), part("key", group(key, 2))))
+        .when((kind == "card") & ~_luhn_ok(F.regexp_replace(raw, "[^0-9]", "")), F.array(part("", raw)))
         .when(kind == "phone", F.array(part("", group(phone, 1)), part("phone", group(phone, 2))))
         .otherwise(F.array(part(kind, raw)))
     )
@@ -196,9 +197,6 @@ def drawn_surrogates(parts: DataFrame, key: str, draw: int) -> DataFrame:
     rows = rows.withColumn("plain", F.when(n > LONG, long).when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), char), "")).otherwise(F.lit("")))
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     rows = rows.withColumn("right", F.when(kind == "card", F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), _luhn_ok)[0]))
-    right = F.col("right")
-    wrong = F.concat(body, F.pmod(F.substring(right, F.length(right), F.lit(1)).cast("int") + 1 + F.pmod(byte(F.lit(99)), F.lit(9)), F.lit(10)).cast("string"))
-    card = F.when(_luhn_ok(norm), right).otherwise(wrong)
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), n)
     rows = rows.withColumn("check", F.when(kind == "iban", 98 - _mod97(F.concat(account, country, F.lit("00")))))
     check = F.col("check")
@@ -221,7 +219,7 @@ def drawn_surrogates(parts: DataFrame, key: str, draw: int) -> DataFrame:
     tail = F.when(kind == "phone", F.translate(digest, "abcdef", "012345")).otherwise(F.translate(digest, "0123456789", "ghijklmnop"))
     more = F.when(kind.isin("ip", "card", "ssn", "iban", "mac", "ipv6"), "").otherwise(F.substring(tail, 200, max(0, draw - LENGTHEN_FROM + 1)))
     form = (
-        F.when(kind == "ip", F.concat_ws(".", *drawn)).when(kind == "card", card).when(kind == "iban", iban).when(kind == "first", F.lower(named))
+        F.when(kind == "ip", F.concat_ws(".", *drawn)).when(kind == "card", F.col("right")).when(kind == "iban", iban).when(kind == "first", F.lower(named))
         .when(kind == "last", last).otherwise(plain)
     )
     return rows.select("kind", "norm", "gender", F.concat(form, more).alias("surrogate"))
@@ -298,7 +296,8 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     outs = occurrences.join(replaced, "raw").groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "replacement"))), lambda x: x["replacement"]).alias("outs"))
     joined = having.join(outs, "at").withColumn("gaps", F.split("text", F.col("pattern"), -1))
     whole = F.concat(F.transform("outs", lambda e, i: F.concat(F.get("gaps", i), e)), F.array(F.element_at("gaps", -1)))
-    joined = joined.select("row", F.array_join(whole, "").alias("text"), F.size("outs").cast("long").alias("n"))
+    changed = F.size(F.filter(F.zip_with("found", "outs", lambda a, b: a != b), lambda x: x))
+    joined = joined.select("row", F.array_join(whole, "").alias("text"), changed.cast("long").alias("n"))
     out = without.unionByName(joined)
     kept = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns if c != count_col]
     return out.select(*kept, *([F.col("n").alias(count_col)] if count_col else []))

@@ -305,6 +305,15 @@ def test_pii_account_check_digits(spark):
     assert all(got[i][:2] == t[:2] and got[i] != t and [c.isalpha() for c in got[i]] == [c.isalpha() for c in t] for i, t in texts)
 
 
+def test_pii_leaves_other_numbers(spark):
+    """Digits whose check digit is wrong are no card; they stay, beside one that goes, and alone."""
+    texts = [(1, "card 4111111111111111 but 4111111111111112 and 9807915762804490"), (2, "only 1219538112535716 here")]
+    got = {r.doc_id: r for r in pii.replace_pii(docs(spark, texts), "k", count_col="n").collect()}
+    m = re.fullmatch(r"card (4\d{15}) but 4111111111111112 and 9807915762804490", got[1].text)
+    assert m and luhn(m[1]) and m[1] != "4111111111111111" and got[1].n == 1
+    assert got[2].text == texts[1][1] and got[2].n == 0
+
+
 def test_pii_crowded_addresses(spark):
     """Of a private block with half of its addresses taken, later surrogates move to the largest block."""
     ips = [f"192.168.{a}.{b}" for a in range(1, 255) for b in range(1, 255, 2)]
@@ -319,13 +328,13 @@ def test_pii_brute_force(spark):
 
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r for r in pii.replace_pii(rows, "k", count_col="n").collect()}
-    entity, name = regex.compile(pii.ENTITY), regex.compile(pii.PATTERNS["name"])
+    entity, name, card = (regex.compile(p) for p in (pii.ENTITY, pii.PATTERNS["name"], pii.PATTERNS["card"]))
     forward, back, changed = {}, {}, 0
     for r in rows.collect():
         text = r.text or ""
         last = {x for m in entity.finditer(text) if name.fullmatch(m[0]) for x in [regex.search(r"[\p{L}'-]+$", m[0])[0]] if len(x) > 2}
         whole = entity if not last else regex.compile(pii.ENTITY + "|" + pii.BARE.replace("SURNAMES", "|".join(sorted(last | {x.upper() for x in last}))))
-        spans = [m.span() for m in whole.finditer(text)]
+        spans = [m.span() for m in whole.finditer(text) if luhn(m[0]) or not card.fullmatch(m[0])]
         assert got[r.doc_id].n == len(spans)
         changed += bool(spans)
         gaps = [text[a:b] for a, b in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(text)])]
