@@ -102,7 +102,7 @@ def bibtex(papers: DataFrame) -> DataFrame:
     pages, doi, url, abstract).
 
     Key: last word of the first author, year, first word of the title in lower case. Of papers with one key the first (by
-    paper_id) keeps it, later ones get a, b, ... z, aa and so on. Abstracts stop at 500 characters, as the format has it.
+    paper_id) keeps it, later ones get a, b, ... z, aa and so on (after zz the first letter goes on through the code points). Abstracts stop at 500 characters, as the format has it.
     """
     x = _texts(papers, ["title", "year", "journal", "volume", "issue", "pages", "doi", "url", "abstract"])
     authors = _names(papers, "author_names")
@@ -116,7 +116,9 @@ def bibtex(papers: DataFrame) -> DataFrame:
     rows = papers.select("paper_id", F.concat(last, year, word).alias("base"), body.alias("body"))
     n = F.row_number().over(Window.partitionBy("base").orderBy("paper_id")) - 1  # 0 for the one that keeps the key
     letter = F.char((F.lit(97) + F.pmod(F.col("n") - 1, F.lit(26))).cast("int"))
-    before = F.when(F.col("n") > 26, F.char((F.lit(96) + F.floor((F.col("n") - 1) / 26)).cast("int"))).otherwise("")
+    # char() takes codes modulo 256, which would give keys twice
+    code = F.lpad(F.hex(F.lit(96) + F.floor((F.col("n") - 1) / 26)), 8, "0")
+    before = F.when(F.col("n") > 26, F.decode(F.unhex(code), "UTF-32")).otherwise("")
     key = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", before, letter))
     rows = rows.withColumn("n", n).select("paper_id", key.alias("key"), "body")
     return rows.select("paper_id", "key", F.concat(F.lit("@article{"), "key", F.lit(",\n"), "body").alias("entry"))
