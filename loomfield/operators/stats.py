@@ -139,19 +139,29 @@ def outliers(items: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
     return far.join(upto, F.col(value) == F.col("__v")).withColumn("z", F.round((F.col(value) - F.col("m")) / F.col("sd"), 4)).withColumn("percentile", F.round(F.col("upto") * 100 / F.col("n"), 4)).drop("m", "sd", "n", "__v", "upto")
 
 
+#: Rows of one value are numbered in runs of so many.
+RUN = 10_000
+
+
 def scaling_breaks(items: DataFrame, keys: list[str], value: str, least: int = 20) -> DataFrame:
     """Split points of the sorted values (`least` away from the ends) where the exponents of both sides differ by more than
-    mean + 2 deviations of all splits; prefix sums of ln v give both exponents in one pass."""
+    mean + 2 deviations of all splits.
+
+    Sums of ln v over the least value (from below) and under the split's (from above) are taken over value counts, so that
+    what equal values add is 0 and not the rounding of long sums, which the exponents would divide by.
+    """
     w = Window.partitionBy(*keys)
-    rows = items.filter(F.col(value) > 0).select(*keys, F.col(value).cast("double").alias("v"))
-    o = w.orderBy("v")
-    i = F.row_number().over(o) - 1
-    r = rows.select(*keys, "v", i.alias("i"), F.count(F.lit(1)).over(w).alias("n"), F.coalesce(F.sum(F.ln("v")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("left"), F.sum(F.ln("v")).over(w).alias("all"), F.min("v").over(w).alias("lo"))
-    sl = F.col("left") - F.col("i") * F.ln("lo")
-    right_n = F.col("n") - F.col("i")
-    sr = F.col("all") - F.col("left") - right_n * F.ln("v")
-    gap = F.abs(F.when(sl > 1e-12, 1 + F.col("i") / sl).otherwise(0.0) - F.when(sr > 1e-12, 1 + right_n / sr).otherwise(0.0))
-    d = r.filter((F.col("i") >= least) & (F.col("i") < F.col("n") - least)).select(*keys, "i", "v", gap.alias("__gap"))
+    up, down = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("v"), F.desc("v")))
+    counts = items.filter(F.col(value) > 0).select(*keys, F.col(value).cast("double").alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    r = counts.withColumns({"rise": F.ln("v") - F.ln(F.min("v").over(w)), "fall": F.ln(F.max("v").over(w)) - F.ln("v"), "n": F.sum("c").over(w), "below": F.coalesce(F.sum("c").over(up), F.lit(0))})
+    r = r.withColumns({"left": F.coalesce(F.sum(F.col("c") * F.col("rise")).over(up), F.lit(0.0)), "above": F.coalesce(F.sum(F.col("c") * F.col("fall")).over(down), F.lit(0.0))})
+    runs = r.repartition(*keys, "v").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(RUN))))
+    i = F.explode(F.sequence(F.col("below") + F.col("at"), F.col("below") + F.least("c", F.col("at") + RUN) - 1))
+    r = runs.withColumn("i", i).filter((F.col("i") >= least) & (F.col("i") < F.col("n") - least))
+    sl = F.col("left") + (F.col("i") - F.col("below")) * F.col("rise")
+    sr = (F.col("n") - F.col("below") - F.col("c")) * F.col("fall") - F.col("above")
+    gap = F.abs(F.when(sl > 1e-12, 1 + F.col("i") / sl).otherwise(0.0) - F.when(sr > 1e-12, 1 + (F.col("n") - F.col("i")) / sr).otherwise(0.0))
+    d = r.select(*keys, "i", "v", gap.alias("__gap"))
     limit = d.groupBy(*keys).agg((F.avg("__gap") + 2 * F.stddev_pop("__gap")).alias("limit"))
     return d.join(limit, keys).filter(F.col("__gap") > F.col("limit")).select(*keys, F.col("i").cast("long").alias("split"), F.col("v").alias("value"), F.round("__gap", 4).alias("alpha_gap"))
 
