@@ -12,7 +12,7 @@ candidates. After the links of all forests are confirmed and joined to component
 between members of different components, whatever failed before: so a pair of a node is either confirmed, or
 refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost.
 
-Crowds: members of a large node that choices don't part (two levels that leave STALE of a parent in one child, or all
+Crowds: members of a large node that choices don't part (a level that leaves STALE of a parent in one child, or all
 LEVELS) are similar throughout, and branching them on only multiplies them. They leave the trees and are joined with
 each other exactly, by rare prefixes: with its shingles in one global order (rare first), a set shares one of its first
 n - ceil(t n) + 1 with any set of similarity t, and the places of the first shared shingle bound the overlap. Before
@@ -47,7 +47,7 @@ COORDINATES, TREES, NODE, BLOCK = 64, 8, 256, 512
 #: Children of each member of a large node, by level; a level has as many coordinates of its own as there are trees.
 BRANCHES = (3, 2, 2, 2, 2, 2)
 LEVELS = len(BRANCHES) + 1
-#: With two children a member, a child with half of its parent's members makes no fewer rows; after two such levels it is a crowd.
+#: With two children a member, a child with half of its parent's members makes no fewer rows: it is a crowd.
 STALE = 0.5
 SCREEN = 0.6
 #: Rows in one partition of intermediate tables of known size: small tables don't need many tasks and files.
@@ -366,7 +366,7 @@ def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
         shared = members.join(counts, "path").withColumn("stale", F.col("stale") + (F.col("c") >= F.col("up") * STALE).cast("int"))
         shared = packed(shared.select("path", "id", "n", "sketch", F.col("c").alias("up"), "stale"), rows)
         light.append(shared.filter(F.col("up") <= NODE).drop("up", "stale"))
-        crowd = (F.col("stale") > 1) if level < LEVELS else F.lit(True)
+        crowd = (F.col("stale") > 0) if level < LEVELS else F.lit(True)
         large = shared.filter(F.col("up") > NODE).groupBy(crowd.alias("crowd")).count().collect()
         found = {r["crowd"]: r["count"] for r in large}
         if found.get(True):
