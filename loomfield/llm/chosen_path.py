@@ -56,6 +56,10 @@ PARTITION_ROWS = 20_000
 ORDER_SAMPLE, FREQUENT = 4096, 200_000
 #: Up to so many members of crowds (of some 160 bytes each) may be broadcast.
 BROADCAST_MEMBERS = 50_000
+#: Of candidates across components, so many a component are confirmed at a time before the rest: 1, then 8, then all.
+PICKS = (1, 8)
+#: With up to so many candidates for each pick, all are confirmed at once.
+FEW = 4
 #: A posting carries so many of the shingles before it; a pair that shares one of them has met there.
 BEFORE = 64
 
@@ -174,15 +178,15 @@ def _met(before: list[bytes]) -> np.ndarray:
 
 
 def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, group: np.ndarray | None = None, skip: np.ndarray | None = None, place: np.ndarray | None = None, before: list[bytes] | None = None):
-    """Pairs of one node worth confirming: a spanning forest, or with groups all pairs across groups but those of two
-    members to skip.
+    """Pairs of one node worth confirming, and how many coordinates they share: a spanning forest, or with groups all
+    pairs across groups but those of two members to skip.
 
     With the places of a shingle in the members' ordered sets, only pairs that can still overlap enough from there on,
     and with the shingles before it only pairs that share none of these.
     """
     m = len(ids)
     if group is not None and (group == group[0]).all():
-        return ids[:0], ids[:0]
+        return ids[:0], ids[:0], ids[:0]
     a, b = np.triu_indices(m, 1)
     fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
     if group is not None:
@@ -193,6 +197,7 @@ def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, perc
     if before is not None and fits.any():
         fits &= ~_met(before)[a, b]
     a, b = a[fits], b[fits]
+    same = a
     if len(a):
         same = np.concatenate([(sketch[a[k : k + 16384]] == sketch[b[k : k + 16384]]).sum(axis=1) for k in range(0, len(a), 16384)])
         good = same >= SCREEN * COORDINATES
@@ -201,8 +206,8 @@ def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, perc
             order = np.argsort(-same, kind="stable")
             a, b = a[order], b[order]
             used = _forest(a, b, m)
-            a, b = a[used], b[used]
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            a, b, same = a[used], b[used], same[used]
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), same
 
 
 def _candidates(percent: int, grouped: bool):
@@ -218,13 +223,13 @@ def _candidates(percent: int, grouped: bool):
             place = rows.column(6).to_numpy(zero_copy_only=False) if rows.num_columns > 6 else None
             before = rows.column(7).to_pylist() if rows.num_columns > 7 else None
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-            found = [(ids[:0], ids[:0], path[:0])]
+            found = [(ids[:0], ids[:0], path[:0], ids[:0])]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if y - x > 1:
                     more = (None if column is None else column[x:y] for column in (group, skip, place, before))
-                    a, b = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, *more)
-                    found.append((a, b, np.full(len(a), path[x])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["a", "b", "path"])
+                    a, b, same = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, *more)
+                    found.append((a, b, np.full(len(a), path[x]), same))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(4)], ["a", "b", "path", "same"])
 
     return run
 
@@ -391,6 +396,7 @@ def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
     return nodes, packed(pieces, 2 * crowded), crowded
 
 
+CANDIDATE = "a long, b long, path long, same long"
 POSTING = ["token", "id", "n", "sketch", "component", "place", "close", "before"]
 
 
@@ -474,7 +480,22 @@ def prefix_candidates(crowd: DataFrame, crowded: int, known: DataFrame, classes:
     )
     met = postings.join(groups, "token").withColumn("own", own).select(*POSTING, F.explode(cells).alias("cell"))
     met = met.select(F.xxhash64("token", "cell.kind", "cell.x", "cell.y").alias("path"), "id", "n", "sketch", "component", F.lit(False).alias("skip"), "place", "before")
-    return met.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), "a long, b long, path long")
+    return met.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), CANDIDATE)
+
+
+def across_components(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b, path, same) whose components ca and cb differ; known (id, component) has those of linked members."""
+    for side in "ab":
+        own = known.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        pairs = pairs.drop(f"c{side}").join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return checkpointed(pairs.filter("ca <> cb"))
+
+
+def likeliest(pairs: DataFrame, picks: int) -> DataFrame:
+    """(a, b, path) of the pair that shares most coordinates in each of so many parts of each component's pairs."""
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(picks))
+    best = [pairs.groupBy(side, part).agg(F.max(F.struct("same", "a", "b", "path")).alias("m")).select("m.a", "m.b", "m.path") for side in ("ca", "cb")]
+    return checkpointed(best[0].unionByName(best[1]).distinct())
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -494,7 +515,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     texts = rows.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "raw").alias("id"), "text")
 
     def candidates(nodes: DataFrame, grouped: bool) -> DataFrame:
-        return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, grouped), "a long, b long, path long")
+        return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, grouped), CANDIDATE)
 
     def linked(state: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         final, bound = components(state.unionByName(confirm(more, texts, words, percent)))
@@ -502,17 +523,29 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 
     every = nodes.unionByName(pieces) if crowded else nodes
     final, known, bound = linked(rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), candidates(every, False))
+    def joined(known: DataFrame, bound: int, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """linked with the candidates across components: the likeliest of each component first, so that most of the
+        others lie inside of one when their turn comes. Every one is confirmed, or refuted, or inside of a component."""
+        more = checkpointed(more.groupBy("a", "b").agg(F.max(F.struct("same", "path")).alias("m")).select("a", "b", "m.path", "m.same"))
+        for picks in PICKS:
+            more = across_components(more, known)
+            best = likeliest(more, picks)
+            if more.count() <= FEW * best.count():
+                break
+            _, known, bound = linked(known.select(F.col("id").alias("a"), F.col("component").alias("b")), best)
+            more = more.select("a", "b", "path", "same").join(best.select("a", "b"), ["a", "b"], "left_anti")
+        more = across_components(more, known).select("a", "b", "path")
+        return linked(known.select(F.col("id").alias("a"), F.col("component").alias("b")), more)
+
     state = known.withColumn("skip", F.lit(False))
     crowd = packed(pieces.select("id").distinct(), crowded) if crowded else None
     if crowded:  # pairs of crowds are left to the prefix join
         state = packed(known.join(crowd.withColumn("crowd", F.lit(True)), "id", "full_outer").select("id", "component", F.coalesce("crowd", F.lit(False)).alias("skip")), bound + crowded)
     grouped = nodes.join(state, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("skip", F.coalesce("skip", F.lit(False)))
     across = candidates(grouped.select("path", "id", "n", "sketch", "component", "skip"), True)
-    state = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    final, known, bound = linked(state, across)
+    final, known, bound = joined(known, bound, across)
     if crowded:  # nodes' own links first: fewer postings then have members of several components
-        state = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        final, known, bound = linked(state, prefix_candidates(crowd, crowded, known, classes, texts, words, percent))
+        final, known, bound = joined(known, bound, prefix_candidates(crowd, crowded, known, classes, texts, words, percent))
     found = packed(classes.join(final, F.col("id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "id").alias("root")), total)
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     labelled = packed(found.join(first, "root").select("key", F.col("first.doc_id").alias("component"), (F.col("key") == F.col("first.key")).alias("own")), total)
