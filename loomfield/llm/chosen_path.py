@@ -56,10 +56,10 @@ PARTITION_ROWS = 20_000
 ORDER_SAMPLE, FREQUENT = 4096, 200_000
 #: Up to so many members of crowds (of some 160 bytes each) may be broadcast.
 BROADCAST_MEMBERS = 50_000
-#: Of candidates across components, so many a component are confirmed at a time before the rest: 1, then 8, then all.
+#: Of crowds' candidates, so many a component are confirmed at a time before the rest: 1, then 8, then all.
 PICKS = (1, 8)
-#: With up to so many candidates for each pick, all are confirmed at once.
-FEW = 4
+#: With up to so many candidates for each pick, all are confirmed at once: every time sets are made and moved again.
+FEW = 16
 #: A posting carries so many of the shingles before it; a pair that shares one of them has met there.
 BEFORE = 64
 
@@ -524,7 +524,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     every = nodes.unionByName(pieces) if crowded else nodes
     final, known, bound = linked(rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), candidates(every, False))
     def joined(known: DataFrame, bound: int, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """linked with the candidates across components: the likeliest of each component first, so that most of the
+        """linked with crowds' candidates: the likeliest of each component first, so that most of the
         others lie inside of one when their turn comes. Every one is confirmed, or refuted, or inside of a component."""
         more = checkpointed(more.groupBy("a", "b").agg(F.max(F.struct("same", "path")).alias("m")).select("a", "b", "m.path", "m.same"))
         for picks in PICKS:
@@ -543,7 +543,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         state = packed(known.join(crowd.withColumn("crowd", F.lit(True)), "id", "full_outer").select("id", "component", F.coalesce("crowd", F.lit(False)).alias("skip")), bound + crowded)
     grouped = nodes.join(state, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("skip", F.coalesce("skip", F.lit(False)))
     across = candidates(grouped.select("path", "id", "n", "sketch", "component", "skip"), True)
-    final, known, bound = joined(known, bound, across)
+    final, known, bound = linked(known.select(F.col("id").alias("a"), F.col("component").alias("b")), across)
     if crowded:  # nodes' own links first: fewer postings then have members of several components
         final, known, bound = joined(known, bound, prefix_candidates(crowd, crowded, known, classes, texts, words, percent))
     found = packed(classes.join(final, F.col("id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "id").alias("root")), total)
