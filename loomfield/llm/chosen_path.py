@@ -8,16 +8,18 @@ each, named by its own token there. Nodes of at most NODE members are compared e
 confirmed on full sets.
 
 A group of n near copies has n**2 links, which are not emitted. A node first gives a maximum spanning forest of its
-candidates. After the links of all forests are confirmed and joined to components, nodes give every candidate
-between members of different components, whatever failed before: so a pair of a node is either confirmed, or
-refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost.
+candidates. After the links of all forests are confirmed and joined to components, nodes that have more candidates than
+their forest give every other one between members of different components: so a pair of a node is either confirmed, or
+refuted, or joins texts that are connected anyway, and no connection that the nodes hold is lost. Nodes are rows of ids;
+sketches come to them when they are compared or branched.
 
 Crowds: members of a large node that choices don't part (a level that leaves STALE of a parent in one child, or all
 LEVELS) are similar throughout, and branching them on only multiplies them. They leave the trees and are joined with
 each other exactly, by rare prefixes: with its shingles in one global order (rare first), a set shares one of its first
 n - ceil(t n) + 1 with any set of similarity t, and the places of the first shared shingle bound the overlap. Before
 that they are linked in pieces of their nodes, each tied to a pivot. Postings of one component have nothing to add and
-go; others are compared across components, in blocks of bounded size, each pair at its first common shingle. The order
+go; others are compared across components, in blocks of bounded size, each pair at its first common shingle, by the same
+two turns: a forest over components, then the rest of the blocks that have more, across the components of then. The order
 is learned from a sample of the members; it decides how long postings are, never which pairs are found.
 
 Recall: a pair at the threshold is in the same child of a coordinate with probability 0.8. With three children at the
@@ -134,7 +136,7 @@ def _branched(level: int):
             for branch in range(BRANCHES[level - 1]):
                 at = (level * TREES + (chosen + np.uint64(3 * branch)) % np.uint64(TREES)).astype(np.int64)
                 out = _mix(_mix(path + np.uint64(branch + 1)) * np.uint64(0x9E3779B97F4A7C15) + sketch[rows, at].astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), *batch.columns[1:]], ["path", "id", "n", "sketch", "up", "stale"])
+                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), *(batch.column(k) for k in (1, 2, 4, 5))], ["path", "id", "n", "up", "stale"])
 
     return run
 
@@ -177,59 +179,61 @@ def _met(before: list[bytes]) -> np.ndarray:
     return met
 
 
-def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, group: np.ndarray | None = None, skip: np.ndarray | None = None, place: np.ndarray | None = None, before: list[bytes] | None = None):
-    """Pairs of one node worth confirming, and how many coordinates they share: a spanning forest, or with groups all
-    pairs across groups but those of two members to skip.
+def node_candidates(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, forest: bool, group: np.ndarray, skip: np.ndarray | None = None, place: np.ndarray | None = None, before: list[bytes] | None = None):
+    """Pairs (places a and b) of one node worth confirming, across its groups, how many coordinates they share, and whether
+    there are more: a spanning forest of the groups, or all but those of two members to skip.
 
     With the places of a shingle in the members' ordered sets, only pairs that can still overlap enough from there on,
     and with the shingles before it only pairs that share none of these.
     """
-    m = len(ids)
-    if group is not None and (group == group[0]).all():
-        return ids[:0], ids[:0], ids[:0]
-    a, b = np.triu_indices(m, 1)
-    fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
-    if group is not None:
-        fits &= (group[a] != group[b]) & ~(skip[a] & skip[b])
+    if (group == group[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    a, b = np.triu_indices(len(ids), 1)
+    fits = (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (group[a] != group[b])
+    if skip is not None:
+        fits &= ~(skip[a] & skip[b])
     if place is not None:
         rest = sizes - place
         fits &= (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (sizes[a] + sizes[b])
     if before is not None and fits.any():
         fits &= ~_met(before)[a, b]
     a, b = a[fits], b[fits]
-    same = a
+    same, more = a, False
     if len(a):
         same = np.concatenate([(sketch[a[k : k + 16384]] == sketch[b[k : k + 16384]]).sum(axis=1) for k in range(0, len(a), 16384)])
         good = same >= SCREEN * COORDINATES
         a, b, same = a[good], b[good], same[good]
-        if group is None and len(a) > 1:
+        if forest and len(a) > 1:
             order = np.argsort(-same, kind="stable")
-            a, b = a[order], b[order]
-            used = _forest(a, b, m)
+            a, b, same = a[order], b[order], same[order]
+            number, dense = np.unique(group, return_inverse=True)
+            used = _forest(dense[a], dense[b], len(number))
+            more = len(used) < len(a)
             a, b, same = a[used], b[used], same[used]
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), same
+    turn = ids[a] > ids[b]
+    return np.where(turn, b, a), np.where(turn, a, b), same, more
 
 
-def _candidates(percent: int, grouped: bool):
-    """Candidates of whole nodes: a forest, or with components all pairs across them."""
+def _candidates(percent: int, forest: bool):
+    """Candidates of whole nodes (path, id, n, sketch, component, then skip, and place and before, if there are)."""
 
     def run(batches):
         for rows in _whole_nodes(batches):
             path = rows.column(0).to_numpy(zero_copy_only=False)
-            ids, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            ids, sizes, group = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
             sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            group = rows.column(4).to_numpy(zero_copy_only=False) if grouped else None
-            skip = rows.column(5).to_numpy(zero_copy_only=False) if grouped else None
+            skip = rows.column(5).to_numpy(zero_copy_only=False) if rows.num_columns > 5 else None
             place = rows.column(6).to_numpy(zero_copy_only=False) if rows.num_columns > 6 else None
             before = rows.column(7).to_pylist() if rows.num_columns > 7 else None
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-            found = [(ids[:0], ids[:0], path[:0], ids[:0])]
+            found = [(ids[:0],) * 6 + (np.zeros(0, bool),)]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if y - x > 1:
-                    more = (None if column is None else column[x:y] for column in (group, skip, place, before))
-                    a, b, same = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, *more)
-                    found.append((a, b, np.full(len(a), path[x]), same))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(4)], ["a", "b", "path", "same"])
+                    with_them = (None if column is None else column[x:y] for column in (skip, place, before))
+                    a, b, same, more = node_candidates(ids[x:y], sizes[x:y], sketch[x:y], percent, forest, group[x:y], *with_them)
+                    found.append((ids[x + a], ids[x + b], np.full(len(a), path[x]), same, group[x + a], group[x + b], np.full(len(a), more)))
+            names = ["a", "b", "path", "same", "ca", "cb", "more"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.bool_() if k == 6 else pa.int64()) for k in range(7)], names)
 
     return run
 
@@ -361,15 +365,15 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), 2 * n
 
 
-def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """(path, id, n, sketch) of the trees' first level, of so many rows, to nodes of 2 to NODE members; to pieces of crowds,
-    one for each member but pivots; and a bound of the number of members of crowds."""
+def nodes_of(members: DataFrame, sketches: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(path, id, n) of the trees' first level, of so many rows, to nodes of 2 to NODE members; to pieces of crowds, one for
+    each member but pivots; and a bound of the number of members of crowds. Sketches (id, sketch) go to what is branched."""
     light, crowds, crowded = [], [], 0
     members = members.withColumns({"up": F.lit(1 << 62), "stale": F.lit(0)})
     for level in range(1, LEVELS + 1):
         counts = packed(members.groupBy("path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), rows)
         shared = members.join(counts, "path").withColumn("stale", F.col("stale") + (F.col("c") >= F.col("up") * STALE).cast("int"))
-        shared = packed(shared.select("path", "id", "n", "sketch", F.col("c").alias("up"), "stale"), rows)
+        shared = packed(shared.select("path", "id", "n", F.col("c").alias("up"), "stale"), rows)
         light.append(shared.filter(F.col("up") <= NODE).drop("up", "stale"))
         crowd = (F.col("stale") > 0) if level < LEVELS else F.lit(True)
         large = shared.filter(F.col("up") > NODE).groupBy(crowd.alias("crowd")).count().collect()
@@ -381,22 +385,22 @@ def nodes_of(members: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
         if not rows:
             break
         rows *= BRANCHES[level - 1]
-        members = packed(shared.filter((F.col("up") > NODE) & ~crowd).mapInArrow(_branched(level), "path long, id long, n long, sketch binary, up long, stale int"), rows)
+        large = shared.filter((F.col("up") > NODE) & ~crowd).join(sketches, "id").select("path", "id", "n", "sketch", "up", "stale")
+        members = packed(large.mapInArrow(_branched(level), "path long, id long, n long, up long, stale int"), rows)
     nodes = reduce(DataFrame.unionByName, light)
     if not crowded:
         return nodes, nodes.limit(0), 0
-    one = reduce(DataFrame.unionByName, crowds).groupBy("id").agg(F.min("path").alias("path"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    one = packed(one.select("path", "id", "n", "sketch"), crowded)
-    whole = one.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n", "sketch")).alias("p"))
-    whole = packed(whole, crowded)
+    one = reduce(DataFrame.unionByName, crowds).groupBy("id").agg(F.min("path").alias("path"), F.first("n").alias("n"))
+    one = packed(one.select("path", "id", "n"), crowded)
+    whole = packed(one.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("p")), crowded)
     cut = one.join(whole.select("path", "c"), "path").withColumn("node", F.xxhash64("path", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") * 2 / NODE))))
-    cut = packed(cut.select("path", "node", "id", "n", "sketch"), crowded)
-    tied = cut.select("path", "node").distinct().join(whole, "path").select(F.col("node").alias("path"), "p.id", "p.n", "p.sketch")
-    pieces = cut.select(F.col("node").alias("path"), "id", "n", "sketch").unionByName(tied).distinct()
+    cut = packed(cut.select("path", "node", "id", "n"), crowded)
+    tied = cut.select("path", "node").distinct().join(whole, "path").select(F.col("node").alias("path"), "p.id", "p.n")
+    pieces = cut.select(F.col("node").alias("path"), "id", "n").unionByName(tied).distinct()
     return nodes, packed(pieces, 2 * crowded), crowded
 
 
-CANDIDATE = "a long, b long, path long, same long"
+CANDIDATE = "a long, b long, path long, same long, ca long, cb long, more boolean"
 POSTING = ["token", "id", "n", "sketch", "component", "place", "close", "before"]
 
 
@@ -446,8 +450,9 @@ def _tokens(words: int):
     return run
 
 
-def prefix_candidates(crowd: DataFrame, crowded: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Candidates (a, b, path) among all members of crowds, across the components known so far."""
+def prefix_blocks(crowd: DataFrame, crowded: int, known: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Nodes (path, id, n, sketch, component, skip, place, before) that hold all pairs of members of crowds across the
+    components known so far that share a shingle of their prefixes."""
     members = packed(crowd.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")), crowded)
     members = packed(members.join(classes.select("id", "n", "sketch"), "id"), crowded)
     count = members.count()
@@ -479,8 +484,18 @@ def prefix_candidates(crowd: DataFrame, crowded: int, known: DataFrame, classes:
         .otherwise(F.concat(F.transform(blocks, lambda k: cell(1, k, F.col("own"))), F.transform(chunks, lambda k: cell(2, F.least(k, F.col("own")), F.greatest(k, F.col("own"))))))
     )
     met = postings.join(groups, "token").withColumn("own", own).select(*POSTING, F.explode(cells).alias("cell"))
-    met = met.select(F.xxhash64("token", "cell.kind", "cell.x", "cell.y").alias("path"), "id", "n", "sketch", "component", F.lit(False).alias("skip"), "place", "before")
-    return met.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, True), CANDIDATE)
+    return met.select(F.xxhash64("token", "cell.kind", "cell.x", "cell.y").alias("path"), "id", "n", "sketch", "component", F.lit(False).alias("skip"), "place", "before")
+
+
+def candidates(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidates of nodes, each node's compared in one task."""
+    return checkpointed(nodes.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, forest), CANDIDATE))
+
+
+def with_more(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes that have candidates besides the forest they gave; those of the others are all among the found."""
+    paths = checkpointed(found.filter("more").select("path").distinct())
+    return nodes.join(F.broadcast(paths) if paths.count() <= BROADCAST_IDS else paths, "path", "left_semi")
 
 
 def across_components(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -511,41 +526,47 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         .select("key", "least.id", "least.doc_id", "n", "sketch", "paths"),
         total,
     )
-    nodes, pieces, crowded = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n", "sketch"), classes.count() * TREES)
+    sketches = classes.select("id", "sketch")
+    nodes, pieces, crowded = nodes_of(classes.select(F.explode("paths").alias("path"), "id", "n"), sketches, classes.count() * TREES)
     texts = rows.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "raw").alias("id"), "text")
 
-    def candidates(nodes: DataFrame, grouped: bool) -> DataFrame:
-        return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(percent, grouped), CANDIDATE)
-
-    def linked(state: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    def linked(known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        state = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
         final, bound = components(state.unionByName(confirm(more, texts, words, percent)))
         return final, packed(final.select(F.col("node").alias("id"), "component"), bound), bound
 
-    every = nodes.unionByName(pieces) if crowded else nodes
-    final, known, bound = linked(rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), candidates(every, False))
-    def joined(known: DataFrame, bound: int, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """linked with crowds' candidates: the likeliest of each component first, so that most of the
+    def joined(known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """linked with crowds' candidates, which lie across the known components: the likeliest of each component first, so that most of the
         others lie inside of one when their turn comes. Every one is confirmed, or refuted, or inside of a component."""
-        more = checkpointed(more.groupBy("a", "b").agg(F.max(F.struct("same", "path")).alias("m")).select("a", "b", "m.path", "m.same"))
+        more = checkpointed(more.groupBy("a", "b").agg(F.max(F.struct("same", "path", "ca", "cb")).alias("m")).select("a", "b", "m.path", "m.same", "m.ca", "m.cb"))
         for picks in PICKS:
-            more = across_components(more, known)
             best = likeliest(more, picks)
             if more.count() <= FEW * best.count():
                 break
-            _, known, bound = linked(known.select(F.col("id").alias("a"), F.col("component").alias("b")), best)
-            more = more.select("a", "b", "path", "same").join(best.select("a", "b"), ["a", "b"], "left_anti")
-        more = across_components(more, known).select("a", "b", "path")
-        return linked(known.select(F.col("id").alias("a"), F.col("component").alias("b")), more)
+            _, known, _ = linked(known, best)
+            more = across_components(more.join(best.select("a", "b"), ["a", "b"], "left_anti"), known)
+        return linked(known, more.select("a", "b", "path"))
 
+    every = nodes.unionByName(pieces) if crowded else nodes
+    tried = candidates(every.join(sketches, "id").select("path", "id", "n", "sketch", F.col("id").alias("component")), percent, True)
+    none = rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
+    final, known, bound = linked(none, tried)
     state = known.withColumn("skip", F.lit(False))
     crowd = packed(pieces.select("id").distinct(), crowded) if crowded else None
     if crowded:  # pairs of crowds are left to the prefix join
         state = packed(known.join(crowd.withColumn("crowd", F.lit(True)), "id", "full_outer").select("id", "component", F.coalesce("crowd", F.lit(False)).alias("skip")), bound + crowded)
-    grouped = nodes.join(state, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("skip", F.coalesce("skip", F.lit(False)))
-    across = candidates(grouped.select("path", "id", "n", "sketch", "component", "skip"), True)
-    final, known, bound = linked(known.select(F.col("id").alias("a"), F.col("component").alias("b")), across)
+    grouped = with_more(nodes, tried).join(state, "id", "left").join(sketches, "id")
+    grouped = grouped.select("path", "id", "n", "sketch", F.coalesce("component", "id").alias("component"), F.coalesce("skip", F.lit(False)).alias("skip"))
+    across = candidates(grouped, percent, False).join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    final, known, bound = linked(known, across)
     if crowded:  # nodes' own links first: fewer postings then have members of several components
-        final, known, bound = joined(known, bound, prefix_candidates(crowd, crowded, known, classes, texts, words, percent))
+        blocks = checkpointed(prefix_blocks(crowd, crowded, known, classes, texts, words, percent))
+        tried = candidates(blocks, percent, True)
+        final, known, bound = joined(known, tried)
+        again = with_more(blocks, tried).withColumnRenamed("component", "was").join(known, "id", "left")
+        again = again.select("path", "id", "n", "sketch", F.coalesce("component", "id").alias("component"), "skip", "place", "before")
+        across = candidates(again, percent, False).join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        final, known, bound = joined(known, across)
     found = packed(classes.join(final, F.col("id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "id").alias("root")), total)
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     labelled = packed(found.join(first, "root").select("key", F.col("first.doc_id").alias("component"), (F.col("key") == F.col("first.key")).alias("own")), total)
